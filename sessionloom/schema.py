@@ -21,6 +21,7 @@ KINDS = {
     "abort": "a turn given up",
     "attachment": "an attached file",
     "subagent": "a record written by a sub-agent",
+    "touch": "a person-side record without prompt or result",
     "label": "one enumerated label (label_field, label)",
 }
 
