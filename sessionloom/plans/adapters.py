@@ -22,6 +22,20 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
+def _plan_cache(build):
+    """Keep the lazy plan per session and folder; only the plan is kept, never rows."""
+    plans: dict[tuple, DataFrame] = {}
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+        if key not in plans:
+            plans[key] = build(spark, sf_dir)
+        return plans[key]
+
+    return get
+
+
+@_plan_cache
 def events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, kind = F.col("event_id"), F.col("event_type")
     k, model = F.col("k"), F.col("model")
@@ -80,6 +94,7 @@ def events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_plan_cache
 def events_as_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = events_wide(spark, sf_dir)
     et = F.col("event_type")

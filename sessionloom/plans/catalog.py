@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.behavior import dominant_language
 from ..operators.topk import top_repos
 from ..operators.usage import by_repo
-from . import usage_queries  # noqa: F401  (registers its queries)
+from . import behavior_queries, usage_queries  # noqa: F401  (they register their queries)
 from .adapters import events_as_ev
 from .registry import QUERIES, SQL
 
