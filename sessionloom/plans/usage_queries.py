@@ -265,7 +265,6 @@ def _(spark, sf):
 @query("a31_by_language", f"""
 SELECT CASE WHEN k % 3 = 0 THEN 'Python' WHEN k % 3 = 1 THEN 'Go' ELSE '(unknown)' END AS name, sum(total)::BIGINT AS tokens, count(DISTINCT {NAMED}) AS sessions FROM u GROUP BY 1""")
 def _(spark, sf):
-    # The label that carries a language here is derived from the record's cache-write share.
     u = events_wide(spark, sf)
     lang = F.when(F.col("k") % 3 == 0, F.lit("Python")).when(F.col("k") % 3 == 1, F.lit("Go")).otherwise(F.lit(""))
     return U.by_language(u, lang)
