@@ -14,8 +14,7 @@ from ..functions.timez import epoch_micros
 from ..schema import TOKEN_BUCKETS
 from ..session import stage
 from .filters import main_only, nonempty_episodes
-from .joins import corrected_by_next
-from .scan import CHUNK_WIDTH, last_before, last_seen, ordered_scan, previous, running_count, running_sum
+from .scan import CHUNK_WIDTH, following, last_before, last_seen, ordered_scan, previous, running_count, running_sum
 
 # Thresholds of the loop signals.
 EDIT_RING_MIN = 3
@@ -42,7 +41,11 @@ def boundaries(ev: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
         *[F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit("(unknown)")).otherwise(F.col(c)).alias(c) for c in ("session_id", "repo")],
         F.coalesce("is_correction", F.lit(False)).alias("is_correction"),
         F.coalesce("is_thinking", F.lit(False)).alias("thinking_directive"))
-    numbered = ordered_scan(corrected_by_next(rows, width), ["file_id"], "seq", [running_sum("ep", F.lit(1).cast("bigint"))], width)
+    # One row per episode: small next to the events, so it is written once and the scans below read that.
+    rows = stage(rows, "boundaries")
+    numbered = ordered_scan(rows, ["file_id"], "seq", [
+        running_sum("ep", F.lit(1).cast("bigint")), following("_c", F.col("is_correction"))], width)
+    numbered = numbered.withColumn("corrected_by_next", F.coalesce("_c", F.lit(False))).drop("_c")
     ranked = ordered_scan(numbered, ["file_id", "session_id"], "seq", [running_sum("_rank", F.lit(1).cast("bigint"))], width)
     earlier = Window.partitionBy("session_id").orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("session_id", "file_id").agg(F.count(F.lit(1)).alias("n")).select(
@@ -61,16 +64,19 @@ def label_episodes(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: in
         last_seen("_start", F.when(F.col("is_boundary"), F.col("seq"))),
         running_count("ok_results", (F.col("kind") == "tool_result") & ~F.coalesce(F.col("is_error"), F.lit(False))),
         running_count("calls_so_far", F.col("kind") == "tool_call"),
-        last_before("_active", F.when(used, F.struct("ts", "seq"))),
+        last_before("_active_ts", F.when(used, F.col("ts"))), last_before("_active_seq", F.when(used, F.col("seq"))),
     ], width)
-    gap = epoch_micros(F.col("ts")) - epoch_micros(F.col("_active.ts"))
-    counts = used & (F.col("_active.seq") >= F.col("_start")) & (gap > 0) & (gap <= cap_seconds * 1_000_000)
+    gap = epoch_micros(F.col("ts")) - epoch_micros(F.col("_active_ts"))
+    counts = used & (F.col("_active_seq") >= F.col("_start")) & (gap > 0) & (gap <= cap_seconds * 1_000_000)
     return scanned.withColumn("gap_micros", F.when(counts, gap).otherwise(F.lit(0).cast("bigint"))).filter(F.col("ep") > 0).drop(
-        "_start", "_active")
+        "_start", "_active_ts", "_active_seq")
 
 
 def episode_facets(labelled: DataFrame) -> DataFrame:
-    """Sums per (episode, facet, key): facet is model, file, run (results between two successes) or rest."""
+    """Sums per (episode, facet, key): facet is model, file, run (results between two successes), effort or rest.
+
+    All buffers are numbers, so both sides of the shuffle use hash aggregation.
+    """
     kind, base = F.col("kind"), F.coalesce(F.col("file_base"), F.lit(""))
     call = kind == "tool_call"
     on_file = call & (F.col("tool_kind") == "file") & (base != "")
@@ -79,9 +85,11 @@ def episode_facets(labelled: DataFrame) -> DataFrame:
     error = result & F.coalesce(F.col("is_error"), F.lit(False))
     edit = F.coalesce(F.col("is_edit"), F.lit(False))
     doc = F.col("file_ext").isin(DOC_EXTENSIONS)
-    facet = F.when(used, F.lit("model")).when(on_file, F.lit("file")).when(result, F.lit("run")).otherwise(F.lit("rest"))
+    effort = (kind == "label") & (F.col("label_field") == "effort")
+    facet = (F.when(used, F.lit("model")).when(on_file, F.lit("file")).when(result, F.lit("run"))
+             .when(effort, F.lit("effort")).otherwise(F.lit("rest")))
     key = (F.when(used, M.normalize_model(F.col("model"))).when(on_file, base)
-           .when(result, F.col("ok_results").cast("string")).otherwise(F.lit("")))
+           .when(result, F.col("ok_results").cast("string")).when(effort, F.col("label")).otherwise(F.lit("")))
     tool_kind = F.col("tool_kind")
     rows = labelled.withColumns({
         "facet": facet, "facet_key": key, "uncached": M.uncached_input(F.col("input"), F.col("cached_input"))})
@@ -100,7 +108,7 @@ def episode_facets(labelled: DataFrame) -> DataFrame:
         count_true(call & F.coalesce(F.col("long_run"), F.lit(False))).alias("long_runs"),
         F.sum(F.coalesce(F.col("lines_added") + F.col("lines_removed"), F.lit(0))).alias("lines"),
         count_true(kind == "interrupt").alias("interrupts"), count_true(kind == "compaction").alias("compactions"),
-        F.max(F.when(F.col("label_field") == "effort", F.struct("seq", "label"))).alias("effort"),
+        F.max("seq").alias("last_seq"),
         F.min(F.when(call, F.col("calls_so_far"))).alias("first_call"), F.max(F.when(call, F.col("calls_so_far"))).alias("last_call"))
 
 
@@ -130,7 +138,7 @@ def episode_features(facets: DataFrame) -> DataFrame:
     agg = rows.groupBy(*KEY).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*TOKEN_BUCKETS, *summed)],
         F.max("last_ts").alias("last_ts"), F.sum("nano").alias("nano"), top_model["facet_key"].alias("model"),
-        F.max("effort")["label"].alias("effort"),
+        F.max_by("facet_key", F.when(F.col("facet") == "effort", F.col("last_seq"))).alias("effort"),
         count_true(F.col("facet") == "file").alias("files_touched"),
         F.coalesce(F.max(F.when(F.col("facet") == "file", F.col("edits"))), F.lit(0)).alias("max_edits_per_file"),
         F.coalesce(F.max(F.when(F.col("facet") == "run", F.col("errors"))), F.lit(0)).alias("error_run"))

@@ -97,12 +97,12 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, specs: list[Running
             carry.append(F.first(b, True).over(chunks_before).alias(c))
             result.append(F.coalesce(F.col(c), F.col(a)).alias(s.name))
         elif s.kind in ("lag", "lead"):
-            boxed = F.struct(v.alias("v"))
+            # A neighbour inside the chunk is recognized by its position, so a null value needs no wrapper.
             shift, pick = (F.lag, F.max_by) if s.kind == "lag" else (F.lead, F.min_by)
-            local.append(shift(boxed).over(here).alias(a))
-            summary.append(pick(boxed, pos).alias(b))
+            local += [shift(v).over(here).alias(a), shift(pos).over(here).alias(f"_n{i}")]
+            summary.append(pick(v, pos).alias(b))
             carry.append(shift(b).over(chunks).alias(c))
-            result.append(F.coalesce(F.col(a), F.col(c))["v"].alias(s.name))
+            result.append(F.when(F.col(f"_n{i}").isNotNull(), F.col(a)).otherwise(F.col(c)).alias(s.name))
         else:
             raise ValueError(f"unknown running kind {s.kind!r}")
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import models, numbers, prompts, text
 from ..schema import as_ev
+from ..session import new_path
+from ..sources.sinks import land_ev
 from . import corpus as C
 
 
@@ -22,8 +24,8 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
-def _plan_cache(build):
-    """Keep the lazy plan per session and folder; only the plan is kept, never rows."""
+def plan_cache(build):
+    """Keep the lazy plan per session and folder; no rows are kept in memory."""
     plans: dict[tuple, DataFrame] = {}
 
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def _plan_cache(build):
     return get
 
 
-@_plan_cache
+@plan_cache
 def events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, kind = F.col("event_id"), F.col("event_type")
     k, model = F.col("k"), F.col("model")
@@ -94,8 +96,13 @@ def events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_plan_cache
+@plan_cache
 def events_as_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ``events`` table as ``ev``, landed once per session and folder below the shared folder."""
+    return land_ev(explode_events(spark, sf_dir), new_path(spark, "ev"), by_day=False)
+
+
+def explode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = events_wide(spark, sf_dir)
     et = F.col("event_type")
     main = (

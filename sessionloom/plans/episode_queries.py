@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import models as M
 from ..functions.timez import epoch_micros
 from ..operators import episodes as E, filters as FI, joins as J, scan as SC, tokens as T, topk as K, usage as U
-from .adapters import events_as_ev, events_wide, table
+from .adapters import events_as_ev, events_wide, plan_cache, table
 from .registry import NORM, query, ratio4_sql, ratio_sql, round_sql
 
 CAP = 6 * 3600
@@ -76,7 +76,9 @@ def _fill() -> str:
 EPS = f"WITH {_fill()}\n"
 
 
+@plan_cache
 def _detail(spark, sf):
+    """The episode table is written once per session and folder; its summaries read the written table."""
     return E.episode_detail(events_as_ev(spark, sf), CAP)
 
 
