@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.prompts import prompt_flags
 from ..functions.numbers import round_to
 from ..functions.redact import redact
+from ..functions.timez import epoch_micros
 from ..functions.text import collapse_ws, strip_ws
 from .joins import session_prompts
 from .scan import CHUNK_WIDTH, ordered_scan, running_sum
@@ -32,6 +33,23 @@ def tool_input_summary(name: Column, field) -> Column:
     )
 
 
+def number_items(items: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+    """Number the items of each session by (time, file, line, block); items without a time come first.
+
+    Items are counted per millisecond first; the running count over milliseconds gives each one its offset, and
+    only items of the same millisecond are ranked against each other.
+    """
+    ms = F.coalesce(F.floor(epoch_micros(F.col("ts")) / 1000), F.lit(0)).cast("bigint")
+    rows = items.withColumn("_ms", ms)
+    counts = rows.groupBy("session_id", "_ms").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = ordered_scan(counts, ["session_id"], "_ms", [running_sum("_upto", F.col("_n"))], width).select(
+        F.col("session_id").alias("_s"), F.col("_ms").alias("_m"), (F.col("_upto") - F.col("_n")).alias("_offset"))
+    tie = Window.partitionBy("session_id", "_ms").orderBy("file_id", "seq", "block_no")
+    ranked = rows.withColumn("_r", F.row_number().over(tie))
+    joined = ranked.join(offsets, (F.col("session_id") == F.col("_s")) & (F.col("_ms") == F.col("_m")))
+    return joined.select("session_id", (F.col("_offset") + F.col("_r") - 1).alias("pos"), "kind", "text")
+
+
 def pack_items(items: DataFrame, keys: list[str], order: str, per_item: int = 200, max_total: int = 30_000,
                width: int = CHUNK_WIDTH, home: str | None = None) -> DataFrame:
     """Redact each item and mark it as emitted while the characters emitted before it stay below the total.
@@ -70,7 +88,6 @@ def prompt_preview(prompts: DataFrame, keys: list[str], order: str, text: str, l
 def selected_session_preview(ev: DataFrame, selected: DataFrame, limit: int = 1200) -> DataFrame:
     """Preview of one selected session's prompts, ordered by (ts, file, position)."""
     rows = session_prompts(ev, selected).withColumn("_t", strip_ws(F.col("prompt_text")))
-    from pyspark.sql import Window
     # One selected session is the feature here; only its prompts reach this window.
     w = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("ts"), "file_id", "seq")
     return rows.select(
