@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.behavior import dominant_language
 from ..operators.topk import top_repos
 from ..operators.usage import by_repo
-from . import behavior_queries, content_queries, episode_queries, scalar_queries, usage_queries  # noqa: F401  (they register their queries)
+from . import (  # noqa: F401  (they register their queries)
+    adoption_queries, behavior_queries, content_queries, episode_queries, log_queries, scalar_queries, usage_queries)
 from .adapters import events_as_ev
 from .registry import QUERIES, SQL
 

@@ -9,6 +9,7 @@ from ..functions.timez import DayWindow, parse_instant
 from ..operators.filters import in_window
 from ..operators.joins import dedup_key, dedup_with_max_usage, tool_name_for_result
 from ..schema import TOKEN_BUCKETS, as_ev
+from ..session import stage
 from .logs import flag_at, get, has_shape, kind_of, number_at, text_at
 
 # Positions of one record: seq = line * STRIDE + slot; slots leave room for many blocks per record.
@@ -80,9 +81,10 @@ def normalize_a(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC
     The window filter runs before the keep-first step, while the largest usage of a message, the tool names and
     the entry points are taken from all records.
     """
-    everything = project_records(good)
+    # Parsed once; the kept records are written too because three branches read them.
+    everything = stage(project_records(good), "parsed-a")
     timed = everything.filter(F.col("ts").isNotNull())
-    records = dedup_with_max_usage(in_window(timed, window, tz) if window else timed, everything)
+    records = stage(dedup_with_max_usage(in_window(timed, window, tz) if window else timed, everything), "kept-a")
     main = ~F.col("is_sidechain")
     user, assistant = F.col("type") == "user", F.col("type") == "assistant"
     common = [F.lit("A").alias("platform"), "file_id", "ts", "session_id", "repo", "branch", "is_sidechain", "source", "model"]

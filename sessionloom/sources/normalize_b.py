@@ -11,6 +11,7 @@ from ..operators.filters import in_window, nonzero_usage
 from ..operators.scan import CHUNK_WIDTH
 from ..operators.tokens import COUNTERS, token_deltas
 from ..schema import as_ev
+from ..session import stage
 from .logs import flag_at, get, has_shape, kind_of, number_at, text_at
 from .normalize_a import STRIDE
 
@@ -55,7 +56,7 @@ def explode_changes(records: DataFrame) -> DataFrame:
 
 def carried_records(good: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
     """Records with the carried session, repo, model and source of their file and its sub-agent flag."""
-    rec = project_records(good)
+    rec = stage(project_records(good), "parsed-b")
     p = F.col("payload")
     meta, turn = F.col("type") == "session_meta", F.col("type") == "turn_context"
     cwd = text_at(p, "$.cwd")
@@ -80,7 +81,8 @@ def plan_of_file(good: DataFrame) -> DataFrame:
 
 def normalize_b(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC", width: int = CHUNK_WIDTH) -> DataFrame:
     """Event rows of platform B. Carried state and counters see every record; the window only cuts what is emitted."""
-    rec = carried_records(good, width)
+    # Written once: every branch below reads only its record types from the Parquet table.
+    rec = stage(carried_records(good, width), "carried-b")
     p, ptype = F.col("payload"), F.col("ptype")
     main = ~F.col("is_sidechain")
 
@@ -154,7 +156,7 @@ def normalize_b(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC
     stop_rows = outcomes.filter("_stop").select(*common[1:], "platform", (F.col("seq") * STRIDE + 1).alias("seq"), F.lit("interrupt").alias("kind"), no)
 
     # Client and repository identity, once per file with main-chain usage.
-    meta = project_records(good).filter(F.col("type") == "session_meta").groupBy("file_id").agg(
+    meta = rec.filter(F.col("type") == "session_meta").groupBy("file_id").agg(
         F.max_by(text_at(p, "$.originator"), F.when(text_at(p, "$.originator") != "", F.col("seq"))).alias("originator"),
         F.bool_or(F.coalesce(get(p, "$.git.repository_url") != "", F.lit(False)) | F.coalesce(get(p, "$.git.commit_hash") != "", F.lit(False))).alias("git"),
         F.bool_or(F.coalesce(text_at(p, "$.model_provider") != "openai", F.lit(False)) & (F.coalesce(text_at(p, "$.model_provider"), F.lit("")) != "")).alias("other"))

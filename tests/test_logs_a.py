@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.timez import DayWindow
 from sessionloom.operators import behavior as B, content as D, episodes as E, tokens as T, usage as U
+from sessionloom.session import new_path
+from sessionloom.sources.sinks import land_ev
 from sessionloom.sources.logs import parse_json, read_log_files, read_logs_a, with_line_no
 from sessionloom.sources.normalize_a import digest_items_a, normalize_a
 
@@ -34,7 +36,7 @@ def result(cid, error=False, content="ok"):
 
 def load(spark, path, window=None):
     good, bad = parse_json(read_logs_a(spark, str(path)))
-    return normalize_a(good, window), bad
+    return land_ev(normalize_a(good, window), new_path(spark, "ev"), by_day=False), bad
 
 
 def test_usage_dedup_sidechain_window(spark, tmp_path, lines):

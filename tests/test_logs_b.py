@@ -5,6 +5,8 @@ import json
 
 from sessionloom.functions.timez import DayWindow
 from sessionloom.operators import behavior as B, content as D, episodes as E, usage as U
+from sessionloom.session import new_path
+from sessionloom.sources.sinks import land_ev
 from sessionloom.sources.logs import parse_json, read_logs_b
 from sessionloom.sources.normalize_b import digest_items_b, normalize_b, plan_of_file
 
@@ -55,7 +57,7 @@ def sub_log():
 
 def load(spark, path, window=DayWindow(DAY, DAY)):
     good, _ = parse_json(read_logs_b(spark, str(path)))
-    return good, normalize_b(good, window)
+    return good, land_ev(normalize_b(good, window), new_path(spark, "ev"))
 
 
 def test_rollouts(spark, tmp_path, lines):
@@ -63,7 +65,6 @@ def test_rollouts(spark, tmp_path, lines):
     lines(tmp_path / "sessions" / "2026" / "rollout-sub.jsonl", sub_log())
     lines(tmp_path / "sessions" / "2026" / "notes.jsonl", main_log())
     good, ev = load(spark, tmp_path)
-    ev = ev.cache()
     t = U.token_totals(ev).first()
     # main: 10+5, 100+35, 4+1; sub-agent: 1000.
     assert (t.input, t.output, t.cached_input, t.total) == (1114, 41, 60, 1155)
@@ -87,7 +88,6 @@ def test_rollouts(spark, tmp_path, lines):
     assert {r.source for r in ev.filter("not is_sidechain").select("source").distinct().collect()} == {"plugin"}
     eps = E.episode_detail(ev).orderBy("index").collect()
     assert [(x.effort, x.compacted, x.end_type, x.total) for x in eps] == [("high", True, "natural", 150), ("low", False, "interrupted", 5)]
-    ev.unpersist()
     # Everything in the window of the second day: the delta still knows the counters of the first.
     _, late = load(spark, tmp_path, DayWindow(dt.date(2026, 3, 5), dt.date(2026, 3, 5)))
     assert U.token_totals(late).first().total == 15
