@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import content as D
-from ..session import new_path
+from ..session import new_path, stage
 from ..sources import logs as L, normalize_a as NA, normalize_b as NB, sinks
 from ..sources.commits import parse_commits
 from ..operators.usage import by_repo
@@ -43,7 +43,8 @@ def raw_lines_a(spark, sf) -> DataFrame:
     plain = F.to_json(F.struct(*head, F.struct(mid, F.col("prompt_text").alias("content")).alias("message")))
     blocks = F.to_json(F.struct(*head, F.struct(mid, model, F.array(block).alias("content"), usage.alias("usage")).alias("message"), stop))
     value = F.when((et == "signup") & (k % 2 == 0), plain).otherwise(blocks)
-    return u.select("file_id", F.col("event_id").alias("line_no"), F.when(k % 41 == 5, F.substring(value, 1, 20)).otherwise(value).alias("value"))
+    lines = u.select("file_id", F.col("event_id").alias("line_no"), F.when(k % 41 == 5, F.substring(value, 1, 20)).otherwise(value).alias("value"))
+    return stage(lines, "lines-a")
 
 
 @plan_cache
@@ -74,7 +75,7 @@ def raw_lines_b(spark, sf) -> DataFrame:
     source = F.when(F.col("user_id") % 9 == 4, F.lit("subagent-x")).otherwise(F.lit("vscode"))
     header = first.select("file_id", F.lit(0).cast("bigint").alias("line_no"), record("session_meta", F.struct(
         F.col("session_id").alias("id"), F.concat(F.lit("/w/subagent"), F.col("user_id") % 3).alias("cwd"), source.alias("source"))).alias("value"))
-    return header.unionByName(body)
+    return stage(header.unionByName(body), "lines-b")
 
 
 @plan_cache

@@ -48,7 +48,9 @@ def with_line_no(raw: DataFrame) -> DataFrame:
 
 def parse_json(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad): parsed records with a ``rec`` variant, and the non-blank lines that are no JSON object."""
-    lines = raw.filter(F.trim("value") != "").withColumn("rec", F.try_parse_json("value"))
+    # The one-element explode keeps later filters above the parse step; they would otherwise be rewritten on the
+    # raw text and parse every line again for each field they test.
+    lines = raw.filter(F.trim("value") != "").withColumn("rec", F.explode(F.array(F.try_parse_json("value"))))
     is_object = F.coalesce(F.startswith(F.schema_of_variant("rec"), F.lit("OBJECT")), F.lit(False))
     return lines.filter(is_object).drop("value"), lines.filter(~is_object).select("file_id", "line_no", "value")
 

@@ -151,11 +151,11 @@ def digest_items_a(good: DataFrame) -> DataFrame:
     """
     from ..operators.content import tool_input_summary
     r = F.col("rec")
-    base = good.filter(~flag_at(r, "$.isSidechain")).select(
-        "file_id", F.col("line_no").alias("seq"), F.coalesce(text_at(r, "$.sessionId"), F.lit("")).alias("session_id"),
+    base = stage(good.select(
+        flag_at(r, "$.isSidechain").alias("is_sidechain"), "file_id", F.col("line_no").alias("seq"), F.coalesce(text_at(r, "$.sessionId"), F.lit("")).alias("session_id"),
         parse_instant(text_at(r, "$.timestamp")).alias("ts"), text_at(r, "$.type").alias("type"),
         get(r, "$.message.content", "variant").alias("content"), get(r, "$.toolUseResult", "variant").alias("tool_result")
-    ).filter(F.col("session_id") != "")
+    ), "digest-a").filter(~F.col("is_sidechain") & (F.col("session_id") != "")).drop("is_sidechain")
     b = F.col("block")
     blocks = explode_blocks(base.filter(F.col("type") == "assistant"))
     name = F.coalesce(text_at(b, "$.name"), F.lit(""))

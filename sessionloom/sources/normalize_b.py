@@ -179,7 +179,7 @@ def normalize_b(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC
 
 def digest_items_b(good: DataFrame) -> DataFrame:
     """Assistant messages, call arguments and outputs; reasoning and other roles never appear."""
-    rec = project_records(good)
+    rec = stage(project_records(good), "digest-b")
     p, ptype = F.col("payload"), F.col("ptype")
     sessions = rec.filter((F.col("type") == "session_meta") & text_at(p, "$.id").isNotNull()).groupBy("file_id").agg(
         F.max_by(text_at(p, "$.id"), "seq").alias("session_id"))
