@@ -25,9 +25,9 @@ FILE_EXTENSIONS = (
     "(?:py|go|js|jsx|ts|tsx|rs|java|kt|swift|c|h|cc|cpp|cxx|hpp|rb|php|cs|sh|bash|zsh|html|htm|css|scss|less|md|"
     "json|yaml|yml|toml|xml|sql|vue|svelte|dart|scala|lua|ipynb|cfg|ini|env|gradle|proto|txt|lock|mod)"
 )
-# Only existence matters, so one path part before the last slash is enough.
+# Only existence matters: one path part before the last slash, or one word character before the dot, is enough.
 FILE_REF_PATTERN = (
-    rf"(?i)@[\w\-]*[./][\w./\-]|[\w\-]/[\w\-.]*\.{FILE_EXTENSIONS}(?!\w)|(?<!\w)\w[\w\-]*\.{FILE_EXTENSIONS}(?!\w)"
+    rf"(?i)@[\w\-]*[./][\w./\-]|\w-*\.{FILE_EXTENSIONS}(?!\w)|[\w\-]/[\w\-.]*\.{FILE_EXTENSIONS}(?!\w)"
 )
 COMMAND_STUB_PATTERN = (
     r"(?i)</?(command-name|command-message|command-args|local-command-stdout|local-command-stderr)>"
@@ -73,8 +73,7 @@ def file_ref(text: Column) -> Column:
     return F.rlike(text, F.lit(FILE_REF_PATTERN))
 
 
-def constraint(text: Column) -> Column:
-    low = F.lower(text)
+def constraint(text: Column, low: Column) -> Column:
     return _any(
         [F.contains(low, F.lit(w)) for w in CONSTRAINT_WORDS_EN]
         + [F.contains(text, F.lit(w)) for w in CONSTRAINT_WORDS_ZH]
@@ -82,19 +81,19 @@ def constraint(text: Column) -> Column:
 
 
 def correction_start(text: Column) -> Column:
-    low = F.lower(text)
+    low = F.lower(F.substring(text, 1, 16))
     return _any(
         [F.startswith(low, F.lit(w)) for w in CORRECTION_STARTS_EN]
         + [F.startswith(text, F.lit(w)) for w in CORRECTION_STARTS_ZH]
     )
 
 
-def prompt_flags(text: Column) -> dict[str, Column]:
-    """Length in code points and the four flags of a trimmed prompt."""
+def prompt_flags(text: Column, low: Column | None = None) -> dict[str, Column]:
+    """Length in code points and the four flags of a trimmed prompt; ``low`` is its lower-case column if there is one."""
     return {
         "len": F.length(text).cast("bigint"),
         "structured": structured(text),
         "file_ref": file_ref(text),
-        "constraint": constraint(text),
+        "constraint": constraint(text, F.lower(text) if low is None else low),
         "correction": correction_start(text),
     }

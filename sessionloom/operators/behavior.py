@@ -187,8 +187,8 @@ def _signal_columns(n: Column) -> list[Column]:
 
 def prompt_flag_rows(prompts: DataFrame, text: str, *keep: str) -> DataFrame:
     """Length and 0/1 flags of each non-blank prompt; the text itself is dropped."""
-    clean = prompts.withColumn("_t", T.strip_ws(F.col(text))).filter(F.col("_t") != "")
-    flags = P.prompt_flags(F.col("_t"))
+    clean = prompts.withColumn("_t", T.strip_ws(F.col(text))).filter(F.col("_t") != "").withColumn("_low", F.lower("_t"))
+    flags = P.prompt_flags(F.col("_t"), F.col("_low"))
     return clean.select(*keep, *[c.cast("bigint").alias(name) for name, c in flags.items()])
 
 

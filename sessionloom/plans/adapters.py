@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import models, numbers, prompts, text
 from ..schema import as_ev
-from ..session import new_path
+from ..session import new_path, spread
 from ..sources.sinks import land_ev
 from . import corpus as C
 
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with long texts, spread over the cores when it comes as one small file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def pick(values: list[str], index: Column) -> Column:
     """The list entry at ``index`` modulo the list length."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
@@ -42,7 +47,7 @@ def events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, kind = F.col("event_id"), F.col("event_type")
     k, model = F.col("k"), F.col("model")
     claude = F.startswith(model, F.lit("claude"))
-    base = table(spark, sf_dir, "events").select(
+    base = spread(table(spark, sf_dir, "events")).select(
         "event_id", "ts", "user_id", "event_type",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         F.floor(F.col("value") * 100).cast("bigint").alias("input"),

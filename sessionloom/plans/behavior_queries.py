@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import behavior as B, joins as J, sessions as S, topk as K, usage as U
-from .adapters import events_as_ev, events_wide, table
+from .adapters import events_as_ev, events_wide, table, texts
 from .registry import first_token_sql, git_sql, query, ratio4_sql, ratio_sql, round_sql
 
 MAIN = "NOT is_sidechain"
@@ -188,13 +188,13 @@ def _(spark, sf):
 WITH p AS (SELECT conv_id % 7 AS grp, {PROMPT_FLAGS_SQL} FROM (SELECT conv_id, trim(text, E' \\t\\n\\r') AS t FROM conversations WHERE role = 'user') WHERE t <> '')
 SELECT grp, {SIGNALS_SQL} FROM p GROUP BY 1""", on_u=False)
 def _(spark, sf):
-    c = table(spark, sf, "conversations").filter(F.col("role") == "user").withColumn("grp", F.col("conv_id") % 7)
+    c = texts(spark, sf, "conversations").filter(F.col("role") == "user").withColumn("grp", F.col("conv_id") % 7)
     return B.prompt_signals(c, "text", "grp")
 
 
 @query("h8_prompt_flags", f"SELECT doc_id, len, structured, file_ref, constr AS \"constraint\", correction FROM (SELECT doc_id, {PROMPT_FLAGS_SQL} FROM (SELECT doc_id, trim(text, E' \\t\\n\\r') AS t FROM documents) WHERE t <> '')", on_u=False)
 def _(spark, sf):
-    return B.prompt_flag_rows(table(spark, sf, "documents"), "text", "doc_id")
+    return B.prompt_flag_rows(texts(spark, sf, "documents"), "text", "doc_id")
 
 
 @query("a28_session_candidates", f"""

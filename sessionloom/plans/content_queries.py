@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.redact import mask, redact
 from ..operators import content as D, joins as J, sessions as S, topk as K
-from .adapters import events_as_ev, pick, table
+from .adapters import events_as_ev, pick, table, texts
 from .behavior_queries import PROMPT_FLAGS_SQL
 from .registry import query
 
@@ -38,12 +38,12 @@ def redact_sql(t: str, limit: int) -> str:
 
 @query("h10_mask", f"SELECT doc_id, md5({mask_sql('text')}) AS masked FROM documents", on_u=False)
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(mask(F.col("text"))).alias("masked"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(mask(F.col("text"))).alias("masked"))
 
 
 @query("d1_redact", f"SELECT doc_id, md5({redact_sql('text', 200)}) AS preview FROM documents", on_u=False)
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(redact(F.col("text"), 200)).alias("preview"))
+    return texts(spark, sf, "documents").select("doc_id", F.md5(redact(F.col("text"), 200)).alias("preview"))
 
 
 @query("d2_prompt_preview", f"""
@@ -51,7 +51,7 @@ WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER B
 SELECT conv_id, turn, idx, len, structured = 1 AS structured, file_ref = 1 AS file_ref, constr = 1 AS "constraint", correction = 1 AS correction, preview
 FROM (SELECT conv_id, turn, idx, {PROMPT_FLAGS_SQL}, {redact_sql('t', 1200)} AS preview FROM p)""", on_u=False)
 def _(spark, sf):
-    prompts = table(spark, sf, "conversations").filter(F.col("role") == "user")
+    prompts = texts(spark, sf, "conversations").filter(F.col("role") == "user")
     return D.prompt_preview(prompts, ["conv_id"], "turn", "text")
 
 
@@ -74,7 +74,7 @@ p AS (SELECT *, sum(length(preview)) OVER (PARTITION BY conv_id ORDER BY turn) -
 def _items(spark, sf):
     role = F.col("role")
     kind = F.when(role == "assistant", F.lit("ASSISTANT")).when(role == "user", F.lit("RESULT")).otherwise(F.lit("TOOL"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("kind"), "text")
+    return texts(spark, sf, "conversations").select("conv_id", "turn", kind.alias("kind"), "text")
 
 
 @query("d5_pack_digest", f"WITH {ITEMS_SQL} SELECT conv_id, turn, kind, md5(preview) AS preview FROM p WHERE emitted", on_u=False)

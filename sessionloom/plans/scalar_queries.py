@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models as M, numbers as N, prompts as P, text as X, timez as Z
 from . import corpus as C
-from .adapters import events_wide, pick, table
+from .adapters import events_wide, pick, table, texts
 from .registry import (BASE, CORRECTION_SQL, ERROR_SQL, HUMAN_SQL, LONG_RUN_SQL, THINKING_SQL, first_token_sql, git_sql, query,
                        sql_list)
 
@@ -45,7 +45,7 @@ def _(spark, sf):
 
 @query("h7_classify_error", f"SELECT doc_id, {ERROR_SQL.format('text')} AS category FROM documents", on_u=False)
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.classify_error(F.col("text")).alias("category"))
+    return texts(spark, sf, "documents").select("doc_id", X.classify_error(F.col("text")).alias("category"))
 
 
 @query("h7_classify_error_lines", f"SELECT event_id, {ERROR_SQL.format('t')} AS category FROM (SELECT event_id, {sql_list(C.ERRORS, 'event_id')} AS t FROM events)", on_u=False)
@@ -56,7 +56,7 @@ def _(spark, sf):
 @query("h9_text_flags", f"SELECT doc_id, {CORRECTION_SQL.format('text')} AS correction, {LONG_RUN_SQL.format('text')} AS long_run, {THINKING_SQL.format('text')} AS thinking FROM documents", on_u=False)
 def _(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", P.is_correction(t).alias("correction"), P.is_long_run(t).alias("long_run"), P.is_thinking(t).alias("thinking"))
 
 
@@ -71,7 +71,7 @@ def _(spark, sf):
 @query("f4_human_prompts", f"""
 SELECT conv_id, turn FROM conversations WHERE role = 'user' AND {HUMAN_SQL.format('text')} AND turn % 5 <> 4""", on_u=False)
 def _(spark, sf):
-    c = table(spark, sf, "conversations").filter(F.col("role") == "user")
+    c = texts(spark, sf, "conversations").filter(F.col("role") == "user")
     return c.filter(P.is_human_prompt(F.col("text"), F.col("turn") % 5 == 4)).select("conv_id", "turn")
 
 
