@@ -39,12 +39,12 @@ def diligence_tier() -> Column:
             .when(c("active_days") >= 5, F.lit(0)).otherwise(F.lit(2)))
 
 
-def autonomy_tier() -> Column:
-    """Proposed fifth axis: edits per session and how often a person changed them."""
+def autonomy_tier(hands_off_below: float = 0.5) -> Column:
+    """P10: 3 with hardly any edits per session, else 0 to 2 by how often a person changed the edits."""
     c = F.col
     per_session = c("edits").cast("double") / F.greatest(c("sessions"), F.lit(1)).cast("double")
-    return (F.when(c("edits") == 0, F.lit(3)).when((per_session >= 5) & (c("user_modified_rate") <= 0.1), F.lit(0))
-            .when(c("user_modified_rate") <= 0.25, F.lit(1)).otherwise(F.lit(2)))
+    return (F.when(per_session < hands_off_below, F.lit(3)).when(c("user_modified_rate") >= 0.5, F.lit(0))
+            .when(c("user_modified_rate") >= 0.15, F.lit(1)).otherwise(F.lit(2)))
 
 
 def tier_scores(users: DataFrame, *keys: str) -> DataFrame:
