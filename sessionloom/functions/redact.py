@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import NOT_WS, WS, strip_ws
+from .text import NOT_WS, WS, WS_CHARS, strip_ws
 
 # What is masked, in this order, and what replaces it.
 REDACTIONS = [
@@ -35,7 +35,7 @@ def mask(text: Column, home: str | None = None) -> Column:
 
 
 def truncate(text: Column, limit: int) -> Column:
-    cut = F.concat(F.regexp_replace(F.substring(text, 1, limit), rf"{WS}+\z", ""), F.lit(TRUNCATION_MARK))
+    cut = F.concat(F.rtrim(F.substring(text, 1, limit), F.lit(WS_CHARS)), F.lit(TRUNCATION_MARK))
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 

@@ -48,8 +48,12 @@ AUXILIARY_LANGUAGES = ["Markdown", "Config", "Text", "JSON", "YAML", "TOML", "XM
 OFFICIAL_HOSTS = ["api.anthropic.com", "api.openai.com", "chatgpt.com"]
 
 
+# The same characters one by one, for trimming without a pattern.
+WS_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def strip_ws(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def collapse_ws(text: Column) -> Column:

@@ -18,6 +18,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_key(df: DataFrame, key: str, *order: str) -> Column:
+    """The key, or a value of the row's own when it is null: null keys match nothing and must not share one task."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), *[F.concat(F.col(c).cast("string"), F.lit(":")) for c in order]))
+
+
 def dedup_key(message_id: Column, request_id: Column, uuid: Column) -> Column:
     """``message:request`` when there is a message id, else the record id, else null."""
     return F.when(message_id != "", F.concat(message_id, F.lit(":"), F.coalesce(request_id, F.lit("")))).when(uuid != "", uuid)
@@ -46,7 +51,7 @@ def dedup_with_max_usage(in_window: DataFrame, all_rows: DataFrame, key: str = "
     """Keep-first records of the window with the usage replaced by the largest one seen at any time."""
     kept = dedup_records(in_window, key, *order)
     best = max_usage(all_rows, key, *order).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in TOKEN_BUCKETS])
-    joined = kept.join(best, F.col(key) == F.col("_k"), "left")
+    joined = kept.withColumn("_j", join_key(kept, key, *(order or ("file_id", "seq")))).join(best, F.col("_j") == F.col("_k"), "left")
     use = F.col("total").isNotNull() & F.col("_total").isNotNull()
     swapped = {c: F.when(use, F.col(f"_{c}")).otherwise(F.col(c)) for c in TOKEN_BUCKETS}
     return joined.withColumns(swapped).select(*in_window.columns)
@@ -57,7 +62,8 @@ def tool_name_for_result(results: DataFrame, uses: DataFrame, *order: str) -> Da
     order = order or ("file_id", "seq")
     names = uses.filter(F.col("call_id").isNotNull()).groupBy(F.col("call_id").alias("_c")).agg(
         F.max_by("tool_name", F.struct(*order)).alias("_name"))
-    joined = results.join(names, F.col("call_id") == F.col("_c"), "left")
+    own = join_key(results, "call_id", *[c for c in ("file_id", "seq") if c in results.columns])
+    joined = results.withColumn("_j", own).join(names, F.col("_j") == F.col("_c"), "left")
     return joined.withColumn("tool_name", F.coalesce("_name", F.lit("(unknown)"))).select(
         *[c for c in results.columns if c != "tool_name"], "tool_name")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import models as M
 from ..functions.timez import epoch_micros
 from ..operators import episodes as E, filters as FI, joins as J, scan as SC, tokens as T, topk as K, usage as U
+from ..session import stage
 from .adapters import events_as_ev, events_wide, plan_cache, table
 from .registry import NORM, query, ratio4_sql, ratio_sql, round_sql
 
@@ -234,7 +235,7 @@ def _(spark, sf):
     cols = ("input", "cached_input", "output", "reasoning_output")
     cumulative = SC.ordered_scan(u.select("file_id", F.col("event_id").alias("seq"), *cols), ["file_id"], "seq",
                                  [SC.running_sum(f"total_{c}", F.col(c)) for c in cols])
-    rows = cumulative.select(
+    rows = stage(cumulative, "counters").select(
         "file_id", "seq", *[F.col(c).alias(f"last_{c}") for c in cols], *[f"total_{c}" for c in cols],
         F.lit(0).cast("bigint").alias("last_total"), F.lit(0).cast("bigint").alias("total_total"),
         (F.col("seq") % 3 != 0).alias("has_last"), (F.col("seq") % 7 != 0).alias("has_total"))
