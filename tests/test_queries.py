@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sessionloom.plans import catalog
 from sessionloom.schema import TEXT_COLUMNS
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,15 +23,15 @@ def key(row):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.SQL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(name, spark, sf_dir, con):
-    df = entry.queries()[name](spark, sf_dir)
+    df = catalog.QUERIES[name](spark, sf_dir)
     cols = sorted(df.columns)
     ours = sorted((tuple(r) for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=key)
-    cur = con.execute(entry.oracle_sql()[name])
+    cur = con.execute(catalog.SQL[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
