@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import op2_bpe, op7_langid, op10_minhash
+from . import op2_bpe, op7_langid, op9_toxicity, op10_minhash
 
-MODULES = [op2_bpe, op7_langid, op10_minhash]
+MODULES = [op2_bpe, op7_langid, op9_toxicity, op10_minhash]
 QUERIES = {name: build for m in MODULES for name, build in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
