@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import op2_bpe, op3_fingerprint, op5_chat, op6_suffix, op7_langid, op8_decontam, op9_toxicity, op10_minhash
+from . import op2_bpe, op3_fingerprint, op4_html, op5_chat, op6_suffix, op7_langid, op8_decontam, op9_toxicity, op10_minhash
 
-MODULES = [op2_bpe, op3_fingerprint, op5_chat, op6_suffix, op7_langid, op8_decontam, op9_toxicity, op10_minhash]
+MODULES = [op2_bpe, op3_fingerprint, op4_html, op5_chat, op6_suffix, op7_langid, op8_decontam, op9_toxicity, op10_minhash]
 QUERIES = {name: build for m in MODULES for name, build in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
