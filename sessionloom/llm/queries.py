@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from . import op2_bpe, op3_fingerprint, op4_html, op5_chat, op6_suffix, op7_langid, op8_decontam, op9_toxicity, op10_minhash
+import corpus_pipeline
 
-MODULES = [op2_bpe, op3_fingerprint, op4_html, op5_chat, op6_suffix, op7_langid, op8_decontam, op9_toxicity, op10_minhash]
-QUERIES = {name: build for m in MODULES for name, build in m.QUERIES.items()}
-SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
+from . import op1_quality, op2_bpe, op3_fingerprint, op4_html, op5_chat, op6_suffix, op7_langid, op8_decontam, op9_toxicity, op10_minhash
+
+MODULES = [op1_quality, op2_bpe, op3_fingerprint, op4_html, op5_chat, op6_suffix, op7_langid, op8_decontam, op9_toxicity, op10_minhash]
+QUERIES = {name: build for m in MODULES for name, build in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+SQL = {name: text for m in MODULES for name, text in m.SQL.items()} | (
+    {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
