@@ -28,7 +28,7 @@ from .components import connected_components
 WORDS = 5
 COORDINATES = 64
 TREES = 16
-LEAF = 256
+LEAF = 2048
 LEVEL = 0.85
 #: Estimates from 64 tokens are off by 0.045 (one standard deviation) at 0.85.
 LIKELY, CLOSE = 0.70, 0.92
@@ -139,7 +139,7 @@ def _compare(batches):
             alike += tokens[:, c, None] == tokens[None, :, c]
         a, b = np.nonzero(np.triu(alike >= LIKELY * COORDINATES, 1))
         order = np.argsort(-alike[a, b], kind="stable")
-        for x, y in _forests(len(ids), a[order].tolist(), b[order].tolist()):
+        for x, y in _forests(len(ids), a[order], b[order]):
             out.append((int(ids[x]), int(ids[y])))
         if len(out) > 20_000:
             yield _pairs(out)
@@ -151,10 +151,11 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _forests(n: int, a: list[int], b: list[int]):
+def _forests(n: int, a: np.ndarray, b: np.ndarray):
     """Links in the given order that join two parts of the first forest that they don't close a ring in."""
     parents = [list(range(n)) for _ in range(FORESTS)]
-    for x, y in zip(a, b):
+    open_links = FORESTS * (n - 1)
+    for x, y in ((x, y) for lo in range(0, len(a), 10_000) for x, y in zip(a[lo:lo + 10_000].tolist(), b[lo:lo + 10_000].tolist())):
         for parent in parents:
             u, v = x, y
             while parent[u] != u:
@@ -166,18 +167,29 @@ def _forests(n: int, a: list[int], b: list[int]):
             if u != v:
                 parent[u] = v
                 yield x, y
+                open_links -= 1
                 break
+        if not open_links:  # every forest spans the leaf
+            return
 
 
 def _against_pivots(batches):
+    """The pivot of its node that each class is most alike, if it is likely near it."""
     for big in batches:
-        for lo in range(0, big.num_rows, 8192):
-            batch = big.slice(lo, 8192)
-            alike = (_tokens(batch) == _tokens(batch, "pivot_tokens")).mean(axis=1)
+        for lo in range(0, big.num_rows, 1024):
+            batch = big.slice(lo, 1024)
+            rows, pivots = _tokens(batch), batch.column("pivots")
+            best, alike = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+            for i, row in enumerate(rows):
+                own = pivots[i].values
+                known = np.frombuffer(b"".join(own.field("tokens").to_pylist()), "<u4").reshape(-1, COORDINATES)
+                same = (known == row).mean(axis=1)
+                at = int(np.argmax(same))
+                best[i], alike[i] = own.field("set_id")[at].as_py(), same[at]
             keep = pa.array(alike >= LIKELY)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").filter(keep), batch.column("set_id").filter(keep), batch.column("pivot").filter(keep),
-                 pa.array(alike[alike >= LIKELY])], ["node", "set_id", "pivot", "alike"])
+                [batch.column("node").filter(keep), batch.column("set_id").filter(keep), pa.array(best).filter(keep), pa.array(alike).filter(keep)],
+                ["node", "set_id", "pivot", "alike"])
 
 
 def _confirm(batches, percent: int):
@@ -203,21 +215,22 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     level = stage(classes.select("set_id", "tokens").mapInArrow(lambda it: _grow(it, TREES), "node long, set_id long"), "nodes")
     leaves, pairs = [], []
     while True:
-        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("mark"))
-        small = sizes.where((F.col("n") > 1) & (F.col("n") <= LEAF))
+        sizes = stage(level.groupBy("node").agg(
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("n > 1"), "sizes")
         # the same classes meet in many trees; one leaf stands for all
-        chosen = small.groupBy("n", "mark").agg(F.min("node").alias("node")).select("node")
-        leaves.append(stage(level.join(chosen, "node"), "leaves"))
-        big = stage(level.join(sizes.where(F.col("n") > LEAF).select("node", "n"), "node"), "large")
-        if big.isEmpty():
+        chosen = sizes.where(F.col("n") <= LEAF).groupBy("n", "mark").agg(F.min("node").alias("node")).select("node")
+        leaves.append(level.join(chosen, "node"))
+        large = sizes.where(F.col("n") > LEAF).select("node", "n")
+        if large.isEmpty():
             break
-        big = big.join(classes.select("set_id", "tokens"), "set_id")
+        big = stage(level.join(large, "node").join(classes.select("set_id", "tokens"), "set_id"), "large")
+        # about eight pivots a node, whatever its size
         chance = F.pmod(F.xxhash64("set_id", "node"), F.floor(F.col("n") / 8)) == 0
-        pivots = big.where(chance).select("node", F.col("set_id").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
+        pivots = big.where(chance).groupBy("node").agg(F.collect_list(F.struct("set_id", "tokens")).alias("pivots"))
         near = stage(big.select("node", "set_id", "tokens").join(pivots, "node").mapInArrow(
             _against_pivots, "node long, set_id long, pivot long, alike double"), "near")
         pairs.append(near.where("set_id != pivot").select(*_ordered("set_id", "pivot")))
-        left = near.where(F.col("alike") >= CLOSE).select("node", "set_id").distinct()
+        left = near.where(F.col("alike") >= CLOSE).select("node", "set_id")
         level = stage(big.select("node", "set_id", "tokens").join(left, ["node", "set_id"], "left_anti").mapInArrow(
             lambda it: _grow(it, 1), "node long, set_id long"), "nodes")
     every = leaves[0]
