@@ -20,10 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import BLOCK, list_array, mix, table, text_blocks, word_hashes
+from .common import list_array, mix, table, text_blocks, word_hashes
 
 #: Distinct words a task keeps before it starts anew; bounds its memory and changes no result.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
+#: Bytes of text whose distinct words are replayed together.
+HELD_BYTES = 8 << 20
 _vocabularies: dict[str, "Vocabulary"] = {}
 
 
@@ -335,7 +337,7 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str) -> DataFrame:
         for part in text_blocks(batches):
             held.append(Block(*part))
             size += len(part[1])
-            if size > 32 * BLOCK:
+            if size > HELD_BYTES:
                 yield from done()
                 size = 0
         yield from done()
