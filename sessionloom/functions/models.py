@@ -33,7 +33,7 @@ def normalize_model(model: Column) -> Column:
     m = F.lower(F.trim(F.coalesce(model, F.lit(""))))
     m = F.when(
         F.startswith(m, F.lit("gpt5")) & ~F.startswith(m, F.lit("gpt-5")),
-        F.concat(F.lit("gpt-5"), F.substring(m, 5, 1 << 20)),
+        F.concat(F.lit("gpt-5"), F.substring(m, F.lit(5), F.length(m))),
     ).otherwise(m)
     return F.when(F.startswith(m, F.lit("codex-mini")), F.lit("codex-mini")).otherwise(m)
 

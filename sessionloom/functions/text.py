@@ -123,12 +123,12 @@ def command_from_args(args: Column) -> Column:
 
 
 def mcp_server(name: Column) -> Column:
-    rest = F.substring(name, 6, 1 << 20)
+    rest = F.substring(name, F.lit(6), F.length(name))
     return F.when(F.startswith(name, F.lit("mcp__")), F.substring_index(rest, "__", 1))
 
 
 def mcp_tool(name: Column) -> Column:
-    rest = F.substring(name, 6, 1 << 20)
+    rest = F.substring(name, F.lit(6), F.length(name))
     at = F.instr(rest, "__")
     return F.when(
         F.startswith(name, F.lit("mcp__")),

@@ -68,21 +68,17 @@ def feature_evidence(records: DataFrame, *keys: str) -> DataFrame:
 
 def index_quantile(df: DataFrame, value: str, q: float, width: int = CHUNK_WIDTH) -> DataFrame:
     """Value at sorted index floor(n*q), counted from 0; one row."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    total = counts.groupBy("_one").agg(F.sum("_n").alias("_t"))
-    running = ordered_scan(counts, ["_one"], value, [running_sum("_upto", F.col("_n"))], width).join(total, "_one")
-    at = F.least(F.floor(F.col("_t") * F.lit(q)), F.col("_t") - 1)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    running = ordered_scan(counts, [], value, [running_sum("_upto", F.col("_n"))], width)
+    at = counts.agg(F.least(F.floor(F.sum("_n") * F.lit(q)), F.sum("_n") - 1)).scalar()
     return running.filter(F.col("_upto") > at).agg(F.min(value).alias("value"))
 
 
 def hygiene_stats(turns: DataFrame, duration: str = "duration_ms", width: int = CHUNK_WIDTH) -> DataFrame:
     """Count, p50, p95 and maximum of turn durations; one row."""
-    one = F.lit(1).alias("_one")
-    base = turns.filter(F.col(duration).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.max(duration).alias("max")).select("*", one)
-    out = base
-    for name, q in (("p50", 0.5), ("p95", 0.95)):
-        out = out.join(index_quantile(turns, duration, q, width).select(F.col("value").alias(name), one), "_one")
-    return out.select("n", "p50", "p95", "max")
+    base = turns.filter(F.col(duration).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.max(duration).alias("max"))
+    p50, p95 = (index_quantile(turns, duration, q, width).scalar() for q in (0.5, 0.95))
+    return base.select("n", p50.alias("p50"), p95.alias("p95"), "max")
 
 
 def compaction_stats(df: DataFrame, size: str = "pre_tokens") -> DataFrame:

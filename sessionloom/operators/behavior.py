@@ -72,10 +72,8 @@ def git_habits(ev: DataFrame, branches: DataFrame) -> DataFrame:
         n("commit").alias("commit"), n("push").alias("push"))
     per_repo = branches.groupBy("repo").agg(F.count(F.lit(1)).alias("b")).agg(
         F.coalesce(F.sum("b"), F.lit(0)).alias("branch_count"), count_true(F.col("b") > 1).alias("multi_branch_repos"))
-    # Both sides are one-row aggregates; the constant key keeps this an equi-join.
-    joined = counts.withColumn("_one", F.lit(1)).join(per_repo.withColumn("_one", F.lit(1)), "_one")
-    return joined.select(
-        "command_count", "branch_count", "multi_branch_repos",
+    return counts.select(
+        "command_count", *[per_repo.select(c).scalar().alias(c) for c in ("branch_count", "multi_branch_repos")],
         (F.col("status") > 0).alias("reviews_status"), (F.col("diff") > 0).alias("reviews_diff"),
         (F.col("history") > 0).alias("reviews_history"),
         ((F.col("commit") == 0) & ((F.col("diff") > 0) | (F.col("status") > 0))).alias("risk_no_commit"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.models import nano_to_usd
 from ..functions.numbers import or_unknown, percent_share, ratio4
 from ..functions.text import GIT_SUBCOMMANDS, base_name
+from ..functions.timez import local_hour
 from . import behavior as B, usage as U
 from .filters import clean_commands, clean_git
 from .topk import top_per_group
@@ -20,14 +21,14 @@ def union_platforms(*evs: DataFrame) -> DataFrame:
     return out
 
 
-def platform_profile(ev: DataFrame) -> DataFrame:
-    """Behaviour counts of each platform as (platform, block, name, n): commands, git, tools, hours, sources, repositories."""
+def platform_profile(ev: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Counts of each platform as (platform, block, name, n): commands, git, tools, hours, repositories."""
     def block(name: str, df: DataFrame, label: str, n: str, top: int | None = None) -> DataFrame:
         rows = df.select("platform", F.lit(name).alias("block"), F.col(label).cast("string").alias("name"), F.col(n).alias("n"))
         return top_per_group(rows, top, ["platform"], "n", "name").drop("rank") if top else rows
 
     calls = B.command_counts(ev, "platform")
-    hours = ev.filter(F.col("total").isNotNull()).groupBy("platform", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    hours = ev.filter(F.col("total").isNotNull()).groupBy("platform", local_hour(F.col("ts"), tz).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     repos = ev.filter(F.col("total").isNotNull()).groupBy("platform", or_unknown(F.col("repo")).alias("repo")).agg(F.sum("total").alias("n"))
     return union_platforms(
         block("command", clean_commands(calls), "command", "calls", 12),
@@ -37,11 +38,11 @@ def platform_profile(ev: DataFrame) -> DataFrame:
         block("repo", repos, "repo", "n", 10))
 
 
-def platform_summary(ev: DataFrame) -> DataFrame:
+def platform_summary(ev: DataFrame, tz: str = "UTC") -> DataFrame:
     """One row per platform: sessions, days, range, disjoint tokens, cost, cache rate."""
     cost = U.priced_sums(U.usage_rows(ev), "platform").groupBy("platform").agg(nano_to_usd(F.sum("nano")).alias("cost_usd"))
     parts = (
-        U.activity(ev, "platform"), U.date_range(ev, "UTC", "platform"),
+        U.activity(ev, "platform"), U.date_range(ev, tz, "platform"),
         U.token_composition(ev, "platform").select("platform", "fresh", "cache_read", "cache_write", "output", "total"),
         U.cache_rates(ev, "platform").select("platform", "cache_hit_rate"))
     out = cost

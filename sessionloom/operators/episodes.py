@@ -14,7 +14,7 @@ from ..functions.timez import epoch_micros
 from ..schema import TOKEN_BUCKETS
 from ..session import stage
 from .filters import main_only, nonempty_episodes
-from .scan import CHUNK_WIDTH, following, last_before, last_seen, ordered_scan, previous, running_count, running_sum
+from .scan import CHUNK_WIDTH, EV_WIDTH, following, last_before, last_seen, ordered_scan, previous, running_count, running_sum
 
 # Thresholds of the loop signals.
 EDIT_RING_MIN = 3
@@ -30,7 +30,7 @@ DOC_EXTENSIONS = ["md", "mdx", "rst", "txt"]
 KEY = ["file_id", "ep"]
 
 
-def boundaries(ev: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+def boundaries(ev: DataFrame, width: int = EV_WIDTH) -> DataFrame:
     """One row per episode start: episode number in its file, index in its session, correction by the next one.
 
     The session index counts over files in path order: rank within (file, session) plus the starts of the
@@ -55,7 +55,7 @@ def boundaries(ev: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
         (F.col("_rank") - 1 + F.col("_offset")).alias("index"), "is_correction", "thinking_directive", "corrected_by_next")
 
 
-def label_episodes(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int = CHUNK_WIDTH) -> DataFrame:
+def label_episodes(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int = EV_WIDTH) -> DataFrame:
     """Main-chain rows with their episode number and running positions; rows before the first start are dropped."""
     rows = main_only(ev)
     used = F.col("total").isNotNull()
@@ -205,11 +205,13 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float, width: in
 
 def time_outlier(episodes: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
     """Longer than the p90 of its task type and than the floor; small types use the global p90, flagged."""
-    by_type = nearest_rank(episodes, ["task_type"], "active_ms", 0.9, width).select(
-        F.col("task_type"), F.col("q_value").alias("_type_p90"), F.col("rows").alias("_type_rows"))
-    overall = nearest_rank(episodes.withColumn("_all", F.lit(1)), ["_all"], "active_ms", 0.9, width).select("_all", F.col("q_value").alias("_p90"))
-    # At most one row per task label and one row overall: both are bounded by the fixed label list.
-    out = episodes.join(F.broadcast(by_type), "task_type").withColumn("_all", F.lit(1)).join(F.broadcast(overall), "_all")
+    # One pass for the types and for all episodes, which count under the key "*".
+    keyed = episodes.select(F.explode(F.array(F.col("task_type"), F.lit("*"))).alias("_key"), "active_ms")
+    limits = nearest_rank(keyed, ["_key"], "active_ms", 0.9, width)
+    overall = F.max(F.when(F.col("_key") == "*", F.col("q_value"))).over(Window.partitionBy())
+    # At most one row per task label: bounded by the fixed label list.
+    by_type = limits.select("_key", F.col("q_value").alias("_type_p90"), F.col("rows").alias("_type_rows"), overall.alias("_p90"))
+    out = episodes.join(F.broadcast(by_type), episodes["task_type"] == by_type["_key"])
     low = F.col("_type_rows") < MIN_SAMPLES
     limit = F.when(low, F.col("_p90")).otherwise(F.col("_type_p90"))
     return out.withColumns({
@@ -246,38 +248,38 @@ DETAIL_COLUMNS = [
 ]
 
 
-def raw_episodes(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int = CHUNK_WIDTH) -> DataFrame:
+def raw_episodes(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int = EV_WIDTH) -> DataFrame:
     """One row per non-empty episode with features, before the comparisons between episodes."""
     facets = stage(episode_facets(label_episodes(ev, cap_seconds, width)), "facets")
-    rows = boundaries(ev, width).join(episode_features(facets), KEY).join(quiet_runs(facets, width), KEY, "left")
+    rows = boundaries(ev, width).join(episode_features(facets), KEY).join(quiet_runs(facets, min(width, CHUNK_WIDTH)), KEY, "left")
     rows = rows.withColumn("quiet_run", F.coalesce("quiet_run", F.lit(0)))
     return with_end_type(with_spiral(with_task_type(nonempty_episodes(rows))))
 
 
-def episode_detail(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int = CHUNK_WIDTH) -> DataFrame:
+def episode_detail(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int = EV_WIDTH) -> DataFrame:
     """The full episode table: counts, flags and labels only."""
     rows = stage(raw_episodes(ev, cap_seconds, width), "episodes")
-    full = with_severity(time_outlier(rows, width))
+    full = with_severity(time_outlier(rows, min(width, CHUNK_WIDTH)))
     return full.withColumns({
         "end_ts": F.greatest("start_ts", "last_ts"), "duration_seconds": F.floor(F.col("active_ms") / 1000).cast("bigint"),
         "error_count": F.col("errors"), "error_rate": round_to(F.col("error_rate_raw"), 4)}).select(*DETAIL_COLUMNS)
 
 
-def error_runs(ev: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+def error_runs(ev: DataFrame, width: int = EV_WIDTH) -> DataFrame:
     """Longest run of consecutive failed results per episode."""
     rows = label_episodes(ev, width=width).filter(F.col("kind") == "tool_result")
     runs = rows.groupBy(*KEY, "ok_results").agg(count_true(F.coalesce(F.col("is_error"), F.lit(False))).alias("n"))
     return runs.groupBy(*KEY).agg(F.max("n").alias("error_run"))
 
 
-def edit_stats(ev: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+def edit_stats(ev: DataFrame, width: int = EV_WIDTH) -> DataFrame:
     """Largest edit count of one file and distinct files per episode."""
     rows = label_episodes(ev, width=width).filter((F.col("kind") == "tool_call") & (F.col("tool_kind") == "file") & (F.col("file_base") != ""))
     per_file = rows.groupBy(*KEY, "file_base").agg(count_true(F.coalesce(F.col("is_edit"), F.lit(False))).alias("n"))
     return per_file.groupBy(*KEY).agg(F.max("n").alias("max_edits_per_file"), F.count(F.lit(1)).alias("files_touched"))
 
 
-def dominant_model(ev: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+def dominant_model(ev: DataFrame, width: int = EV_WIDTH) -> DataFrame:
     rows = label_episodes(ev, width=width).filter(F.col("total").isNotNull())
     per = rows.groupBy(*KEY, M.normalize_model(F.col("model")).alias("model")).agg(F.sum("total").alias("t")).filter(F.col("model") != "")
     return per.groupBy(*KEY).agg(F.min(F.struct((-F.col("t")).alias("t"), "model"))["model"].alias("model"))
@@ -298,9 +300,9 @@ def episode_summary(episodes: DataFrame, *keys: str) -> DataFrame:
 
 
 def task_mix(episodes: DataFrame) -> DataFrame:
-    counts = episodes.groupBy("task_type").agg(F.count(F.lit(1)).alias("episodes")).withColumn("_one", F.lit(1))
-    total = counts.groupBy("_one").agg(F.sum("episodes").alias("_t"))
-    return counts.join(total, "_one").select("task_type", "episodes", ratio4(F.col("episodes"), F.col("_t")).alias("share"))
+    counts = episodes.groupBy("task_type").agg(F.count(F.lit(1)).alias("episodes"))
+    total = F.sum("episodes").over(Window.partitionBy())  # one row per task label
+    return counts.select("task_type", "episodes", ratio4(F.col("episodes"), total).alias("share"))
 
 
 def deepest_pit(episodes: DataFrame) -> DataFrame:
@@ -328,9 +330,8 @@ def effort_calibration(episodes: DataFrame) -> DataFrame:
         round_to(ratio(F.sum("total"), n), 0).alias("avg_total_tokens"),
         round_to(ratio(F.sum("reasoning_output"), n), 0).alias("avg_reasoning_tokens"),
         (n < MIN_SAMPLES).alias("low_confidence"))
-    seen = episodes.agg(F.coalesce(F.bool_or(claude & F.col("thinking_directive")), F.lit(False)).alias("_on")).withColumn("_one", F.lit(1))
-    kept = groups.withColumn("_one", F.lit(1)).join(seen, "_one").filter((F.col("dial") != "thinking") | F.col("_on"))
-    return kept.drop("_one", "_on")
+    seen = episodes.agg(F.coalesce(F.bool_or(claude & F.col("thinking_directive")), F.lit(False)).alias("on")).scalar()
+    return groups.filter((F.col("dial") != "thinking") | seen)
 
 
 def context_rot_buckets(episodes: DataFrame) -> DataFrame:
@@ -347,13 +348,14 @@ def context_rot_buckets(episodes: DataFrame) -> DataFrame:
 def context_rot(episodes: DataFrame) -> DataFrame:
     """Baseline, inflection index and confidence of the curve; one row."""
     enough = F.col("episodes") >= MIN_SAMPLES
-    buckets = context_rot_buckets(episodes).withColumn("_one", F.lit(1))
-    head = buckets.groupBy("_one").agg(
-        F.min_by("rot_rate", F.when(enough, F.col("index_from"))).alias("base"), F.min(F.when(enough, F.col("index_from"))).alias("base_from"),
-        count_true(enough).alias("full_buckets"))
+    buckets = context_rot_buckets(episodes)
+    all_five = Window.partitionBy()  # at most five rows
+    head = buckets.select("*", *[c.over(all_five).alias(n) for n, c in {
+        "base": F.min_by("rot_rate", F.when(enough, F.col("index_from"))), "base_from": F.min(F.when(enough, F.col("index_from"))),
+        "full_buckets": count_true(enough)}.items()])
     jump = F.greatest(F.col("base") * 2, F.col("base") + 0.15)
     later = enough & (F.col("index_from") > F.col("base_from")) & (F.col("rot_rate") >= jump)
-    return buckets.join(F.broadcast(head), "_one").agg(
+    return head.agg(
         F.coalesce(F.max("base"), F.lit(0.0)).alias("baseline_rot_rate"),
         F.min(F.when(later, F.col("index_from"))).alias("inflection_index"),
         (F.coalesce(F.max("full_buckets"), F.lit(0)) < 2).alias("low_confidence"))

@@ -7,16 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import models as M
 from ..functions.numbers import round_to
 from ..schema import TOKEN_BUCKETS
-from .scan import CHUNK_WIDTH, first_seen, following, last_before, last_seen, ordered_scan
-
-# Largest table that is offered for broadcast, in rows; larger ones take the shuffle join.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the table was counted and is small; the count stops at the bound."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
+from .scan import CHUNK_WIDTH, EV_WIDTH, first_seen, following, last_before, last_seen, ordered_scan
 
 def join_key(df: DataFrame, key: str, *order: str) -> Column:
     """The key, or a value of the row's own when it is null: null keys match nothing and must not share one task."""
@@ -190,7 +181,7 @@ def session_prompts(ev: DataFrame, selected: DataFrame) -> DataFrame:
     return prompts.join(selected.select("session_id"), "session_id", "left_semi")
 
 
-def corrected_by_next(boundaries: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+def corrected_by_next(boundaries: DataFrame, width: int = EV_WIDTH) -> DataFrame:
     """Add whether the next boundary of the same file opens with a correction."""
     scanned = ordered_scan(boundaries, ["file_id"], "seq", [following("_c", F.col("is_correction"))], width)
     return scanned.withColumn("corrected_by_next", F.coalesce("_c", F.lit(False))).drop("_c")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.numbers import count_true, ratio, ratio4
 from ..functions.text import classify_error
 from .episodes import KEY, nearest_rank
-from .scan import CHUNK_WIDTH, last_seen, ordered_scan, running_count, running_sum
+from .scan import CHUNK_WIDTH, EV_WIDTH, last_seen, ordered_scan, running_count, running_sum
 
 # Further error patterns in front of the known ones, and which side each category belongs to.
 EXTRA_ERROR_PATTERNS = [
@@ -61,7 +61,7 @@ def findings(episodes: DataFrame) -> DataFrame:
     return rows.groupBy("finding").agg(F.count(F.lit(1)).alias("episodes"), F.sum("total").alias("tokens"))
 
 
-def interruption_windows(labelled: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+def interruption_windows(labelled: DataFrame, width: int = EV_WIDTH) -> DataFrame:
     """P8: calls before each interruption of an episode, the tool used last, and whether a file edited before it is edited again after.
 
     A file is open between its first and its last edit, so the last question is whether any file is open at the

@@ -12,8 +12,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Positions per chunk. Positions are line numbers or multiples of them, so this bounds the rows of a chunk.
+from ..schema import STRIDE
+
+# Positions per chunk where positions are line numbers, counts or values: this bounds the rows of a chunk.
 CHUNK_WIDTH = 262_144
+# The same for positions of ``ev``, which are lines times STRIDE: the facts of so many lines make a chunk.
+EV_WIDTH = 4_096 * STRIDE
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.timez import epoch_micros
 from .filters import main_only
-from .scan import CHUNK_WIDTH, last_before, last_seen, ordered_scan, previous, running_sum
+from .scan import CHUNK_WIDTH, EV_WIDTH, last_before, last_seen, ordered_scan, previous, running_sum
 
 COUNTERS = ["input", "cached_input", "output", "reasoning_output", "total"]
 IDLE_CAP_SECONDS = 300
@@ -39,7 +39,7 @@ def token_deltas(df: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
     return out.drop(*[f"_d_{c}" for c in COUNTERS])
 
 
-def active_gaps(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int = CHUNK_WIDTH) -> DataFrame:
+def active_gaps(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int = EV_WIDTH) -> DataFrame:
     """Main-chain usage rows with the microseconds since the previous one of the file when 0 < gap <= cap, else 0."""
     rows = main_only(ev).filter(F.col("total").isNotNull())
     seen = ordered_scan(rows, ["file_id"], "seq", [previous("_p", F.col("ts"))], width)
@@ -48,6 +48,6 @@ def active_gaps(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int =
     return seen.withColumn("gap_micros", F.when(ok, gap).otherwise(F.lit(0).cast("bigint"))).drop("_p")
 
 
-def active_seconds(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, *keys: str, width: int = CHUNK_WIDTH) -> DataFrame:
+def active_seconds(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, *keys: str, width: int = EV_WIDTH) -> DataFrame:
     gaps = active_gaps(ev, cap_seconds, width)
     return gaps.groupBy(*keys).agg(F.floor(F.sum("gap_micros") / 1_000_000).alias("active_seconds"))

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import models, numbers, prompts, text
-from ..schema import as_ev
-from ..session import new_path, spread
+from ..schema import STRIDE, as_ev
+from ..session import new_path
 from ..sources.sinks import land_ev
 from . import corpus as C
 
@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with long texts, spread over the cores when it comes as one small file."""
-    return spread(table(spark, sf_dir, name))
+    """A table with long texts."""
+    return table(spark, sf_dir, name)
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -47,7 +47,7 @@ def events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, kind = F.col("event_id"), F.col("event_type")
     k, model = F.col("k"), F.col("model")
     claude = F.startswith(model, F.lit("claude"))
-    base = spread(table(spark, sf_dir, "events")).select(
+    base = table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         F.floor(F.col("value") * 100).cast("bigint").alias("input"),
@@ -128,7 +128,7 @@ def explode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = u.withColumn("kind", F.explode(kinds))
     return as_ev(rows.select(
-        "platform", "file_id", (F.col("event_id") * 8 + code).alias("seq"), "ts", "session_id", "repo", "branch",
+        "platform", "file_id", (F.col("event_id") * STRIDE + code).alias("seq"), "ts", "session_id", "repo", "branch",
         "is_sidechain", "kind", ((kind == "prompt") & F.col("is_boundary")).alias("is_boundary"), "source",
         F.col("model"), *[tok(F.col(c)).alias(c) for c in
                           ("input", "cached_input", "output", "reasoning_output", "cache_creation", "total")],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..schema import STRIDE
 from ..functions import text as X
 from ..operators import behavior as B, joins as J, sessions as S, topk as K, usage as U
 from .adapters import events_as_ev, events_wide, table, texts
@@ -240,7 +241,7 @@ SELECT session_id, event_id, repo FROM u WHERE is_boundary AND session_id IN (SE
 def _(spark, sf):
     ev = events_as_ev(spark, sf)
     top = K.top_sessions(S.session_candidates_a(ev).select("session_id", "tokens", "tool_calls"), 1)
-    return J.session_prompts(ev, top).select("session_id", F.expr("seq div 8").alias("event_id"), "repo")
+    return J.session_prompts(ev, top).select("session_id", F.expr(f"seq div {STRIDE}").alias("event_id"), "repo")
 
 
 @query("t10_merged_top", f"""

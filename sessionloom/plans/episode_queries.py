@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..schema import STRIDE
 from ..functions import models as M
 from ..functions.timez import epoch_micros
 from ..operators import episodes as E, filters as FI, joins as J, scan as SC, tokens as T, topk as K, usage as U
@@ -93,7 +94,7 @@ def _(spark, sf):
 @query("w3_w4_w5_boundaries", EPS + "SELECT file_id, ep, start_id AS event_id, idx AS index, session_id, corrected_by_next, thinking_directive FROM bd")
 def _(spark, sf):
     b = E.boundaries(events_as_ev(spark, sf))
-    return b.select("file_id", "ep", F.expr("start_seq div 8").alias("event_id"), "index", "session_id", "corrected_by_next", "thinking_directive")
+    return b.select("file_id", "ep", F.expr(f"start_seq div {STRIDE}").alias("event_id"), "index", "session_id", "corrected_by_next", "thinking_directive")
 
 
 @query("w6_error_runs", EPS + "SELECT * FROM runs")
@@ -204,9 +205,9 @@ def _(spark, sf):
 @query("f12_nonempty_episodes", EPS + "SELECT (SELECT count(*) FROM bd) AS starts, count(*) AS episodes FROM ep")
 def _(spark, sf):
     ev = events_as_ev(spark, sf)
-    starts = E.boundaries(ev).agg(F.count(F.lit(1)).alias("starts")).withColumn("_one", F.lit(1))
-    kept = E.raw_episodes(ev, CAP).agg(F.count(F.lit(1)).alias("episodes")).withColumn("_one", F.lit(1))
-    return starts.join(kept, "_one").drop("_one")
+    starts = E.boundaries(ev).agg(F.count(F.lit(1)).alias("starts"))
+    kept = E.raw_episodes(ev, CAP).agg(F.count(F.lit(1)).alias("episodes"))
+    return starts.select("starts", kept.scalar().alias("episodes"))
 
 
 @query("j15_corrected_by_next", EPS + "SELECT file_id, ep, corrected_by_next FROM bd WHERE corrected_by_next")

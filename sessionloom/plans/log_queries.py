@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.scan import CHUNK_WIDTH
 from ..operators import content as D
 from ..session import new_path, stage
 from ..sources import logs as L, normalize_a as NA, normalize_b as NB, sinks
@@ -88,7 +89,7 @@ def _write_lines(spark, sf, raw: DataFrame, prefix: str) -> str:
     """Write the lines as one folder per log file; position order inside a file is kept by the sort."""
     path = new_path(spark, "lines")
     rows = raw.withColumn("log", F.concat(F.lit(prefix), F.xxhash64("file_id") % 8))
-    rows.repartition("log").sortWithinPartitions("log", "file_id", "line_no").select("log", "value").write.partitionBy("log").text(path)
+    rows.repartition("log", F.expr(f"line_no div {CHUNK_WIDTH}")).sortWithinPartitions("log", "file_id", "line_no").select("log", "value").write.partitionBy("log").text(path)
     return path
 
 

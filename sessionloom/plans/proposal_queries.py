@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..schema import STRIDE
 from ..operators import behavior as B, episodes as E, proposals as P, score
 from ..operators.usage import usage_rows
 from .adapters import events_as_ev, events_wide, pick
@@ -62,7 +63,7 @@ SELECT i.file_id, i.ep, i.event_id, (SELECT count(*) FROM e c WHERE c.file_id =
 FROM e i WHERE i.marker = 'interrupt'""")
 def _(spark, sf):
     rows = P.interruption_windows(E.label_episodes(events_as_ev(spark, sf), CAP))
-    return rows.select("file_id", "ep", F.expr("seq div 8").alias("event_id"), "calls_before", "tool_kind_before", "redo_same_file")
+    return rows.select("file_id", "ep", F.expr(f"seq div {STRIDE}").alias("event_id"), "calls_before", "tool_kind_before", "redo_same_file")
 
 
 @query("p9_primary_platform", """

@@ -181,6 +181,5 @@ def _(spark, sf):
 
 @query("h28_percent_share", "SELECT repo, sum(total)::BIGINT::DOUBLE / (SELECT sum(total)::BIGINT FROM u)::DOUBLE * 100.0::DOUBLE AS share FROM u GROUP BY 1")
 def _(spark, sf):
-    per = events_wide(spark, sf).groupBy("repo").agg(F.sum("total").alias("t")).withColumn("_one", F.lit(1))
-    total = per.groupBy("_one").agg(F.sum("t").alias("all"))
-    return per.join(total, "_one").select("repo", N.percent_share(F.col("t"), F.col("all")).alias("share"))
+    per = events_wide(spark, sf).groupBy("repo").agg(F.sum("total").alias("t"))
+    return per.select("repo", N.percent_share(F.col("t"), per.agg(F.sum("t")).scalar()).alias("share"))

@@ -12,10 +12,14 @@ from .episode_queries import CAP, EPS
 from .registry import query, ratio4_sql
 
 
+#: Rows of a file, and so of a micro-batch, in these queries.
+BATCH_ROWS = 50_000
+
+
 @plan_cache
 def _ev_folder(spark, sf) -> str:
     path = new_path(spark, "stream-ev")
-    events_as_ev(spark, sf).repartition(3, "session_id").write.parquet(path)
+    events_as_ev(spark, sf).write.option("maxRecordsPerFile", BATCH_ROWS).parquet(path)
     return path
 
 
@@ -66,7 +70,7 @@ def _(spark, sf):
     u = events_wide(spark, sf)
     key = dedup_key(F.col("user_id").cast("string"), F.expr("event_id div 3").cast("string"), F.lit(""))
     rows = u.select("file_id", F.col("event_id").alias("seq"), key.alias("dedup_key"), *[F.col(c) for c in SM.TOKEN_BUCKETS])
-    rows.repartition(3).write.parquet(folder)
+    rows.write.option("maxRecordsPerFile", BATCH_ROWS).parquet(folder)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     SM.merge_max_usage(stream, out, new_path(spark, "stream-cp"))
     return SM.current_max_usage(spark, out).select("dedup_key", "total")

@@ -25,6 +25,9 @@ KINDS = {
     "label": "one enumerated label (label_field, label)",
 }
 
+# Positions of ``ev``: seq = line * STRIDE + slot; slots leave room for many facts per line.
+STRIDE = 1 << 20
+
 EV_FIELDS = [
     ("platform", "string"), ("file_id", "string"), ("seq", "bigint"), ("ts", "timestamp_ntz"),
     ("session_id", "string"), ("repo", "string"), ("branch", "string"), ("is_sidechain", "boolean"),

@@ -8,7 +8,7 @@ RAW_SCHEMA = "file_id string, line_no bigint, value string"
 
 
 def _read(spark: SparkSession, paths: str | list[str], glob: str | None) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    reader = spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return with_line_no(reader.text(paths))
@@ -50,7 +50,8 @@ def parse_json(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, bad): parsed records with a ``rec`` variant, and the non-blank lines that are no JSON object."""
     # The one-element explode keeps later filters above the parse step; they would otherwise be rewritten on the
     # raw text and parse every line again for each field they test.
-    lines = raw.filter(F.trim("value") != "").withColumn("rec", F.explode(F.array(F.try_parse_json("value"))))
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last value of a repeated key counts
+    lines = raw.filter(F.rlike("value", F.lit(r"\S"))).withColumn("rec", F.explode(F.array(F.try_parse_json("value"))))
     is_object = F.coalesce(F.startswith(F.schema_of_variant("rec"), F.lit("OBJECT")), F.lit(False))
     return lines.filter(is_object).drop("value"), lines.filter(~is_object).select("file_id", "line_no", "value")
 

@@ -7,13 +7,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import prompts as P, text as X
 from ..functions.timez import DayWindow, parse_instant
 from ..operators.filters import in_window
-from ..operators.joins import dedup_key, dedup_with_max_usage, tool_name_for_result
-from ..schema import TOKEN_BUCKETS, as_ev
+from ..operators.joins import dedup_key, dedup_with_max_usage, tool_name_for_result, with_session_source
+from ..operators.usage import session_source
+from ..schema import STRIDE, TOKEN_BUCKETS, as_ev
 from ..session import stage
 from .logs import flag_at, get, has_shape, kind_of, number_at, text_at
 
-# Positions of one record: seq = line * STRIDE + slot; slots leave room for many blocks per record.
-STRIDE = 1 << 20
+
+def slot_of(number: Column, step: int = 1, first: int = 16) -> Column:
+    """Slot of a record's block; a record with more blocks than slots fails, it would run into the next line."""
+    slot = F.lit(first) + number * step
+    return F.when(slot < STRIDE - 2, slot).otherwise(F.raise_error(F.lit("a record has more blocks than slots")))
 
 
 def block_text(v: Column) -> Column:
@@ -84,7 +88,9 @@ def normalize_a(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC
     # Parsed once; the kept records are written too because three branches read them.
     everything = stage(project_records(good), "parsed-a")
     timed = everything.filter(F.col("ts").isNotNull())
-    records = stage(dedup_with_max_usage(in_window(timed, window, tz) if window else timed, everything), "kept-a")
+    kept = dedup_with_max_usage(in_window(timed, window, tz) if window else timed, everything)
+    # A session's entry point is its first one in any record, also outside the window; one row per session.
+    records = stage(with_session_source(kept, session_source(everything)).withColumn("source", F.coalesce("source", F.lit(""))), "kept-a")
     main = ~F.col("is_sidechain")
     user, assistant = F.col("type") == "user", F.col("type") == "assistant"
     common = [F.lit("A").alias("platform"), "file_id", "ts", "session_id", "repo", "branch", "is_sidechain", "source", "model"]
@@ -123,7 +129,7 @@ def normalize_a(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC
         only("edit", flag_at(F.col("tool_result"), "$.userModified")).alias("user_modified"))
 
     b = F.col("block")
-    at = (base + F.lit(16) + F.col("block_no")).alias("seq")
+    at = (base + slot_of(F.col("block_no"))).alias("seq")
     calls = _use_rows(records.filter(main))
     name = F.col("tool_name")
     path = F.coalesce(text_at(b, "$.input.file_path"), F.lit(""))

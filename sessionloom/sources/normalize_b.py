@@ -10,10 +10,10 @@ from ..operators.joins import carry_state, exit_code_for_output, file_plan, flag
 from ..operators.filters import in_window, nonzero_usage
 from ..operators.scan import CHUNK_WIDTH
 from ..operators.tokens import COUNTERS, token_deltas
-from ..schema import as_ev
+from ..schema import STRIDE, as_ev
 from ..session import stage
 from .logs import flag_at, get, has_shape, kind_of, number_at, text_at
-from .normalize_a import STRIDE
+from .normalize_a import slot_of
 
 SHELL_NAMES = ["exec_command", "local_shell_call", "shell"]
 OUTPUT_TYPES = ["function_call_output", "local_shell_call_output", "custom_tool_call_output"]
@@ -123,9 +123,9 @@ def normalize_b(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC
     mark_rows = cut(rec.filter(main).withColumn("kind", mark).filter(F.col("kind").isNotNull())).select(*common, base.alias("seq"), "kind", no)
 
     patches = explode_changes(cut(rec.filter(main & message & (ptype == "patch_apply_end"))))
-    edit_rows = patches.select(*common, (base + 16 + F.col("block_no") * 2).alias("seq"), F.lit("edit").alias("kind"), no, "lines_added", "lines_removed",
+    edit_rows = patches.select(*common, (base + slot_of(F.col("block_no"), 2)).alias("seq"), F.lit("edit").alias("kind"), no, "lines_added", "lines_removed",
                                F.lit(False).alias("user_modified"))
-    patch_calls = patches.select(*common, (base + 17 + F.col("block_no") * 2).alias("seq"), F.lit("tool_call").alias("kind"), no, F.lit("file").alias("tool_kind"),
+    patch_calls = patches.select(*common, (base + slot_of(F.col("block_no"), 2, 17)).alias("seq"), F.lit("tool_call").alias("kind"), no, F.lit("file").alias("tool_kind"),
                                  "file_base", "file_ext", F.lit(True).alias("is_edit"), F.lit(False).alias("long_run"))
 
     items = rec.filter(main & response)
@@ -145,7 +145,8 @@ def normalize_b(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC
     is_output = response & ptype.isin(OUTPUT_TYPES)
     exits = rec.filter(main & (is_exit | is_output)).select(
         *common, "seq", F.coalesce(text_at(p, "$.call_id"), F.lit("")).alias("call_id"), is_output.alias("is_output"),
-        F.when(is_exit & text_at(p, "$.call_id").isNotNull(), get(p, "$.exit_code", "bigint")).alias("event_exit"),
+        F.when(is_exit & text_at(p, "$.call_id").isNotNull() & kind_of(get(p, "$.exit_code", "variant")).isin("BIGINT", "DOUBLE"),
+               get(p, "$.exit_code", "bigint")).alias("event_exit"),
         F.when(is_output, code).alias("parsed_exit"), F.when(is_output, text).alias("_text"), F.when(is_output, interrupted).alias("_stop"))
     outcomes = cut(exit_code_for_output(exits, width)).withColumn("error_category", F.when(F.col("is_error"), X.classify_error(F.col("_text"))))
     uses = cut(items.filter(is_call)).select(F.concat_ws(":", "file_id", text_at(p, "$.call_id")).alias("call_id"), name.alias("tool_name"), "file_id", "seq")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import models as M
 from ..functions.numbers import count_true, ratio4
@@ -24,10 +24,16 @@ def _start(name: str) -> Column:
     return F.unix_seconds(F.col(f"{name}.start")).alias("start")
 
 
+def _first_by(rows: DataFrame, key: str) -> DataFrame:
+    """The first row of each key in (file, line) order."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy("file_id", "seq"))
+    return rows.withColumn("_r", first).filter("_r = 1").drop("_r")
+
+
 def usage_by_day(ev: DataFrame, key: str | None = None, lateness: str = LATENESS) -> DataFrame:
     """Tokens per (platform, model, UTC day); ``key`` drops repeated records within the lateness bound."""
     rows = with_event_time(ev.filter(F.col("total").isNotNull()), lateness)
-    rows = rows.dropDuplicatesWithinWatermark([key]) if key and ev.isStreaming else rows.dropDuplicates([key]) if key else rows
+    rows = rows.dropDuplicatesWithinWatermark([key]) if key and ev.isStreaming else _first_by(rows, key) if key else rows
     grouped = rows.groupBy(F.window("event_time", "1 day").alias("w"), "platform", M.normalize_model(F.col("model")).alias("model"))
     return grouped.agg(F.sum("total").alias("tokens"), F.count(F.lit(1)).alias("records")).select(_start("w"), "platform", "model", "tokens", "records")
 

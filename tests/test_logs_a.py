@@ -167,3 +167,27 @@ def test_digest_has_no_hidden_text(spark, tmp_path, lines):
         ("RESULT_ERR", "out [stderr] bad boom")]
     stats = D.digest_stats(D.pack_items(number_items(digest_items_a(good)), ["session_id"], "pos", 200, 20), ["session_id"]).first()
     assert (stats["items"], stats.emitted_items, stats.dropped) == (5, 2, 3)
+
+
+def test_entry_point_outside_the_window(spark, tmp_path, lines):
+    lines(tmp_path / "a.jsonl", [
+        user("2026-03-03T10:00:00Z", "the day before", "u1", entrypoint="cli"), assistant("2026-03-04T10:00:01Z", "m1", (30, 50, 0, 0))])
+    ev, _ = load(spark, tmp_path, DayWindow(DAY, DAY))
+    assert [r.asDict() for r in U.by_source(ev).collect()] == [{"name": "cli", "tokens": 80, "sessions": 1}]
+
+
+def test_repeated_keys_and_blank_lines(spark, tmp_path, lines):
+    import json
+    last = json.dumps(assistant("2026-03-04T10:00:02Z", "m2", (100, 1, 0, 0)))
+    lines(tmp_path / "a.jsonl", [assistant("2026-03-04T10:00:01Z", "m1", (30, 50, 0, 0)), last.replace('{"type"', '{"type": "user", "type"', 1), "\t", " \t "])
+    ev, bad = load(spark, tmp_path)
+    assert bad.count() == 0 and U.token_totals(ev).first().total == 181
+
+
+def test_chunks_of_a_long_log(spark, tmp_path, lines):
+    """Positions of a log of 10,000 lines fall into few chunks, so the carried state stays small."""
+    from sessionloom.operators.scan import EV_WIDTH
+    lines(tmp_path / "a.jsonl", [user(f"2026-03-04T10:{i // 60 % 60:02d}:{i % 60:02d}Z", f"text {i}", f"u{i}") for i in range(10_000)])
+    ev, _ = load(spark, tmp_path)
+    assert ev.count() >= 10_000 and ev.select(F.expr(f"seq div {EV_WIDTH}")).distinct().count() <= 10
+    assert E.boundaries(ev).count() == 10_000

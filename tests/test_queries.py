@@ -42,3 +42,15 @@ def test_query(name, spark, sf_dir, con):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+#: Queries whose operators once joined on a constant.
+ONE_ROW = ["a13_git_habits", "a36_hygiene_stats", "h28_percent_share", "p2_own_baselines", "w11_type_p90", "w15_task_mix", "w17_effort_calibration",
+           "w18_context_rot", "w19_episode_detail"]
+
+
+@pytest.mark.parametrize("name", ONE_ROW)
+def test_no_cross_join(name, spark, sf_dir, capsys):
+    catalog.QUERIES[name](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
