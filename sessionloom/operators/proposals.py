@@ -18,17 +18,21 @@ EXTRA_ERROR_PATTERNS = [
     ("syntax", r"(?i)SyntaxError|unexpected token|parse error"),
 ]
 EXTERNAL_ERRORS = ["network", "timeout", "permission", "disk", "oom", "command-not-found", "signal"]
+# One more category behind the known ones, so that compiler messages stay with builds.
+TYPE_ERROR = r"(?i)TypeError"
 INTERNAL_ERRORS = ["test", "build", "syntax", "type", "git", "not-read"]
 PRIMARY_SHARE = 0.8
 
 
 def classify_error_fine(text: Column) -> Column:
-    """P1: the known categories with five more in front."""
+    """P1: the known categories with five more in front and one behind."""
     out = None
     for label, pattern in EXTRA_ERROR_PATTERNS:
         hit = F.rlike(F.coalesce(text, F.lit("")), F.lit(pattern))
         out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out.otherwise(classify_error(text))
+    known = classify_error(text)
+    late = (known == "other") & F.rlike(F.coalesce(text, F.lit("")), F.lit(TYPE_ERROR))
+    return out.otherwise(F.when(late, F.lit("type")).otherwise(known))
 
 
 def error_origin(category: Column) -> Column:
@@ -79,8 +83,14 @@ def interruption_windows(labelled: DataFrame, width: int = EV_WIDTH) -> DataFram
     return swept.filter(F.col("_open") == 0).select(*KEY, "seq", "calls_before", "tool_kind_before", (F.col("_files") > 0).alias("redo_same_file"))
 
 
-def primary_platform(usage: DataFrame, *keys: str) -> DataFrame:
-    """P9: the platform that carries most usage records of a key, null below 80 percent."""
+def primary_platform(usage: DataFrame, *keys: str, days: int | None = None) -> DataFrame:
+    """P9: the platform that carries most usage records of a key, null below 80 percent; ``days`` counts back from the key's last record."""
+    if days is not None:
+        last = usage.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max("ts").alias("_last"))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        usage = usage.join(last, same).filter(F.col("ts") > F.col("_last") - F.expr(f"interval {int(days)} days")).select(*usage.columns)
     counts = usage.groupBy(*keys, "platform").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("n"), "platform"))
     per = counts.groupBy(*keys).agg(best.alias("_b"), F.sum("n").alias("records"))
@@ -98,3 +108,17 @@ def style_drift(metrics: DataFrame, profile: DataFrame, keys: list[str], thresho
     old = profile.select(*keys, "metric", F.col("value").alias("profile_value"))
     moved = metrics.join(old, [*keys, "metric"]).withColumn("change", F.col("value") - F.col("profile_value"))
     return moved.filter(F.abs("change") > threshold)
+
+
+def nearest_archetype(vectors: DataFrame, archetypes: DataFrame, keys: list[str]) -> DataFrame:
+    """P5: the archetype closest to each style vector, and the axis on which the vector is furthest from it.
+
+    ``vectors`` has keys, axis, value; ``archetypes`` has archetype, axis, target and at most six archetypes. Both meet on
+    the axis; an archetype's distance is the sum of squared gaps. Ties go to the first name.
+    """
+    gaps = vectors.join(archetypes, "axis").withColumn("gap", F.col("target") - F.col("value"))
+    per = gaps.groupBy(*keys, "archetype").agg(
+        F.sum(F.col("gap") * F.col("gap")).alias("distance"), F.min(F.struct((-F.abs("gap")).alias("far"), "axis", "gap")).alias("_g"))
+    near = per.groupBy(*keys).agg(F.min(F.struct("distance", "archetype", "_g")).alias("_n"))
+    return near.select(*keys, F.col("_n.archetype").alias("archetype"), ratio4(F.col("_n.distance"), F.lit(1)).alias("distance"),
+                       F.col("_n._g.axis").alias("largest_gap"), ratio4(F.col("_n._g.gap"), F.lit(1)).alias("gap"))

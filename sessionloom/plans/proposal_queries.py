@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import logs as L
 from ..schema import STRIDE
 from ..operators import behavior as B, episodes as E, proposals as P, score
 from ..operators.usage import usage_rows
@@ -11,13 +12,14 @@ from .adapters import events_as_ev, events_wide, pick
 from .episode_queries import CAP, EPS, _detail
 from .registry import ERROR_SQL, query, ratio4_sql, sql_list
 
-LINES = ["bash: foo: command not found", "write failed: ENOSPC", "JavaScript heap out of memory", "process killed", "SyntaxError: bad", "2 tests failed", "fetch failed", "odd"]
+LINES = ["bash: foo: command not found", "write failed: ENOSPC", "JavaScript heap out of memory", "process killed", "SyntaxError: bad", "2 tests failed", "fetch failed", "odd", "TypeError: x is undefined"]
 
 
 @query("p1_error_origin", f"""
 WITH c AS (SELECT CASE WHEN regexp_matches(t, 'command not found|not recognized as|executable file not found', 'i') THEN 'command-not-found' WHEN regexp_matches(t, 'ENOSPC|no space left', 'i') THEN 'disk'
  WHEN regexp_matches(t, 'ENOMEM|out of memory', 'i') THEN 'oom' WHEN regexp_matches(t, 'SIGKILL|SIGTERM|killed|core dumped|aborted', 'i') THEN 'signal'
- WHEN regexp_matches(t, 'SyntaxError|unexpected token|parse error', 'i') THEN 'syntax' ELSE {ERROR_SQL.format('t')} END AS category FROM (SELECT {sql_list(LINES, 'k')} AS t FROM u WHERE is_result))
+ WHEN regexp_matches(t, 'SyntaxError|unexpected token|parse error', 'i') THEN 'syntax'
+  WHEN {ERROR_SQL.format('t')} = 'other' AND regexp_matches(t, 'TypeError', 'i') THEN 'type' ELSE {ERROR_SQL.format('t')} END AS category FROM (SELECT {sql_list(LINES, 'k')} AS t FROM u WHERE is_result))
 SELECT category, CASE WHEN category IN ('network', 'timeout', 'permission', 'disk', 'oom', 'command-not-found', 'signal') THEN 'external' WHEN category = 'other' THEN 'neither' ELSE 'internal' END AS origin, count(*) AS errors
 FROM c GROUP BY 1, 2""")
 def _(spark, sf):
@@ -87,3 +89,44 @@ def _(spark, sf):
     files = ev.groupBy("session_id").agg(F.count_distinct("file_id").alias("sessions"))
     rework = B.rework_signals(ev, "session_id").select("session_id", "edits", "user_modified_rate")
     return files.join(rework, "session_id", "left").fillna(0).select("session_id", score.autonomy_tier().alias("tier"))
+
+
+@query("p9_primary_platform_recent", """
+WITH l AS (SELECT *, max(ts) OVER (PARTITION BY repo) AS last FROM u)
+SELECT repo, sum(n)::BIGINT AS records, CASE WHEN max(n)::DOUBLE / sum(n)::DOUBLE >= 0.8::DOUBLE THEN arg_max(platform, n) END AS primary_platform
+FROM (SELECT repo, platform, count(*) AS n FROM l WHERE ts > last - INTERVAL 7 DAY GROUP BY 1, 2) GROUP BY 1""")
+def _(spark, sf):
+    return P.primary_platform(usage_rows(events_as_ev(spark, sf)), "repo", days=7)
+
+
+#: Target values of four styles on three axes, as a caller would pass them.
+STYLES = [("steady", "calls", 0.6), ("steady", "errors", 0.05), ("steady", "prompts", 0.2), ("chatty", "calls", 0.4), ("chatty", "errors", 0.1), ("chatty", "prompts", 0.5),
+          ("brute", "calls", 0.7), ("brute", "errors", 0.3), ("brute", "prompts", 0.1), ("careful", "calls", 0.5), ("careful", "errors", 0.2), ("careful", "prompts", 0.3)]
+
+
+@query("p5_nearest_archetype", f"""
+WITH a(archetype, axis, target) AS (VALUES {", ".join(f"('{n}', '{x}', {t}::DOUBLE)" for n, x, t in STYLES)}),
+v AS (SELECT user_id, count(*) FILTER (WHERE is_call)::DOUBLE / count(*) AS calls, count(*) FILTER (WHERE is_error)::DOUBLE / count(*) AS errors,
+ count(*) FILTER (WHERE event_type = 'signup')::DOUBLE / count(*) AS prompts FROM u GROUP BY 1),
+g AS (SELECT user_id, archetype, axis, target - CASE axis WHEN 'calls' THEN calls WHEN 'errors' THEN errors ELSE prompts END AS gap FROM v, a),
+d AS (SELECT user_id, archetype, sum(gap * gap ORDER BY axis) AS distance, first(axis ORDER BY -abs(gap), axis) AS largest_gap, first(gap ORDER BY -abs(gap), axis) AS gap FROM g GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY distance, archetype) AS r FROM d)
+SELECT user_id, archetype, {ratio4_sql('distance', '1')} AS distance, largest_gap, {ratio4_sql('gap', '1')} AS gap FROM r WHERE r = 1""")
+def _(spark, sf):
+    u = events_wide(spark, sf)
+    n = F.count(F.lit(1))
+    share = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0)) / n
+    v = u.groupBy("user_id").agg(share(F.col("event_type").isin("view", "click", "purchase")).alias("calls"), share(F.col("is_error")).alias("errors"),
+                                 share(F.col("event_type") == "signup").alias("prompts"))
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in ("calls", "errors", "prompts")]))
+    vectors = v.select("user_id", axes.alias("x")).select("user_id", "x.axis", "x.value")
+    return P.nearest_archetype(vectors, spark.createDataFrame(STYLES, "archetype string, axis string, target double"), ["user_id"])
+
+
+@query("p7_prompt_history", """
+SELECT session_id, epoch_us(ts) // 1000000 * 1000000 AS ts, md5(prompt_text) AS prompt FROM u WHERE event_type = 'signup'""")
+def _(spark, sf):
+    u = events_wide(spark, sf).filter(F.col("event_type") == "signup")
+    record = F.to_json(F.struct("session_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), F.col("prompt_text").alias("text")))
+    good, _ = L.parse_json(u.select("file_id", F.col("event_id").alias("line_no"), record.alias("value")))
+    return L.prompt_history(good).select("session_id", "ts", F.md5(F.col("text").cast("binary")).alias("prompt"))

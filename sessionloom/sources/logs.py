@@ -87,3 +87,12 @@ def number_at(v: Column, path: str) -> Column:
 def has_shape(v: Column, path: str, shape: str) -> Column:
     """Whether the node at a path is an OBJECT or an ARRAY."""
     return F.coalesce(F.startswith(kind_of(get(v, path, "variant")), F.lit(shape)), F.lit(False))
+
+
+def prompt_history(good: DataFrame) -> DataFrame:
+    """P7: (file_id, seq, session_id, ts, text) of a prompt history, one ``{session_id, ts, text}`` record a line, ts in seconds."""
+    r = F.col("rec")
+    seconds = F.when(kind_of(get(r, "$.ts", "variant")).isin("BIGINT", "DOUBLE"), get(r, "$.ts", "double"))
+    return good.select(
+        "file_id", F.col("line_no").alias("seq"), F.coalesce(text_at(r, "$.session_id"), F.lit("")).alias("session_id"),
+        F.timestamp_micros((seconds * 1000000).cast("bigint")).cast("timestamp_ntz").alias("ts"), text_at(r, "$.text").alias("text")).filter(F.col("text").isNotNull())
