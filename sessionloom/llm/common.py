@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stage as _stage
 
-#: Shuffle files of a written stage go when the write has ended, not when the driver happens to collect garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a stage is written: its shuffle files go when the write has ended, not when the driver happens to collect garbage.
+STAGED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
 BLOCK = 1 << 20
 
 
@@ -24,15 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts the lineage, and frees the shuffle files behind it."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    before = {key: conf.get(key, None) for key in STAGED}
+    for key, value in STAGED.items():
+        conf.set(key, value)
     try:
         return _stage(df, name)
     finally:
-        if before is None:
-            conf.unset(CLEANUP)
-        else:
-            conf.set(CLEANUP, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 def parts(spark: SparkSession) -> int:
