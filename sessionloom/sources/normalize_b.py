@@ -54,6 +54,16 @@ def explode_changes(records: DataFrame) -> DataFrame:
                        X.diff_removed(diff).cast("bigint").alias("lines_removed")).drop("_c")
 
 
+def user_text(payload: Column) -> Column:
+    """Text of a user message: its content, text or message field, a string or a list of parts; white space becomes one space."""
+    v = F.coalesce(*[get(payload, f"$.{f}", "variant") for f in ("content", "text", "message")])
+    items = F.try_variant_get(v, "$", "array<variant>")
+    parts = F.transform(items, lambda b: F.when(kind_of(b) == "STRING", b.cast("string")).otherwise(
+        F.coalesce(*[text_at(b, f"$.{f}") for f in ("text", "input_text", "content", "message")])))
+    text = F.when(kind_of(v) == "STRING", v.cast("string")).otherwise(F.array_join(F.array_compact(parts), " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
 def carried_records(good: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
     """Records with the carried session, repo, model and source of their file and its sub-agent flag."""
     rec = stage(project_records(good), "parsed-b")
@@ -128,6 +138,13 @@ def normalize_b(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC
     patch_calls = patches.select(*common, (base + slot_of(F.col("block_no"), 2, 17)).alias("seq"), F.lit("tool_call").alias("kind"), no, F.lit("file").alias("tool_kind"),
                                  "file_base", "file_ext", F.lit(True).alias("is_edit"), F.lit(False).alias("long_run"))
 
+    # Prompts: a person's messages in main files. Turns stay the episode boundaries of this platform.
+    role = F.coalesce(text_at(p, "$.role"), text_at(p, "$.author.role"))
+    said = cut(rec.filter(main & ((role == "user") | F.col("type").isin("user_message", "user_prompt", "input_message"))))
+    said = said.withColumn("prompt_text", user_text(p)).filter(P.is_human_prompt(F.col("prompt_text"), F.lit(False)))
+    prompt_rows = said.select(*common, (base + 6).alias("seq"), F.lit("prompt").alias("kind"), no, "prompt_text",
+                              P.is_correction(F.col("prompt_text")).alias("is_correction"), P.is_thinking(F.col("prompt_text")).alias("is_thinking"))
+
     items = rec.filter(main & response)
     name = text_at(p, "$.name")
     is_call = (ptype == "function_call")
@@ -173,7 +190,7 @@ def normalize_b(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC
         *common, (F.col("seq") + F.col("_e.slot")).alias("seq"), "_e.kind", no, "_e.label_field", "_e.label")
 
     out = as_ev(token_rows)
-    for part in (sub_rows, turn_rows, mark_rows, edit_rows, patch_calls, call_rows, result_rows, stop_rows, id_rows):
+    for part in (sub_rows, turn_rows, prompt_rows, mark_rows, edit_rows, patch_calls, call_rows, result_rows, stop_rows, id_rows):
         out = out.unionByName(as_ev(part))
     return out
 

@@ -107,3 +107,18 @@ def test_digest(spark, tmp_path, lines):
     packed = D.pack_items(D.number_items(digest_items_b(good)), ["session_id"], "pos")
     assert [(r.kind, r.preview) for r in D.digest_items(packed).orderBy("pos").collect()] == [
         ("ASSISTANT", "hello there"), ("TOOL", 'shell {"cmd":"ls"}'), ("RESULT", "two files")]
+
+
+def test_prompts_of_user_messages(spark, tmp_path, lines):
+    lines(tmp_path / "rollout-a.jsonl", [
+        rec(0, "session_meta", id="S1", cwd="/w/r"),
+        rec(1, "response_item", type="message", role="user", content=[{"type": "input_text", "text": "you must\n fix  src/a.py"}, "now"]),
+        rec(2, "response_item", type="message", role="assistant", content=[{"type": "output_text", "text": "done"}]),
+        rec(3, "response_item", type="message", role="user", content="actually, not that"),
+        rec(4, "response_item", type="message", role="user", content="<command-name>x</command-name>"), rec(5, "response_item", type="message", role="user", content=[])])
+    lines(tmp_path / "rollout-sub.jsonl", [
+        rec(0, "session_meta", id="S2", cwd="/w/r", source={"subagent": "x"}), rec(1, "response_item", type="message", role="user", content="a task of an agent")])
+    good, _ = parse_json(read_logs_b(spark, str(tmp_path)))
+    ev = normalize_b(good)
+    got = sorted((r.session_id, r.prompt_text, r.is_correction, r.is_boundary) for r in ev.filter("kind = 'prompt' and not is_sidechain").collect())
+    assert [g for g in got if g[0] == "S1"] == [("S1", "actually, not that", True, False), ("S1", "you must fix src/a.py now", False, False)]
