@@ -7,7 +7,9 @@
 3. Nodes of up to ``LEAF`` classes are compared exhaustively, inside one task, by their tokens. Larger nodes branch again.
    Their classes are first compared with a few random pivots of the node, and classes almost equal to a pivot leave, so
    a large group of near copies ends after one comparison each. Only links come out, never all pairs of a node.
-4. Candidate pairs are confirmed on the full sets; confirmed links are closed to components.
+4. Candidate pairs are confirmed on the full sets; confirmed links are closed to components. A leaf first hands on forests of
+   its strongest candidates. What it held back is decided afterwards: all its candidates between different components are
+   confirmed as well, in ``SLICES`` of falling estimates, with new components after each.
 
 A pair at the limit shares a leaf of one tree with probability above 0.6, so 16 trees miss less than one in a million.
 
@@ -32,8 +34,10 @@ LEAF = 2048
 LEVEL = 0.85
 #: Estimates from 64 tokens are off by 0.045 (one standard deviation) at 0.85.
 LIKELY, CLOSE = 0.70, 0.92
-#: Strongest candidate links kept for each class and leaf: forests on top of one another.
+#: Candidate links handed on first for each class and leaf: forests on top of one another, the strongest links first.
 FORESTS = 4
+#: Least estimates of the rounds in which the candidates held back are confirmed, unless confirmed links join them already.
+SLICES = (0.9, 0.8, 0.0)
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -127,8 +131,8 @@ def _grow(batches, trees: int):
 
 
 def _compare(batches):
-    """Candidate links of each leaf: for every class its likely partners, as forests of the strongest links."""
-    out = []
+    """First candidate links of each leaf, as forests of the strongest links; ``held`` names leaves that have more."""
+    out, held = [], []
     for leaf in runs(batches, "node"):
         ids, first = np.unique(leaf.column("set_id").to_numpy(), return_index=True)
         if len(ids) < 2:
@@ -139,16 +143,37 @@ def _compare(batches):
             alike += tokens[:, c, None] == tokens[None, :, c]
         a, b = np.nonzero(np.triu(alike >= LIKELY * COORDINATES, 1))
         order = np.argsort(-alike[a, b], kind="stable")
+        before = len(out)
         for x, y in _forests(len(ids), a[order], b[order]):
             out.append((int(ids[x]), int(ids[y])))
+        if len(out) - before < len(a):
+            held.append(leaf.column("node")[0].as_py())
         if len(out) > 20_000:
-            yield _pairs(out)
-            out = []
-    yield _pairs(out)
+            yield _pairs(out, held)
+            out, held = [], []
+    yield _pairs(out, held)
 
 
-def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _pairs(rows: list[tuple[int, int]], held: list[int]) -> pa.RecordBatch:
+    columns = [[r[0] for r in rows] + [None] * len(held), [r[1] for r in rows] + [None] * len(held), [None] * len(rows) + held]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "held"])
+
+
+def _across(batches, low: float, high: float):
+    """Pairs of different components in each block whose estimates lie in ``[low, high)``."""
+    for block in runs(batches, "block"):
+        few = block.column("few").to_numpy()
+        ids, label, free = (block.column(c).to_numpy() for c in ("set_id", "label", "free"))
+        tokens = np.frombuffer(b"".join(block.column("tokens").to_pylist()), "<u4").reshape(-1, COORDINATES)
+        rows, others = np.flatnonzero(few), np.flatnonzero(~few)
+        for lo in range(0, len(rows), 512):
+            r = rows[lo:lo + 512]
+            alike = np.zeros((len(r), len(others)), np.int16)
+            for c in range(COORDINATES):
+                alike += tokens[r, c, None] == tokens[None, others, c]
+            meet = (alike >= low * COORDINATES) & (alike < high * COORDINATES) & (label[r][:, None] != label[others])
+            x, y = np.nonzero(meet & (free[r][:, None] | free[others]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r[x]]), pa.array(ids[others[y]])], ["a", "b"])
 
 
 def _forests(n: int, a: np.ndarray, b: np.ndarray):
@@ -210,8 +235,12 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct pairs of class ids that some tree brings together and whose tokens are likely alike."""
+def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First pairs of class ids that some tree brings together and whose tokens are likely alike, and what is left to compare.
+
+    The second table, ``(part, set_id, free)``, has the classes of every part of a tree with candidates that aren't among the
+    pairs; they are the likely pairs of a part that hold a free class.
+    """
     level = stage(classes.select("set_id", "tokens").mapInArrow(lambda it: _grow(it, TREES), "node long, set_id long"), "nodes")
     leaves, pairs = [], []
     while True:
@@ -238,10 +267,35 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
         every = every.union(more)
     sorted_leaves = (every.join(classes.select("set_id", "tokens"), "set_id")
                      .repartition("node").sortWithinPartitions("node"))
-    found = sorted_leaves.mapInArrow(_compare, "a long, b long").select(*_ordered("a", "b"))
+    compared = stage(sorted_leaves.mapInArrow(_compare, "a long, b long, held long"), "compared")
+    found = compared.where("held is null").select(*_ordered("a", "b"))
     for more in pairs:
         found = found.union(more)
-    return stage(found.distinct(), "pairs")
+    held = compared.where("held is not null").select(F.col("held").alias("node"))
+    open_ = every.join(held, "node").select(F.col("node").alias("part"), "set_id", F.lit(True).alias("free")).distinct()
+    return stage(found.distinct(), "pairs"), stage(open_, "open")
+
+
+def _held_pairs(open_: DataFrame, classes: DataFrame, joined: DataFrame, low: float, high: float) -> DataFrame:
+    """Distinct likely pairs of different components within the parts of ``open_``, with estimates in ``[low, high)``.
+
+    A part with one component is done. Of the others, the classes outside the part's largest component meet all its classes,
+    in blocks of about ``LEAF`` classes each way.
+    """
+    rows = open_.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    rows = stage(rows, "labelled")
+    sizes = rows.groupBy("part", "label").agg(F.count("*").alias("n"))
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("n > most.n").select(
+        "part", F.col("most.label").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / LEAF).alias("down"), F.ceil(F.col("n") / LEAF).alias("across"))
+    rows = rows.join(parts, "part")
+    own = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n))
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["set_id", "label", "free"]
+    every = rows.select("part", *columns, F.lit(False).alias("few"), own("across").alias("j"), all_("down").alias("i"))
+    few = rows.where("label != most").select("part", *columns, F.lit(True).alias("few"), all_("across").alias("j"), own("down").alias("i"))
+    blocks = every.unionByName(few).select(F.xxhash64("part", "i", "j").alias("block"), "few", *columns)
+    met = blocks.join(classes.select("set_id", "tokens"), "set_id").repartition("block").sortWithinPartitions("block")
+    return met.mapInArrow(lambda it: _across(it, low, high), "a long, b long").select(*_ordered("a", "b")).distinct()
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -256,14 +310,33 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, perce
     return both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long").distinct()
 
 
+def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``(id, label)`` of the components of confirmed links between classes."""
+    pairs, open_ = candidate_pairs(classes)
+    links = stage(confirmed_links(docs, classes, pairs, percent), "links")
+    joined = connected_components(links, "a", "b")
+    if open_.isEmpty():
+        return joined
+    high = 2.0
+    for low in SLICES:
+        more = stage(_held_pairs(open_, classes, joined, max(low, LIKELY), high).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        high = low
+        if more.isEmpty():
+            continue
+        new = stage(confirmed_links(docs, classes, more, percent), "links")
+        if not new.isEmpty():
+            links = links.union(new)
+            joined = connected_components(links, "a", "b")
+    return joined
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``; ``percent`` is the least Jaccard likeness."""
     sketches = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _sketches, "doc_id long, n_shingles long, set_id long, tokens binary"), "sketches")
     classes = stage(sketches.where("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("first_doc"), F.max("tokens").alias("tokens")), "classes")
-    links = stage(confirmed_links(docs, classes, candidate_pairs(classes), percent), "links")
-    joined = connected_components(links, "a", "b")
+    joined = linked_classes(docs, classes, percent)
     part = classes.select("set_id", "first_doc").join(joined.withColumnRenamed("id", "set_id"), "set_id", "left")
     part = part.withColumn("label", F.coalesce("label", "set_id"))
     first = part.groupBy("label").agg(F.min("first_doc").alias("component_id"))

@@ -216,6 +216,35 @@ def test_large_groups(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in want) <= 2
 
 
+def _two_families(members, bridges, seed):
+    """Two families of near copies at about 0.83 of each other; only their first ``bridges`` members link, at 0.86."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in range(604)]
+    other = list(base)
+    for k in range(30, 570, 60):
+        other[k] = f"v{k}"
+    rows = []
+    for i in range(members):
+        for f, words in enumerate((base, other)):
+            w = list(words)
+            k = 300 * f + 60 * int(rng.integers(0, 5)) + int(rng.integers(0, 20))
+            w[k] = f"x{f}_{i}_{k}"
+            if i < bridges:  # one step towards the other family from either side
+                w[30 if f else 90] = (base if f else other)[30 if f else 90]
+            rows.append((2 * i + f, " ".join(w)))
+    return rows
+
+
+def test_links_behind_rejected_ones(spark):
+    """Few true links between two families, among many pairs that look as alike by their estimates."""
+    rows = [(1000 * k + i, f"s{k}" + text.replace(" ", f" s{k}")) for k in range(8) for i, text in _two_families(60, 2, k)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op10_minhash.near_duplicates(docs).collect()}
+    want = _components(rows)
+    assert len({c for _, c in want.values()}) == 8
+    assert got == want
+
+
 def test_near_duplicates_odd_rows(spark, odd_docs, no_docs):
     got = op10_minhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
