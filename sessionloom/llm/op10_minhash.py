@@ -6,10 +6,12 @@
    with probability 1 / (LEVEL * COORDINATES) into a child node; classes of one node share all tokens on its path.
 3. Nodes of up to ``LEAF`` classes are compared exhaustively, inside one task, by their tokens. Larger nodes branch again.
    Their classes are first compared with a few random pivots of the node, and classes almost equal to a pivot leave, so
-   a large group of near copies ends after one comparison each. Only links come out, never all pairs of a node.
+   a large group of near copies ends after one comparison each. Shares of unequal tokens add up like distances, so the
+   likely partners of a class that left are all within ``CLOSE + LIKELY - 1`` of its pivot; these are the pivot's part.
 4. Candidate pairs are confirmed on the full sets; confirmed links are closed to components. A leaf first hands on forests of
-   its strongest candidates. What it held back is decided afterwards: all its candidates between different components are
-   confirmed as well, in ``SLICES`` of falling estimates, with new components after each.
+   its strongest candidates. What it held back, and the partners of classes that left a large node, is decided afterwards: all
+   candidates between different components are confirmed as well, in ``SLICES`` of falling estimates, with new components
+   after each. So leaves and large nodes hand on the same links.
 
 A pair at the limit shares a leaf of one tree with probability above 0.6, so 16 trees miss less than one in a million.
 
@@ -198,23 +200,26 @@ def _forests(n: int, a: np.ndarray, b: np.ndarray):
             return
 
 
-def _against_pivots(batches):
-    """The pivot of its node that each class is most alike, if it is likely near it."""
+def _against_pivots(batches, least: float):
+    """Pivots of its node that a class is alike by ``least`` or more; ``best`` marks the one it is most alike."""
     for big in batches:
         for lo in range(0, big.num_rows, 1024):
             batch = big.slice(lo, 1024)
             rows, pivots = _tokens(batch), batch.column("pivots")
-            best, alike = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+            at, near, share, best = [], [], [], []
             for i, row in enumerate(rows):
                 own = pivots[i].values
                 known = np.frombuffer(b"".join(own.field("tokens").to_pylist()), "<u4").reshape(-1, COORDINATES)
                 same = (known == row).mean(axis=1)
-                at = int(np.argmax(same))
-                best[i], alike[i] = own.field("set_id")[at].as_py(), same[at]
-            keep = pa.array(alike >= LIKELY)
+                some = np.flatnonzero(same >= least)
+                at += [i] * len(some)
+                near += own.field("set_id").take(pa.array(some)).to_pylist()
+                share += same[some].tolist()
+                best += (some == np.argmax(same)).tolist()
+            at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").filter(keep), batch.column("set_id").filter(keep), pa.array(best).filter(keep), pa.array(alike).filter(keep)],
-                ["node", "set_id", "pivot", "alike"])
+                [batch.column("node").take(at), batch.column("set_id").take(at), pa.array(near, pa.int64()), pa.array(share, pa.float64()), pa.array(best, pa.bool_())],
+                ["node", "set_id", "pivot", "alike", "best"])
 
 
 def _confirm(batches, percent: int):
@@ -242,7 +247,7 @@ def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs; they are the likely pairs of a part that hold a free class.
     """
     level = stage(classes.select("set_id", "tokens").mapInArrow(lambda it: _grow(it, TREES), "node long, set_id long"), "nodes")
-    leaves, pairs = [], []
+    leaves, pairs, around = [], [], []
     while True:
         sizes = stage(level.groupBy("node").agg(
             F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("n > 1"), "sizes")
@@ -257,9 +262,11 @@ def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         chance = F.pmod(F.xxhash64("set_id", "node"), F.floor(F.col("n") / 8)) == 0
         pivots = big.where(chance).groupBy("node").agg(F.collect_list(F.struct("set_id", "tokens")).alias("pivots"))
         near = stage(big.select("node", "set_id", "tokens").join(pivots, "node").mapInArrow(
-            _against_pivots, "node long, set_id long, pivot long, alike double"), "near")
-        pairs.append(near.where("set_id != pivot").select(*_ordered("set_id", "pivot")))
-        left = near.where(F.col("alike") >= CLOSE).select("node", "set_id")
+            lambda it: _against_pivots(it, CLOSE + LIKELY - 1), "node long, set_id long, pivot long, alike double, best boolean"), "near")
+        pairs.append(near.where(F.col("best") & (F.col("alike") >= LIKELY) & (F.col("set_id") != F.col("pivot"))).select(*_ordered("set_id", "pivot")))
+        leaves_it = F.col("best") & (F.col("alike") >= CLOSE)
+        left = near.where(leaves_it).select("node", "set_id")
+        around.append(near.select(F.xxhash64("node", "pivot").alias("part"), "set_id", leaves_it.alias("free")))
         level = stage(big.select("node", "set_id", "tokens").join(left, ["node", "set_id"], "left_anti").mapInArrow(
             lambda it: _grow(it, 1), "node long, set_id long"), "nodes")
     every = leaves[0]
@@ -273,6 +280,8 @@ def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = found.union(more)
     held = compared.where("held is not null").select(F.col("held").alias("node"))
     open_ = every.join(held, "node").select(F.col("node").alias("part"), "set_id", F.lit(True).alias("free")).distinct()
+    for more in around:
+        open_ = open_.union(more)
     return stage(found.distinct(), "pairs"), stage(open_, "open")
 
 

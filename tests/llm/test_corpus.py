@@ -245,6 +245,27 @@ def test_links_behind_rejected_ones(spark):
     assert got == want
 
 
+def test_partners_of_classes_that_leave(spark, monkeypatch):
+    """A text close to members of a large family, but not to its pivots, is linked as the exhaustive comparison links it."""
+    monkeypatch.setattr(op10_minhash, "LEAF", 20)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):  # members have three own edits each, so any two lie at about 0.9
+        w = [f"w{k}" for k in range(604)]
+        for k in rng.choice(60, 3, False):
+            w[10 * k + 2] = f"x{i}_{k}"
+        rows.append((i, w))
+    for i in range(60):  # a member with ten more edits: at 0.85 or more of that member only
+        w = list(rows[i][1])
+        for k in rng.choice(60, 9, False):
+            w[10 * k + 7] = f"y{i}_{k}"
+        rows.append((1000 + i, w))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op10_minhash.near_duplicates(docs).collect()}
+    assert got == _components(rows)
+
+
 def test_near_duplicates_odd_rows(spark, odd_docs, no_docs):
     got = op10_minhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
