@@ -5,9 +5,9 @@ under a mask that skips the change. The hashes of all masks at all positions of
 the documents. A fixed bit map of the test hashes (``FILTER_BITS`` bits, whatever the number of items) lets document
 tasks drop positions that can't join before the shuffle; what it lets through by chance, the join removes.
 
-Around a hit the words of document and item are laid side by side, as far as the item reaches but at most ``REACH`` words to
-either side. The hit stands if some stretch that holds the seed has at least ``LEAST`` equal words and at least ``SHARE`` of
-its words equal, or if a shorter item is there as a whole (then at least ``SHARE`` of it).
+For each way to lay an item along a document that has hits, the words of both are compared as far as the item reaches. The
+item is found if some stretch that holds any of these hits has at least ``LEAST`` equal words and at least ``SHARE`` of its
+words equal, or if a shorter item is there as a whole (then at least ``SHARE`` of it).
 
 Defined cases: null or empty texts are clean; items of fewer than ``SPAN`` words have no seed and can't be found; repeated
 rows and items get equal answers, one for each item id; null ids stay null. Empty tables give clean documents.
@@ -24,6 +24,7 @@ from .common import list_array, mix, stage, table, text_blocks, word_hashes
 SPAN = 10
 #: Positions that each mask looks at; every mask skips four of the ten.
 MASKS = ("1101100101", "1011010011", "1110001101", "1010101110")
+#: Hits of a document closer than this share a region; it bounds no comparison, the longest item's words do.
 REACH = 64
 LEAST, SHARE = 13, 0.8
 FILTER_BITS = 1 << 24
@@ -76,8 +77,13 @@ def _words(batches, key: str):
         yield pa.RecordBatch.from_arrays([batch.column(key), list_array(words.view(np.int64), edge, pa.int64())], [key, "words"])
 
 
-def _regions(batches, allowed: np.ndarray):
-    """Stretches of a document around possible hits: their words, and seeds with their place in the stretch."""
+def _regions(batches, allowed: np.ndarray, longest: int):
+    """Stretches of a document around possible hits: their words, and seeds with their place in the stretch.
+
+    A stretch reaches ``longest`` words to either side of its hits, so no item is cut off; stretches are wide enough for
+    these margins not to repeat a word more than a few times.
+    """
+    gap, width = max(REACH, 2 * longest), max(16 * REACH, 2 * longest)
     allowed = np.unpackbits(allowed, bitorder="little").view(bool)
     for batch, data, off in text_blocks(batches):
         words, edge, _, _ = word_hashes(data, off, ~_WORD, _SAME)
@@ -96,10 +102,10 @@ def _regions(batches, allowed: np.ndarray):
         order = np.argsort(at, kind="stable")
         at, seeds = at[order], seeds[order]
         row = np.searchsorted(edge, at, "right") - 1
-        cut = np.flatnonzero((np.diff(at) > REACH) | (np.diff(row) > 0) | (np.diff(at // (16 * REACH)) > 0)) + 1
+        cut = np.flatnonzero((np.diff(at) > gap) | (np.diff(row) > 0) | (np.diff(at // width) > 0)) + 1
         begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])
-        first = np.maximum(edge[row[begin]], at[begin] - REACH)
-        last = np.minimum(edge[row[begin] + 1], at[end - 1] + SPAN + REACH)
+        first = np.maximum(edge[row[begin]], at[begin] - longest)
+        last = np.minimum(edge[row[begin] + 1], at[end - 1] + longest)
         size = last - first
         ends = np.cumsum(size)
         flat = words[np.repeat(first - ends + size, size) + np.arange(ends[-1])]
@@ -111,30 +117,31 @@ def _regions(batches, allowed: np.ndarray):
             ["doc_id", "start", "words", "seeds", "places"])
 
 
-def _best(equal: np.ndarray, seed: int) -> int:
-    """Most equal words of a stretch that holds the seed, begins and ends with an equal word and is equal to ``SHARE``."""
-    equal = equal.astype(np.int64)
+def _best(equal: np.ndarray, hits: np.ndarray) -> tuple[int, int]:
+    """Equal words and start of the stretch with most of them that holds one of the sorted ``hits`` and is equal to ``SHARE``."""
     total = np.concatenate([[0], np.cumsum(equal)])
-    left, right = np.arange(0, seed + 1), np.arange(seed + SPAN, len(equal) + 1)
-    left, right = left[equal[left] == 1], right[equal[right - 1] == 1]
-    if not len(left) or not len(right):
-        return 0
-    same = total[right][None, :] - total[left][:, None]
-    return int(np.where(same >= SHARE * (right[None, :] - left[:, None]), same, 0).max())
+    height = 100 * total - round(100 * SHARE) * np.arange(len(total))  # a stretch is equal to SHARE if it doesn't descend
+    last = np.searchsorted(hits + SPAN, np.arange(len(total)), "right") - 1  # of the hits that end before a word
+    left = np.searchsorted(-np.minimum.accumulate(height), -height)  # the longest stretch that ends there
+    good = (last >= 0) & (left <= hits[np.maximum(last, 0)])
+    same = np.where(good, total - total[left], 0)
+    at = int(np.argmax(same))
+    begin = int(left[at])
+    return int(same[at]), begin + int(np.argmax(equal[begin:])) if same[at] else 0
 
 
 def _verify(batches):
     for batch in batches:
         n = batch.num_rows
-        at, item_at = batch.column("place").to_numpy(), batch.column("item_at").to_numpy()
+        shift = batch.column("shift").to_numpy()
         best, first, count = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        mine, theirs = batch.column("words"), batch.column("item_words")
+        mine, theirs, places = batch.column("words"), batch.column("item_words"), batch.column("places")
         for i in range(n):
             a, b = mine[i].values.to_numpy(), theirs[i].values.to_numpy()
-            back = min(at[i], item_at[i], REACH)
-            on = min(len(a) - at[i], len(b) - item_at[i], REACH + SPAN)
-            equal = a[at[i] - back:at[i] + on] == b[item_at[i] - back:item_at[i] + on]
-            best[i], first[i], count[i] = _best(equal, back), at[i] - back, len(b)
+            lo, hi = max(0, shift[i]), min(len(a), shift[i] + len(b))
+            equal = a[lo:hi] == b[lo - shift[i]:hi - shift[i]]
+            best[i], begin = _best(equal, np.unique(places[i].values.to_numpy()) - lo)
+            first[i], count[i] = lo + begin, len(b)
         good = best >= np.minimum(LEAST, np.ceil(SHARE * count))
         keep = pa.array(good)
         yield pa.RecordBatch.from_arrays(
@@ -155,19 +162,20 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     for byte, value in bits.toLocalIterator():
         allowed[byte] = value
     shared = spark.sparkContext.broadcast(allowed)
+    longest = words.agg(F.max(F.size("words"))).first()[0] or 0
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     regions = stage(docs.mapInArrow(
-        lambda it: _regions(it, shared.value),
+        lambda it: _regions(it, shared.value, longest),
         "doc_id long, start long, words array<long>, seeds array<long>, places array<int>").withColumn("region", F.monotonically_increasing_id()),
         "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
         "region", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place")).join(seeds, "seed")
-    # one check for each way to lay an item along a stretch, at its first hit
+    # one check for each way to lay an item along a stretch, with all its hits
     ways = hits.groupBy("region", "item_id", (F.col("place") - F.col("item_at")).alias("shift")).agg(
-        F.min(F.struct("place", "item_at")).alias("f")).select("region", "item_id", "f.place", "f.item_at")
+        F.collect_set("place").alias("places"))
     both = (ways.join(regions.select("region", "doc_id", "start", "words"), "region")
             .join(words.select("item_id", F.col("words").alias("item_words")).dropDuplicates(["item_id"]), "item_id"))
-    found = both.select("doc_id", "item_id", "start", "words", "item_words", "place", "item_at").mapInArrow(
+    found = both.select("doc_id", "item_id", "start", "words", "item_words", "shift", "places").mapInArrow(
         _verify, "doc_id long, item_id long, n_equal long, at long")
     best = F.max(F.struct("n_equal", (-F.col("at")).alias("at")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select(

@@ -160,6 +160,30 @@ def test_decontamination_substitutions(spark):
         assert {(r.doc_id, r.item_id) for r in got} == {(1, 9), (1, 10)}
 
 
+def test_decontamination_behind_the_first_hit(spark):
+    """Long verbatim remains count when the first hit, or several, stand in edited parts of the same passage."""
+    edited = lambda k: [f"z{k}z{i}" if i in (2, 5, 6, 8) else f"t{k + i}" for i in range(10)]
+    near = edited(0) + [f"u{i}" for i in range(20)] + [f"t{i}" for i in range(30, 60)]
+    far = [w for k in (0, 50, 100) for w in edited(k) + [f"u{k}u{i}" for i in range(40)]] + [f"t{i}" for i in range(150, 200)]
+    docs = spark.createDataFrame([(1, " ".join(near)), (2, "before it " + " ".join(far) + " after it")], "doc_id long, text string")
+    for doc, n, size, at in ((1, 60, 30, 30), (2, 200, 50, 152)):
+        items = spark.createDataFrame([(9, " ".join(f"t{i}" for i in range(n)))], "item_id long, text string")
+        got = [tuple(r) for r in op8_decontam.overlaps(docs.where(F.col("doc_id") == doc), items).collect()]
+        assert got == [(doc, 9, size, at)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_stretch(seed):
+    rng = np.random.default_rng(seed)
+    for n in range(10, 60):
+        equal = rng.random(n) < (0.9, 0.8, 0.7, 0.6, 0.5)[seed]
+        hits = np.flatnonzero(equal[:n - 9])[::5]
+        if len(hits):
+            want = max([int(equal[l:r].sum()) for l in range(n) for r in range(l + 1, n + 1)
+                        if 5 * equal[l:r].sum() >= 4 * (r - l) and any(l <= h and h + 10 <= r for h in hits)], default=0)
+            assert op8_decontam._best(equal, hits)[0] == want
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs away from all of them today"), (1, None), (None, "")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in op8_decontam.overlaps(odd_docs, items).collect()} == {(0, 1)}
