@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -21,17 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: cuts the lineage, and frees the shuffle files behind it."""
-    conf = df.sparkSession.conf
-    before = {key: conf.get(key, None) for key in STAGED}
+@contextmanager
+def staging(spark: SparkSession):
+    """The settings of ``STAGED`` while a table is written."""
+    before = {key: spark.conf.get(key, None) for key in STAGED}
     for key, value in STAGED.items():
-        conf.set(key, value)
+        spark.conf.set(key, value)
     try:
-        return _stage(df, name)
+        yield
     finally:
         for key, value in before.items():
-            conf.unset(key) if value is None else conf.set(key, value)
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: cuts the lineage, and frees the shuffle files behind it."""
+    with staging(df.sparkSession):
+        return _stage(df, name)
 
 
 def parts(spark: SparkSession) -> int:
