@@ -75,7 +75,8 @@ def _fill() -> str:
                          long_run=f"coalesce({LONG_RUN_SQL.format('command')}, false)")
 
 
-EPS = f"WITH {_fill()}\n"
+EP_FILLED = _fill()
+EPS = f"WITH {EP_FILLED}\n"
 
 
 @plan_cache

@@ -1,4 +1,7 @@
-"""Windowed stream aggregates. ``ev`` may be a stream or a table; ``ts`` is UTC without zone."""
+"""Windowed stream aggregates. ``ev`` may be a stream or a table; ``ts`` is UTC without zone.
+
+As streams they run in append mode: a window leaves the state, and is written once, when the watermark has passed its end.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import models as M
 from ..functions.numbers import count_true, ratio4
 from ..functions.timez import epoch_micros
+from .landing import drained
 
 LATENESS = "1 day"
 
@@ -45,7 +49,7 @@ def usage_by_hour(ev: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def activity_sessions(ev: DataFrame, gap: str = "5 minutes", *keys: str, lateness: str = LATENESS) -> DataFrame:
-    """Activity runs separated by a silence longer than ``gap``, per key."""
+    """Activity runs separated by a silence of ``gap`` or longer, per key."""
     rows = with_event_time(ev.filter(F.col("total").isNotNull()), lateness)
     grouped = rows.groupBy(F.session_window("event_time", gap).alias("w"), *keys)
     agg = grouped.agg(F.count(F.lit(1)).alias("records"), F.min("event_time").alias("_a"), F.max("event_time").alias("_b"))
@@ -60,10 +64,16 @@ def error_rate(ev: DataFrame, width: str = "1 hour", step: str = "15 minutes", l
         _start("w"), "results", "errors", "error_rate")
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Run a stream over everything available and keep the latest result table below ``path``."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={batch_id}")
+def append(stream: DataFrame, path: str, checkpoint: str) -> list[dict]:
+    """Run an append-mode stream over everything available; its rows are files below ``path``, each written exactly once."""
+    return drained(stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path))
+
+
+def largest_state(progress: list[dict]) -> int:
+    """Most rows that the operators of a query held in their state at the end of a batch."""
+    return max((sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in progress), default=0)
+
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+def dropped_rows(progress: list[dict]) -> int:
+    """Rows that came behind a watermark and were dropped by an operator."""
+    return sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"])
