@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import new_path
+from ..session import new_path, ship_package
 from .common import mix, parts, stage, staging, table
 
 #: Bytes of text a task holds while it merges copies.
@@ -160,6 +160,7 @@ def _key(digest: str = "digest") -> Column:
 def snapshot(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Snapshot:
     """Write the distinct texts of ``docs (doc_id, text)`` as exact buckets with their filters."""
     spark = docs.sparkSession
+    ship_package(spark)
     n = parts(spark)
     merged = _rows(docs, digest).select("digest", "second", "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
         _merge_copies, "digest string, second long, text string, keep_id long, n long")
@@ -222,8 +223,8 @@ def matches(batch: Snapshot, old: Snapshot) -> DataFrame:
     new = batch.texts.join(hits, "digest", "left_semi").select(
         "digest", F.col("text").alias("_text"), F.col("keep_id").alias("new_id"), F.col("n").alias("new_n"))
     known = old.texts.select("digest", "second", "text", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n"))
-    return new.hint("merge").join(known, "digest").where(F.col("text") == F.col("_text")).select(
-        "digest", "second", "new_id", "new_n", "old_id", "old_n")
+    same = F.nullif("text", "_text").isNull()  # an equality would become a join key, and the texts would be shuffled by it
+    return new.hint("merge").join(known, "digest").where(same).select("digest", "second", "new_id", "new_n", "old_id", "old_n")
 
 
 def arrivals(batches: list[DataFrame], digest: Callable[[Column], Column] = sha256) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship_package
 from .common import table
 
 #: Words handled together: whole texts up to this many, or one longer text.
@@ -238,6 +239,7 @@ RESULT = "n_runs long, start long, length long, period long, exponent_milli long
 def periodic_runs(docs: DataFrame, edit=None, collapsed: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, number of runs, the strongest one, and digests; with ``collapsed`` also the text
     without the repeats. ``edit(doc_id, words)`` may replace a text's words first."""
+    ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

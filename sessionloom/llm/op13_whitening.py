@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import ship_package
 from .common import table
 
 #: x = floor(SCALE * c) + OFFSET
@@ -131,6 +132,7 @@ def _gram(vectors: DataFrame, turn, width: int) -> np.ndarray:
 
 def fit(vectors: DataFrame) -> Whitening:
     """Whitening of the one array column of ``vectors``, whose rows are all ``usable``."""
+    ship_package(vectors.sparkSession)
     n, sums = _sums(vectors)
     gram = _gram(vectors, lambda x: _centred(x, n, sums), len(sums)) if n else np.zeros((0, 0))
     trace = float(np.trace(gram)) / max(n, 1)

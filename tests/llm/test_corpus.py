@@ -20,7 +20,7 @@ SMALL = "/root/testdata/sf0.01"
 
 def test_all_queries_are_registered():
     names = {re.match(r"op\d+_|pipeline", n)[0] for n in entry.queries() if re.match(r"op\d+_|pipeline$", n)}
-    assert names == {f"op{n}_" for n in range(1, 11)} | {"pipeline"}
+    assert names == {f"op{n}_" for n in range(1, 14)} | {"pipeline"}
 
 
 def test_chat_sql(spark, sf_dir):
