@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import count_true, ratio, round_to
 from ..functions.text import host_class, url_host
-from .scan import CHUNK_WIDTH, ordered_scan, running_sum
+from .scan import CHUNK_WIDTH, quantiles
 
 # Counters whose zero means "not adopted", conditional tips and their cool-down in start-ups.
 ADOPTION_RULES = {
@@ -66,19 +66,11 @@ def feature_evidence(records: DataFrame, *keys: str) -> DataFrame:
         count_true((c("type") == "user") & c("has_keyword")).alias("keyword_prompts"))
 
 
-def index_quantile(df: DataFrame, value: str, q: float, width: int = CHUNK_WIDTH) -> DataFrame:
-    """Value at sorted index floor(n*q), counted from 0; one row."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    running = ordered_scan(counts, [], value, [running_sum("_upto", F.col("_n"))], width)
-    at = counts.agg(F.least(F.floor(F.sum("_n") * F.lit(q)), F.sum("_n") - 1)).scalar()
-    return running.filter(F.col("_upto") > at).agg(F.min(value).alias("value"))
-
-
 def hygiene_stats(turns: DataFrame, duration: str = "duration_ms", width: int = CHUNK_WIDTH) -> DataFrame:
-    """Count, p50, p95 and maximum of turn durations; one row."""
-    base = turns.filter(F.col(duration).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.max(duration).alias("max"))
-    p50, p95 = (index_quantile(turns, duration, q, width).scalar() for q in (0.5, 0.95))
-    return base.select("n", p50.alias("p50"), p95.alias("p95"), "max")
+    """Count, p50, p95 (the values at sorted index floor(n*q)) and maximum of turn durations; one row, with nulls when there is none."""
+    picks = {"p50": ("index", 0.5), "p95": ("index", 0.95), "max": ("nearest", 1.0)}
+    found = quantiles(turns, [], duration, picks, width)
+    return found.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("n"), *[F.max(c).alias(c) for c in picks])
 
 
 def compaction_stats(df: DataFrame, size: str = "pre_tokens") -> DataFrame:

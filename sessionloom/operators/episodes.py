@@ -14,7 +14,7 @@ from ..functions.timez import epoch_micros
 from ..schema import TOKEN_BUCKETS
 from ..session import stage
 from .filters import main_only, nonempty_episodes
-from .scan import CHUNK_WIDTH, EV_WIDTH, following, last_before, last_seen, ordered_scan, previous, running_count, running_sum
+from .scan import CHUNK_WIDTH, EV_WIDTH, following, last_before, last_seen, ordered_scan, previous, quantiles, running_count, running_sum
 
 # Thresholds of the loop signals.
 EDIT_RING_MIN = 3
@@ -192,15 +192,8 @@ def with_task_type(episodes: DataFrame) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float, width: int = CHUNK_WIDTH) -> DataFrame:
-    """Exact nearest-rank quantile per key, with the row count.
-
-    Values are counted first and the running count goes through the chunked scan, so no task holds one group's rows.
-    """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("rows"))
-    running = ordered_scan(counts, keys, value, [running_sum("_upto", F.col("_n"))], width)
-    reached = running.join(totals, keys).filter(F.col("_upto") >= F.ceil(F.lit(q) * F.col("rows")))
-    return reached.groupBy(*keys).agg(F.min(value).alias("q_value"), F.first("rows").alias("rows"))
+    """Exact nearest-rank quantile per key, with the row count."""
+    return quantiles(df, keys, value, {"q_value": ("nearest", q)}, width).select(*keys, "q_value", "rows")
 
 
 def time_outlier(episodes: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
@@ -258,8 +251,12 @@ def raw_episodes(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int
 
 def episode_detail(ev: DataFrame, cap_seconds: int = IDLE_CAP_SECONDS, width: int = EV_WIDTH) -> DataFrame:
     """The full episode table: counts, flags and labels only."""
-    rows = stage(raw_episodes(ev, cap_seconds, width), "episodes")
-    full = with_severity(time_outlier(rows, min(width, CHUNK_WIDTH)))
+    return finished(stage(raw_episodes(ev, cap_seconds, width), "episodes"), min(width, CHUNK_WIDTH))
+
+
+def finished(rows: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
+    """Raw episodes compared with each other. Several readers should read one written copy."""
+    full = with_severity(time_outlier(rows, width))
     return full.withColumns({
         "end_ts": F.greatest("start_ts", "last_ts"), "duration_seconds": F.floor(F.col("active_ms") / 1000).cast("bigint"),
         "error_count": F.col("errors"), "error_rate": round_to(F.col("error_rate_raw"), 4)}).select(*DETAIL_COLUMNS)

@@ -149,17 +149,43 @@ def platform_cost(priced: DataFrame) -> DataFrame:
     return per.select("platform", round_to(F.col("t").cast("double") / F.lit(10000.0), 2).alias("cost_usd"), "all_priced", "unpriced_models")
 
 
+#: Cells of the interval join: an hour at level 0, doubled with each level.
+CELL_SECONDS = 3_600
+TOP_LEVEL = 14
+#: Cells from this level on are dealt over up to ``SPREAD`` parts, since a busy repository may put many commits into one.
+WIDE_LEVEL, SPREAD = 7, 8
+
+
+def _parts(level: Column) -> Column:
+    """Parts of a cell: one below ``WIDE_LEVEL``, then twice as many with each level, up to ``SPREAD``."""
+    return F.least(F.lit(SPREAD), F.pow(F.lit(2.0), F.greatest(F.lit(0), level - WIDE_LEVEL + 1)).cast("int"))
+
+
 def commits_in_session(sessions: DataFrame, commits: DataFrame) -> DataFrame:
     """Commits of the same repository inside each session's [first, last].
 
-    Both sides meet on (repo, day); a session appears once per day it covers, so a hot repository spreads over
-    its days and no full cross of sessions and commits is formed.
+    Time is cut into dyadic cells. A session lies in the one or two cells of the level whose cells are at least as long as it
+    (a few more beyond the top level of almost two years), and a commit shows up once per level that any session has. Both
+    meet on (repo, level, cell, part): commits of wide cells are dealt over parts, which a session visits all. So a
+    year-long session makes at most sixteen rows, and no full cross of sessions and commits is formed.
     """
-    days = F.explode(F.sequence(F.to_date("first_ts"), F.to_date("last_ts")))
-    left = sessions.withColumn("_day", days)
-    right = commits.withColumn("_day", F.to_date("commit_ts"))
-    joined = left.join(right, ["repo", "_day"])
-    return joined.filter(F.col("commit_ts").between(F.col("first_ts"), F.col("last_ts"))).drop("_day")
+    micros = lambda ts: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
+    hours = F.ceil((micros("last_ts") - micros("first_ts")) / (CELL_SECONDS * 1_000_000))
+    level = F.least(F.lit(TOP_LEVEL), F.ceil(F.log2(F.greatest(hours, F.lit(1).cast("bigint"))))).cast("int")
+
+    def cell(ts: str, at: Column) -> Column:
+        return F.floor(micros(ts) / (F.lit(CELL_SECONDS * 1_000_000) * F.pow(F.lit(2.0), at))).cast("bigint")
+
+    valid = sessions.filter(F.col("first_ts") <= F.col("last_ts")).withColumn("_level", level)
+    left = valid.select("*", F.explode(F.sequence(cell("first_ts", F.col("_level")), cell("last_ts", F.col("_level")))).alias("_cell"))
+    left = left.select("*", F.explode(F.sequence(F.lit(0), _parts(F.col("_level")) - 1)).alias("_part"))
+    present = [r[0] for r in valid.select("_level").distinct().collect()]  # at most fifteen levels
+    levels = F.array(*[F.lit(n) for n in sorted(present)]).cast("array<int>")
+    right = commits.select("*", F.explode(levels).alias("_level"))
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in commits.columns]), _parts(F.col("_level"))).cast("int")
+    right = right.select("*", cell("commit_ts", F.col("_level")).alias("_cell"), part.alias("_part"))
+    joined = left.join(right, ["repo", "_level", "_cell", "_part"])
+    return joined.filter(F.col("commit_ts").between(F.col("first_ts"), F.col("last_ts"))).drop("_level", "_cell", "_part")
 
 
 def reconcile(ours: DataFrame, theirs: DataFrame, keys: list[str], tol: float = 0.01) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import count_true, ratio, ratio4
 from ..functions.text import classify_error
-from .episodes import KEY, nearest_rank
-from .scan import CHUNK_WIDTH, EV_WIDTH, last_seen, ordered_scan, running_count, running_sum
+from .episodes import KEY
+from .scan import CHUNK_WIDTH, EV_WIDTH, last_seen, ordered_scan, quantiles, running_count, running_sum
 
 # Further error patterns in front of the known ones, and which side each category belongs to.
 EXTRA_ERROR_PATTERNS = [
@@ -41,10 +41,9 @@ def error_origin(category: Column) -> Column:
 
 
 def own_baselines(episodes: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
-    """P2: p50 and p90 of the duration by task type."""
-    p50 = nearest_rank(episodes, ["task_type"], "duration_seconds", 0.5, width).select("task_type", F.col("q_value").alias("p50"), F.col("rows").alias("episodes"))
-    p90 = nearest_rank(episodes, ["task_type"], "duration_seconds", 0.9, width).select("task_type", F.col("q_value").alias("p90"))
-    return p50.join(p90, "task_type")
+    """P2: p50 and p90 of the duration by task type, from one pass."""
+    picks = {"p50": ("nearest", 0.5), "p90": ("nearest", 0.9)}
+    return quantiles(episodes, ["task_type"], "duration_seconds", picks, width).select("task_type", "p50", "p90", F.col("rows").alias("episodes"))
 
 
 def weekly_change(episodes: DataFrame) -> DataFrame:

@@ -120,3 +120,32 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, specs: list[Running
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return rows.join(carried, same, "left").select(*[F.col(c) for c in df.columns], *result)
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple[str, float]], width: int = CHUNK_WIDTH) -> DataFrame:
+    """Exact quantiles of a whole-number column, all keys and all picks at once: ``keys``, ``rows`` and one column a pick.
+
+    A pick is ("nearest", q) for the value at rank ceil(q * n) counted from 1, or ("index", q) for index floor(q * n) counted from 0.
+    Equal values are counted first. A histogram with one row per (key, cell of ``width`` values) says which cell holds each rank,
+    and only the counts of those cells are sorted, so neither a hot key nor a hot value meets in one task. Null values don't count;
+    a key with null values only has no row.
+    """
+    rules = {"nearest": lambda q: F.ceil(F.lit(q) * F.col("rows")), "index": lambda q: F.least(F.floor(F.col("rows") * F.lit(q)), F.col("rows") - 1) + 1}
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    groups = [f"_k{i}" for i in range(len(keys))]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*named, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_cell", F.expr(f"_v div {int(width)}"))
+    upto = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = counts.groupBy(*groups, "_cell").agg(F.sum("_n").alias("_in")).select(
+        *groups, "_cell", "_in", F.sum("_in").over(upto).alias("_upto"), F.sum("_in").over(Window.partitionBy(*groups)).alias("rows"))
+    ranks = F.array(*[F.struct(F.lit(name).alias("pick"), rules[rule](q).cast("bigint").alias("rank")) for name, (rule, q) in picks.items()])
+    before = F.col("_upto") - F.col("_in")
+    here = cells.select("*", F.explode(ranks).alias("_r")).filter((F.col("_r.rank") > before) & (F.col("_r.rank") <= F.col("_upto")))
+    targets = here.select(*[F.col(g).alias(f"_t{g}") for g in groups], F.col("_cell").alias("_t_cell"), "rows", "_r.pick", (F.col("_r.rank") - before).alias("_rank"))
+    same = F.col("_cell") == F.col("_t_cell")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_t{g}"))
+    run = F.sum("_n").over(Window.partitionBy(*groups, "_cell", "pick").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = counts.join(targets, same).withColumn("_run", run).filter((F.col("_run") >= F.col("_rank")) & (F.col("_run") - F.col("_n") < F.col("_rank")))
+    out = found.groupBy(*groups).agg(F.first("rows").alias("rows"), *[F.max(F.when(F.col("pick") == name, F.col("_v"))).alias(name) for name in picks])
+    return out.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], "rows", *picks)

@@ -79,10 +79,16 @@ EP_FILLED = _fill()
 EPS = f"WITH {EP_FILLED}\n"
 
 
+@plan_cache
+def _raw(spark, sf):
+    """Episodes before they are compared with each other, written once per session and folder."""
+    return stage(E.raw_episodes(events_as_ev(spark, sf), CAP), "episodes")
+
+
 @plan_cache
 def _detail(spark, sf):
-    """The episode table is written once per session and folder; its summaries read the written table."""
-    return E.episode_detail(events_as_ev(spark, sf), CAP)
+    """The finished episode table is written once per session and folder; its summaries read the written table."""
+    return stage(E.finished(_raw(spark, sf)), "episode-detail")
 
 
 @query("w2_active_seconds", f"""
@@ -120,7 +126,7 @@ def _(spark, sf):
 
 @query("w11_type_p90", EPS + "SELECT task_type, type_p90 AS q_value, type_rows AS rows FROM p90")
 def _(spark, sf):
-    return E.nearest_rank(E.raw_episodes(events_as_ev(spark, sf), CAP), ["task_type"], "active_ms", 0.9)
+    return E.nearest_rank(_raw(spark, sf), ["task_type"], "active_ms", 0.9)
 
 
 @query("w10_w12_spiral_severity", EPS + "SELECT file_id, ep, edit_ring, error_dense, no_progress, time_outlier, low_confidence, severity FROM ep")

@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from sessionloom.operators import episodes as E, joins as J, tokens as T
-from sessionloom.operators.scan import Running, first_seen, following, last_before, last_seen, ordered_scan, previous, running_sum
+from sessionloom.operators.scan import Running, first_seen, following, last_before, last_seen, ordered_scan, previous, quantiles, running_sum
 from sessionloom.plans.adapters import events_as_ev
 
 
@@ -74,3 +74,42 @@ def test_nearest_rank(spark):
     df = spark.createDataFrame([("a", 60)] * 9 + [("a", 400)] + [("b", 600)] * 5 + [("b", 400)], "t string, v bigint")
     for width in (10, 10**6):
         assert {r.t: r.q_value for r in E.nearest_rank(df, ["t"], "v", 0.9, width).collect()} == {"a": 60, "b": 600}
+
+
+def test_quantiles_all_at_once(spark, capsys):
+    """Several rules and keys, a hot value, null keys and values, any cell width; one scan, and no key's rows in one place."""
+    import math
+    import random
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 0, 0, 0, rng.randint(-50, 5000)])) for _ in range(700)] + [("only nulls", None)]
+    df = spark.createDataFrame(rows, "k string, v bigint").repartition(4)
+    picks = {"p50": ("nearest", 0.5), "p90": ("nearest", 0.9), "i95": ("index", 0.95), "top": ("nearest", 1.0)}
+    want = {}
+    for k in ("a", "b", None):
+        v = sorted(x for key, x in rows if key == k and x is not None)
+        want[k] = (len(v), v[math.ceil(.5 * len(v)) - 1], v[math.ceil(.9 * len(v)) - 1], v[min(len(v) - 1, math.floor(len(v) * .95))], v[-1])
+    for width in (1, 30, 10**6):
+        got = quantiles(df, ["k"], "v", picks, width)
+        assert {r.k: tuple(r)[1:] for r in got.collect()} == want
+    quantiles(df, ["k"], "v", picks, 30).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Window [sum(_n") == 1 and "CartesianProduct" not in plan
+    assert quantiles(df.filter("k = 'only nulls'"), ["k"], "v", picks).count() == 0
+
+
+def test_commits_in_long_and_short_sessions(spark):
+    """Against every pair; a year-long session and a repository with most commits stay spread."""
+    import datetime as dt
+    import random
+    rng = random.Random(4)
+    start = dt.datetime(2023, 1, 1)
+    at = lambda h: start + dt.timedelta(hours=h)
+    spans = [(0, 8760), (5, 5), (10, 10.5), (0.99, 1.01), (100, 70), (30, 20_000)] + [(a, a + rng.choice([.2, 3, 60, 900])) for a in rng.sample(range(9000), 40)]
+    sessions = [(i, rng.choice(["hot", "r"]), at(a), at(b)) for i, (a, b) in enumerate(spans)]
+    commits = [(f"c{i}", "hot" if i % 10 else "r", at(rng.uniform(0, 9500))) for i in range(600)] + [("edge", "hot", at(0)), ("edge", "r", at(0)), ("late", "hot", at(30_000))]
+    left = spark.createDataFrame(sessions, "s int, repo string, first_ts timestamp_ntz, last_ts timestamp_ntz")
+    right = spark.createDataFrame(commits, "c string, repo string, commit_ts timestamp_ntz")
+    joined = J.commits_in_session(left, right)
+    want = sorted((s, c) for s, r, a, b in sessions for c, q, t in commits if r == q and a <= t <= b)
+    assert sorted((r.s, r.c) for r in joined.select("s", "c").collect()) == want and joined.columns == ["repo", "s", "first_ts", "last_ts", "c", "commit_ts"]
+    assert J.commits_in_session(left.limit(0), right).count() == 0
