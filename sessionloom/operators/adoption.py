@@ -73,6 +73,29 @@ def hygiene_stats(turns: DataFrame, duration: str = "duration_ms", width: int =
     return found.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("n"), *[F.max(c).alias(c) for c in picks])
 
 
+def cache_ttl_split(signals: DataFrame, *keys: str) -> DataFrame:
+    """P6: cache writes by how long they live, and the share that lives five minutes only."""
+    rows = signals.filter((F.col("type") == "assistant") & (F.col("cache_5m").isNotNull() | F.col("cache_1h").isNotNull()))
+    short, long = (F.coalesce(F.sum(c), F.lit(0)) for c in ("cache_5m", "cache_1h"))
+    return rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("records"), short.alias("written_5m"), long.alias("written_1h"), round_to(ratio(short, short + long), 4).alias("share_5m"))
+
+
+def signal_labels(signals: DataFrame, *keys: str) -> DataFrame:
+    """P6: how often each mode was set, each queue operation made and each agent named."""
+    label = F.coalesce("mode", "operation", "agent", F.lit("(unknown)"))
+    rows = signals.filter(F.col("type").isin("permission-mode", "queue-operation", "agent-name"))
+    return rows.groupBy(*keys, "type", label.alias("label")).agg(F.count(F.lit(1)).alias("records"))
+
+
+def api_errors_of(signals: DataFrame) -> DataFrame:
+    return signals.filter((F.col("type") == "system") & (F.col("subtype") == "api_error"))
+
+
+def turns_of(signals: DataFrame) -> DataFrame:
+    return signals.filter((F.col("type") == "system") & (F.col("subtype") == "turn_duration"))
+
+
 def compaction_stats(df: DataFrame, size: str = "pre_tokens") -> DataFrame:
     rows = df.filter(F.col(size).isNotNull())
     return rows.agg(F.count(F.lit(1)).alias("n"), round_to(ratio(F.sum(size), F.count(F.lit(1))), 0).alias("avg"), F.max(size).alias("max"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import adoption as AD
 from ..operators.scan import ordered_scan, previous
 from ..functions.timez import epoch_micros
-from .adapters import events_wide, pick, table
-from .registry import query, round_sql, sql_list
+from ..session import new_path, stage
+from ..sources import logs as L, signals as SG
+from .adapters import events_wide, pick, plan_cache, table
+from .registry import query, ratio4_sql, round_sql, sql_list
 
 COUNTERS = ["memory_usage_count", "prompt_queue_use_count", "btw_use_count", "has_used_background_task"]
 SNAP_SQL = """
@@ -143,3 +145,82 @@ def _(spark, sf):
         F.when(b_side & (F.col("b") == 0), F.lit("openai")).when(b_side, F.lit("proxy")).alias("provider"),
         F.when(F.col("b") == 1, F.lit("https://relay.example/v1")).when(F.col("b") == 2, F.lit("https://api.openai.com/v1")).otherwise(F.lit("")).alias("base_url"))
     return AD.billing_mode(snap).select("user_id", "endpoint", "relay_suspected", "billing_mode", "confidence")
+
+
+# ---- The same measures from log lines. ----
+@plan_cache
+def signals(spark, sf) -> DataFrame:
+    """Records of further types, read from one log line per event; every 43rd line is cut off."""
+    u = events_wide(spark, sf)
+    et, k = F.col("event_type"), F.col("k")
+    lit = F.lit
+    kind = (F.when(et == "view", F.when(k % 3 == 1, lit("permission-mode")).otherwise(lit("queue-operation"))).when(et == "click", lit("agent-name"))
+            .when(et == "error", lit("system")).when(et == "purchase", lit("assistant")).otherwise(lit("user")))
+    error, note = et == "error", k % 3
+    code = F.when(k % 2 == 0, F.struct(F.struct(lit("ECONNRESET").alias("code")).alias("connection"), lit(None).cast("int").alias("status"))).when(
+        k % 11 != 2, F.struct(lit(None).cast("struct<code: string>").alias("connection"), lit(529).alias("status")))
+    block = lambda kind, name: F.struct(lit(kind).alias("type"), lit(name).cast("string").alias("name"))
+    content = F.concat(F.array_repeat(block("thinking", None), (k % 3).cast("int")), F.when(k % 4 == 1, F.array(block("tool_use", "TodoWrite"))).otherwise(
+        F.array().cast("array<struct<type: string, name: string>>")), F.array(block("tool_use", "Edit")))
+    usage = F.struct(F.struct(k.alias("ephemeral_5m_input_tokens"), F.expr("k div 3").alias("ephemeral_1h_input_tokens")).alias("cache_creation"))
+    says = F.concat("prompt_text", F.when(k % 2 == 0, lit(" UltraThink")).otherwise(lit("")))
+    head = [kind.alias("type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), F.col("session_id").alias("sessionId")]
+    size = F.when(k % 5 != 0, F.struct(F.when(k % 2 == 0, lit("manual")).otherwise(lit("auto")).alias("trigger"), F.col("input").alias("preTokens")))
+    line = F.to_json(F.struct(
+        *head, F.when(et == "view", F.when(k % 2 == 0, lit("plan")).otherwise(lit("default"))).alias("permissionMode"),
+        F.when(et == "view", F.when(k % 2 == 0, lit("enqueue")).otherwise(lit("dequeue"))).alias("operation"),
+        F.when(et == "click", F.concat(lit("agent"), k % 3)).alias("agentName"),
+        F.when(error, F.when(note == 0, lit("compact_boundary")).when(note == 1, lit("turn_duration")).otherwise(lit("api_error"))).alias("subtype"),
+        F.when(error, size).alias("compactMetadata"), F.when(error & (k % 7 != 0), F.col("total")).alias("durationMs"), F.when(error, code).alias("error"),
+        F.when(et == "purchase", F.struct(content.alias("content"), usage.alias("usage"))).alias("message")))
+    said = F.to_json(F.struct(*head, F.struct(says.alias("content")).alias("message")))
+    value = F.when(et == "signup", said).otherwise(line)
+    lines = u.select("file_id", F.col("event_id").alias("line_no"), F.when(k % 43 == 7, F.substring(value, 1, 25)).otherwise(value).alias("value"))
+    good, _ = L.parse_json(stage(lines, "lines-signals"))
+    return SG.land_signals(SG.signal_records(good), new_path(spark, "signals"))
+
+
+WHOLE = "s AS (SELECT * FROM u WHERE k % 43 <> 7)"
+
+
+@query("a35_feature_evidence_lines", f"""WITH {WHOLE}
+SELECT session_id, count(*) FILTER (WHERE event_type = 'view' AND k % 3 = 1 AND k % 2 = 0) AS plan_mode, count(*) FILTER (WHERE event_type = 'view' AND k % 3 <> 1) AS prompt_queue,
+ count(*) FILTER (WHERE event_type = 'click') AS subagents, count(*) FILTER (WHERE event_type = 'error' AND k % 3 = 0 AND k % 5 <> 0 AND k % 2 = 0) AS compact_manual,
+ count(*) FILTER (WHERE event_type = 'error' AND k % 3 = 0 AND (k % 5 = 0 OR k % 2 = 1)) AS compact_auto,
+ sum(CASE WHEN event_type = 'purchase' THEN k % 3 ELSE 0 END)::BIGINT AS thinking_blocks, count(*) FILTER (WHERE event_type = 'purchase' AND k % 4 = 1) AS todo_calls,
+ count(*) FILTER (WHERE event_type = 'signup' AND k % 2 = 0) AS keyword_prompts FROM s GROUP BY 1""")
+def _(spark, sf):
+    return AD.feature_evidence(signals(spark, sf), "session_id")
+
+
+@query("a36_turn_lines", f"""WITH {WHOLE}, d AS (SELECT total AS ms, row_number() OVER (ORDER BY total) - 1 AS i, count(*) OVER () AS n FROM s WHERE event_type = 'error' AND k % 3 = 1 AND k % 7 <> 0)
+SELECT max(n) AS n, max(ms) FILTER (WHERE i = floor(n * 0.5::DOUBLE)::BIGINT) AS p50, max(ms) FILTER (WHERE i = floor(n * 0.95::DOUBLE)::BIGINT) AS p95, max(ms) AS max FROM d""")
+def _(spark, sf):
+    return AD.hygiene_stats(AD.turns_of(signals(spark, sf)))
+
+
+@query("a36_compaction_lines", f"""WITH {WHOLE}
+SELECT count(*) AS n, floor(sum(input)::BIGINT::DOUBLE / count(*)::DOUBLE + 0.5::DOUBLE) AS avg, max(input) AS max FROM s WHERE event_type = 'error' AND k % 3 = 0 AND k % 5 <> 0""")
+def _(spark, sf):
+    return AD.compaction_stats(signals(spark, sf))
+
+
+@query("a37_error_code_lines", f"""WITH {WHOLE}
+SELECT CASE WHEN k % 2 = 0 THEN 'ECONNRESET' WHEN k % 11 <> 2 THEN '529' ELSE 'unknown' END AS code, count(*) AS errors FROM s WHERE event_type = 'error' AND k % 3 = 2 GROUP BY 1""")
+def _(spark, sf):
+    return AD.api_error_codes(AD.api_errors_of(signals(spark, sf)))
+
+
+@query("p6_cache_ttl", f"""WITH {WHOLE}
+SELECT session_id, count(*) AS records, sum(k)::BIGINT AS written_5m, sum(k // 3)::BIGINT AS written_1h, {ratio4_sql('sum(k)', 'sum(k) + sum(k // 3)')} AS share_5m
+FROM s WHERE event_type = 'purchase' GROUP BY 1""")
+def _(spark, sf):
+    return AD.cache_ttl_split(signals(spark, sf), "session_id")
+
+
+@query("p6_signal_labels", f"""WITH {WHOLE}
+SELECT CASE WHEN event_type = 'click' THEN 'agent-name' WHEN k % 3 = 1 THEN 'permission-mode' ELSE 'queue-operation' END AS type,
+ CASE WHEN event_type = 'click' THEN 'agent' || (k % 3) WHEN k % 3 = 1 THEN CASE WHEN k % 2 = 0 THEN 'plan' ELSE 'default' END WHEN k % 2 = 0 THEN 'enqueue' ELSE 'dequeue' END AS label,
+ count(*) AS records FROM s WHERE event_type IN ('view', 'click') GROUP BY 1, 2""")
+def _(spark, sf):
+    return AD.signal_labels(signals(spark, sf))
