@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numbers import count_true, ratio, ratio4
-from ..functions.text import classify_error
-from .episodes import KEY
+from ..functions.models import nano_to_usd
+from ..functions.numbers import count_true, ratio, ratio4, round_to
+from ..functions.text import classify_error, mcp_server
+from .episodes import KEY, MIN_SAMPLES
+from .filters import main_only
 from .scan import CHUNK_WIDTH, EV_WIDTH, last_seen, ordered_scan, quantiles, running_count, running_sum
 
 # Further error patterns in front of the known ones, and which side each category belongs to.
@@ -46,6 +48,21 @@ def own_baselines(episodes: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
     return quantiles(episodes, ["task_type"], "duration_seconds", picks, width).select("task_type", "p50", "p90", F.col("rows").alias("episodes"))
 
 
+def baselines(episodes: DataFrame, since: Column, width: int = CHUNK_WIDTH) -> DataFrame:
+    """P2: p50 and p90 of the duration by task type from the episodes before ``since``.
+
+    Cold start: a type without enough history takes the window itself (``basis`` says which); both come from one pass.
+    """
+    picks = {"p50": ("nearest", 0.5), "p90": ("nearest", 0.9)}
+    old = episodes.withColumn("_old", F.col("start_ts") < since)
+    both = quantiles(old, ["task_type", "_old"], "duration_seconds", picks, width)
+    usable = F.col("_old") & (F.col("rows") >= MIN_SAMPLES)
+    best = F.max(F.struct(F.when(usable, 2).when(~F.col("_old"), 1).otherwise(0).alias("rank"), *picks, "rows"))
+    chosen = both.groupBy("task_type").agg(best.alias("b"))
+    basis = F.when(F.col("b.rank") == 1, F.lit("window")).otherwise(F.lit("history"))
+    return chosen.select("task_type", "b.p50", "b.p90", F.col("b.rows").alias("episodes"), basis.alias("basis"), (F.col("b.rows") < MIN_SAMPLES).alias("low_confidence"))
+
+
 def weekly_change(episodes: DataFrame) -> DataFrame:
     """P2: episodes and spiral share per week with the share of the week before; one row per week reaches the window."""
     weeks = episodes.groupBy(F.date_format(F.date_trunc("week", F.col("start_ts").cast("timestamp")), "yyyy-MM-dd").alias("week")).agg(
@@ -57,11 +74,23 @@ def weekly_change(episodes: DataFrame) -> DataFrame:
 FINDINGS = ("edit_ring", "error_dense", "no_progress", "time_outlier")
 
 
-def findings(episodes: DataFrame) -> DataFrame:
-    """P3: how often each loop signal fired and the tokens spent in those episodes."""
+#: What answers each finding: a feature of the tool itself. A caller may pass a table of its own.
+FIXES = {"edit_ring": "plan-mode", "error_dense": "hooks", "no_progress": "sub-agents", "time_outlier": "checkpoints"}
+
+
+def exact_nano(cost_usd: Column) -> Column:
+    """Whole nano-dollars of a cost in dollars, so that sums don't depend on their order."""
+    return F.round(cost_usd * F.lit(1e9)).cast("decimal(30,0)")
+
+
+def findings(episodes: DataFrame, fixes: dict[str, str] | None = None) -> DataFrame:
+    """P3: how often each loop signal fired, the tokens and the estimated cost of those episodes, and the feature that answers it."""
+    answers = F.create_map(*[F.lit(x) for pair in (fixes or FIXES).items() for x in pair])
     names = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in FINDINGS]))
-    rows = episodes.select("total", F.explode(names).alias("finding"))
-    return rows.groupBy("finding").agg(F.count(F.lit(1)).alias("episodes"), F.sum("total").alias("tokens"))
+    rows = episodes.select("total", exact_nano(F.col("cost_usd")).alias("nano"), F.explode(names).alias("finding"))
+    return rows.groupBy("finding").agg(
+        F.count(F.lit(1)).alias("episodes"), F.sum("total").alias("tokens"), nano_to_usd(F.sum("nano")).alias("cost_usd")).withColumn(
+        "feature_fix", answers[F.col("finding")])
 
 
 def interruption_windows(labelled: DataFrame, width: int = EV_WIDTH) -> DataFrame:
@@ -98,8 +127,20 @@ def primary_platform(usage: DataFrame, *keys: str, days: int | None = None) -> D
 
 
 def task_cost_by_platform(episodes: DataFrame) -> DataFrame:
-    """P9: episodes and tokens per (task type, platform)."""
-    return episodes.groupBy("task_type", "platform").agg(F.count(F.lit(1)).alias("episodes"), F.sum("total").alias("tokens"))
+    """P9: episodes, tokens and estimated cost per (task type, platform), in total and for one episode."""
+    n, cost = F.count(F.lit(1)), nano_to_usd(F.sum(exact_nano(F.col("cost_usd"))))
+    return episodes.groupBy("task_type", "platform").agg(
+        n.alias("episodes"), F.sum("total").alias("tokens"), cost.alias("cost_usd"), round_to(cost / n, 6).alias("cost_per_episode"))
+
+
+def task_routes(episodes: DataFrame) -> DataFrame:
+    """P9: both platforms side by side per task type, and the cheaper one where both have enough episodes."""
+    per = task_cost_by_platform(episodes)
+    side = lambda p, c: F.max(F.when(F.col("platform") == p, F.col(c)))
+    wide = per.groupBy("task_type").agg(*[side(p, c).alias(f"{p.lower()}_{c}") for p in ("A", "B") for c in ("episodes", "cost_per_episode")])
+    enough = (F.col("a_episodes") >= MIN_SAMPLES) & (F.col("b_episodes") >= MIN_SAMPLES)
+    cheaper = F.when(F.col("a_cost_per_episode") < F.col("b_cost_per_episode"), F.lit("A")).when(F.col("a_cost_per_episode") > F.col("b_cost_per_episode"), F.lit("B"))
+    return wide.withColumn("route", F.when(enough, cheaper))
 
 
 def style_drift(metrics: DataFrame, profile: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -121,3 +162,37 @@ def nearest_archetype(vectors: DataFrame, archetypes: DataFrame, keys: list[str]
     near = per.groupBy(*keys).agg(F.min(F.struct("distance", "archetype", "_g")).alias("_n"))
     return near.select(*keys, F.col("_n.archetype").alias("archetype"), ratio4(F.col("_n.distance"), F.lit(1)).alias("distance"),
                        F.col("_n._g.axis").alias("largest_gap"), ratio4(F.col("_n._g.gap"), F.lit(1)).alias("gap"))
+
+
+AXES = ("autonomy", "planning", "parallelism", "investment", "verification")
+
+
+def style_axes(ev: DataFrame, episodes: DataFrame, key: str) -> DataFrame:
+    """P5: the five style axes per (key, platform) as (key, platform, axis, value), each from 0 to 1 where it is a share.
+
+    autonomy: episodes without an interruption. planning: permission labels that say plan. parallelism: sessions per active hour, less
+    the one that is always there. investment: distinct skills and tool servers per session. verification: test runs per episode.
+    """
+    by = [key, "platform"]
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    mode = (F.col("kind") == "label") & (F.col("label_field") == "permission_mode")
+    extra = F.when((F.col("kind") == "label") & (F.col("label_field") == "skill"), F.concat(F.lit("s:"), "label")).when(
+        (F.col("kind") == "tool_call") & F.startswith("tool_name", F.lit("mcp__")), F.concat(F.lit("m:"), mcp_server(F.col("tool_name"))))
+    rows = main_only(ev)
+    counts = rows.groupBy(*by).agg(
+        ratio(count_true(mode & (F.col("label") == "plan")), count_true(mode)).alias("planning"), F.count_distinct("session_id").alias("_sessions"),
+        F.count_distinct(extra).alias("_extras"), count_true((F.col("kind") == "tool_call") & F.coalesce(F.col("long_run"), F.lit(False))).alias("_tests"))
+    busy = rows.filter(F.col("total").isNotNull()).select(*by, hour.alias("_h"), "session_id").distinct()
+    parallel = busy.groupBy(*by, "_h").agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(ratio(F.sum(F.col("_n") - 1), F.count(F.lit(1))).alias("parallelism"))
+    free = episodes.groupBy(*by).agg(F.count(F.lit(1)).alias("_episodes"), ratio(count_true(~F.col("interrupted")), F.count(F.lit(1))).alias("autonomy"))
+    wide = counts.join(free, by, "left").join(parallel, by, "left").withColumns({
+        "investment": ratio(F.col("_extras"), F.col("_sessions")), "verification": ratio(F.col("_tests"), F.coalesce(F.col("_episodes"), F.lit(0)))})
+    pairs = F.array(*[F.struct(F.lit(a).alias("axis"), round_to(F.coalesce(F.col(a), F.lit(0.0)), 6).alias("value")) for a in AXES])
+    return wide.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.axis", "_p.value")
+
+
+def top_gaps(vectors: DataFrame, target: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """P5: the ``k`` axes on which each vector is furthest from a chosen target (axis, target): what to work on, in order."""
+    gaps = vectors.join(target.select("axis", "target"), "axis").withColumn("gap", round_to(F.col("target") - F.col("value"), 6))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs("gap")), "axis"))
+    return gaps.withColumn("place", place).filter(F.col("place") <= k).select(*keys, "place", "axis", "value", "target", "gap")

@@ -10,7 +10,7 @@ from ..operators import behavior as B, episodes as E, proposals as P, score
 from ..operators.usage import usage_rows
 from .adapters import events_as_ev, events_wide, pick
 from .episode_queries import CAP, EPS, _detail
-from .registry import ERROR_SQL, query, ratio4_sql, sql_list
+from .registry import ERROR_SQL, LONG_RUN_SQL, query, ratio4_sql, ratio_sql, round_sql, sql_list
 
 LINES = ["bash: foo: command not found", "write failed: ENOSPC", "JavaScript heap out of memory", "process killed", "SyntaxError: bad", "2 tests failed", "fetch failed", "odd", "TypeError: x is undefined"]
 
@@ -39,9 +39,20 @@ def _(spark, sf):
     return P.weekly_change(_detail(spark, sf))
 
 
-@query("p3_findings", EPS + """SELECT finding, count(*) AS episodes, sum(total)::BIGINT AS tokens FROM (
- SELECT 'edit_ring' AS finding, total FROM ep WHERE edit_ring UNION ALL SELECT 'error_dense', total FROM ep WHERE error_dense
- UNION ALL SELECT 'no_progress', total FROM ep WHERE no_progress UNION ALL SELECT 'time_outlier', total FROM ep WHERE time_outlier) GROUP BY 1""")
+@query("p2_baselines_cold_start", EPS + """, b AS (SELECT task_type, start_ts < TIMESTAMP '2024-01-08' AS old, quantile_disc(duration_seconds, 0.5) AS p50, quantile_disc(duration_seconds, 0.9) AS p90, count(*) AS episodes FROM ep GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY task_type ORDER BY CASE WHEN old AND episodes >= 5 THEN 0 WHEN NOT old THEN 1 ELSE 2 END) AS r FROM b)
+SELECT task_type, p50, p90, episodes, CASE WHEN old THEN 'history' ELSE 'window' END AS basis, episodes < 5 AS low_confidence FROM r WHERE r = 1""")
+def _(spark, sf):
+    return P.baselines(_detail(spark, sf), F.lit("2024-01-08").cast("timestamp_ntz"))
+
+
+NANO_SUM = "sum(round(cost_usd * 1e9::DOUBLE)::HUGEINT)::DOUBLE / 1e9::DOUBLE"
+
+
+@query("p3_findings", EPS + f"""SELECT finding, count(*) AS episodes, sum(total)::BIGINT AS tokens, {NANO_SUM} AS cost_usd,
+ CASE finding WHEN 'edit_ring' THEN 'plan-mode' WHEN 'error_dense' THEN 'hooks' WHEN 'no_progress' THEN 'sub-agents' ELSE 'checkpoints' END AS feature_fix FROM (
+ SELECT 'edit_ring' AS finding, total, cost_usd FROM ep WHERE edit_ring UNION ALL SELECT 'error_dense', total, cost_usd FROM ep WHERE error_dense
+ UNION ALL SELECT 'no_progress', total, cost_usd FROM ep WHERE no_progress UNION ALL SELECT 'time_outlier', total, cost_usd FROM ep WHERE time_outlier) GROUP BY 1""")
 def _(spark, sf):
     return P.findings(_detail(spark, sf))
 
@@ -75,11 +86,51 @@ def _(spark, sf):
     return P.primary_platform(usage_rows(events_as_ev(spark, sf)), "session_id")
 
 
-@query("p9_task_cost_by_platform", EPS + "SELECT task_type, platform, count(*) AS episodes, sum(total)::BIGINT AS tokens FROM ep GROUP BY 1, 2")
+TASK_COST_SQL = f"c AS (SELECT task_type, platform, count(*) AS episodes, sum(total)::BIGINT AS tokens, {NANO_SUM} AS cost_usd, {round_sql(f'{NANO_SUM} / count(*)::DOUBLE', 6)} AS cost_per_episode FROM ep GROUP BY 1, 2)"
+
+
+@query("p9_task_cost_by_platform", EPS + f", {TASK_COST_SQL} SELECT * FROM c")
 def _(spark, sf):
     return P.task_cost_by_platform(_detail(spark, sf))
 
 
+@query("p9_task_routes", EPS + f""", {TASK_COST_SQL}, a AS (SELECT * FROM c WHERE platform = 'A'), b AS (SELECT * FROM c WHERE platform = 'B')
+SELECT task_type, a.episodes AS a_episodes, a.cost_per_episode AS a_cost_per_episode, b.episodes AS b_episodes, b.cost_per_episode AS b_cost_per_episode,
+ CASE WHEN a.episodes >= 5 AND b.episodes >= 5 THEN CASE WHEN a.cost_per_episode < b.cost_per_episode THEN 'A' WHEN a.cost_per_episode > b.cost_per_episode THEN 'B' END END AS route
+FROM a FULL JOIN b USING (task_type)""")
+def _(spark, sf):
+    return P.task_routes(_detail(spark, sf))
+
+
+AXES_SQL = f"""m AS (SELECT * FROM u WHERE NOT is_sidechain),
+ct AS (SELECT repo, platform, {ratio_sql("count(*) FILTER (WHERE label_field = 'permission_mode' AND label = 'plan')", "count(*) FILTER (WHERE label_field = 'permission_mode')")} AS planning, count(DISTINCT session_id) AS sessions,
+  count(DISTINCT CASE WHEN label_field = 'skill' THEN 's:' || label END) + count(DISTINCT CASE WHEN is_call AND starts_with(tool_name, 'mcp__') THEN 'm:' || split_part(tool_name, '__', 2) END) AS extras,
+  count(*) FILTER (WHERE is_call AND coalesce({LONG_RUN_SQL.format('command')}, false)) AS tests FROM m GROUP BY 1, 2),
+bz AS (SELECT repo, platform, count(DISTINCT session_id) AS n, date_trunc('hour', ts) AS h FROM m GROUP BY repo, platform, date_trunc('hour', ts)),
+pl AS (SELECT repo, platform, sum(n - 1)::DOUBLE / count(*) AS parallelism FROM bz GROUP BY 1, 2),
+fr AS (SELECT repo, platform, count(*) AS eps, count(*) FILTER (WHERE NOT interrupted)::DOUBLE / count(*) AS autonomy FROM ep GROUP BY 1, 2),
+wd AS (SELECT ct.repo, ct.platform, coalesce(autonomy, 0) AS autonomy, planning, coalesce(parallelism, 0) AS parallelism, extras::DOUBLE / sessions::DOUBLE AS investment, {ratio_sql('tests', 'coalesce(eps, 0)')} AS verification
+  FROM ct LEFT JOIN pl USING (repo, platform) LEFT JOIN fr USING (repo, platform)),
+ax AS (SELECT repo, platform, axis, {round_sql('value', 6)} AS value FROM (UNPIVOT wd ON autonomy, planning, parallelism, investment, verification INTO NAME axis VALUE value))"""
+
+
+@query("p5_style_axes", EPS + f", {AXES_SQL} SELECT * FROM ax")
+def _(spark, sf):
+    return P.style_axes(events_as_ev(spark, sf), _detail(spark, sf), "repo")
+
+
+TARGETS = [("autonomy", 0.9), ("planning", 0.4), ("parallelism", 0.5), ("investment", 2.0), ("verification", 1.0)]
+
+
+@query("p5_top_gaps", EPS + f""", {AXES_SQL}, tg(axis, target) AS (VALUES {", ".join(f"('{a}', {t}::DOUBLE)" for a, t in TARGETS)}),
+gp AS (SELECT repo, platform, axis, value, target, {round_sql('target - value', 6)} AS gap FROM ax JOIN tg USING (axis)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY repo, platform ORDER BY abs(gap) DESC, axis) AS place FROM gp)
+SELECT repo, platform, place, axis, value, target, gap FROM rk WHERE place <= 3""")
+def _(spark, sf):
+    axes = P.style_axes(events_as_ev(spark, sf), _detail(spark, sf), "repo")
+    return P.top_gaps(axes, spark.createDataFrame(TARGETS, "axis string, target double"), ["repo", "platform"])
+
+
 @query("p10_autonomy_tier", f"""
 WITH r AS (SELECT session_id, count(DISTINCT file_id) AS sessions, count(*) FILTER (WHERE is_edit AND NOT is_sidechain) AS edits,
  {ratio4_sql('count(*) FILTER (WHERE is_edit AND NOT is_sidechain AND k % 5 = 0)', 'count(*) FILTER (WHERE is_edit AND NOT is_sidechain)')} AS umr FROM u GROUP BY 1)
