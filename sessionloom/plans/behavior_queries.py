@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..schema import STRIDE
 from ..functions import text as X
-from ..operators import behavior as B, joins as J, sessions as S, topk as K, usage as U
+from ..operators import behavior as B, compare as CO, joins as J, sessions as S, topk as K, usage as U
 from .adapters import events_as_ev, events_wide, table, texts
 from .registry import first_token_sql, git_sql, query, ratio4_sql, ratio_sql, round_sql
 
@@ -271,13 +271,31 @@ WITH b AS (
  SELECT platform, 'command' AS block, {first_token_sql('command')} AS name, 12 AS lim FROM u WHERE tool_kind = 'shell' AND {MAIN}
  UNION ALL SELECT platform, 'git', {git_sql('command')}, 10 FROM u WHERE tool_kind = 'shell' AND {MAIN}
  UNION ALL SELECT platform, 'tool_kind', tool_kind, 1000 FROM u WHERE {CALLS}
+ UNION ALL SELECT platform, 'tool_name', tool_name, 15 FROM u WHERE {CALLS}
+ UNION ALL SELECT platform, 'mcp', split_part(tool_name, '__', 2), 1000 FROM u WHERE {CALLS} AND starts_with(tool_name, 'mcp__')
+ UNION ALL SELECT platform, 'language', {LANG.format('file_ext')}, 10 FROM u WHERE tool_kind = 'file' AND {MAIN}
+ UNION ALL SELECT platform, 'skill', CASE WHEN contains(label, ':') THEN string_split(label, ':')[2] ELSE label END, 12 FROM u WHERE label_field = 'skill'
+ UNION ALL SELECT platform, 'permission_mode', label, 4 FROM u WHERE label_field = 'permission_mode'
+ UNION ALL SELECT platform, 'subagent', 'messages', 1000 FROM u WHERE marker = 'subagent'
  UNION ALL SELECT platform, 'hour', CAST(hour(ts) AS VARCHAR), 1000 FROM u),
+fs AS (SELECT platform, session_id, first(source ORDER BY file_id, event_id) AS source FROM u WHERE source <> '' GROUP BY 1, 2),
+us AS (SELECT DISTINCT platform, session_id FROM u WHERE {MAIN}),
 c AS (SELECT platform, block, name, lim, count(*) AS n FROM b WHERE name IS NOT NULL GROUP BY 1, 2, 3, 4
- UNION ALL SELECT platform, 'repo', repo, 10, sum(total)::BIGINT FROM u GROUP BY 1, 3)
+ UNION ALL SELECT platform, 'repo', repo, 10, sum(total)::BIGINT FROM u GROUP BY 1, 3
+ UNION ALL SELECT platform, 'source', source, 1000, count(*) FROM fs JOIN us USING (platform, session_id) GROUP BY 1, 3)
 SELECT platform, block, name, n FROM (SELECT *, row_number() OVER (PARTITION BY platform, block ORDER BY n DESC, name) AS r FROM c) WHERE r <= lim""")
 def _(spark, sf):
-    from ..operators.compare import platform_profile
-    return platform_profile(events_as_ev(spark, sf))
+    return CO.platform_profile(events_as_ev(spark, sf))
+
+
+@query("a42_top_sessions", f"""
+WITH p AS (SELECT platform, session_id, repo, sum(total) AS t FROM u WHERE {MAIN} GROUP BY 1, 2, 3),
+tr AS (SELECT platform, session_id, first(repo ORDER BY t DESC, repo) AS repo FROM p GROUP BY 1, 2),
+s AS (SELECT platform, session_id, sum(total)::BIGINT AS tokens, count(*) FILTER (WHERE is_call) AS tool_calls, epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts FROM u WHERE {MAIN} GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY tokens DESC, tool_calls DESC, session_id) AS place FROM s JOIN tr USING (platform, session_id) WHERE tokens > 0)
+SELECT * FROM r WHERE place <= 10""")
+def _(spark, sf):
+    return CO.platform_top_sessions(events_as_ev(spark, sf))
 
 
 SUMMARY_SQL = f"""SELECT platform, sum(nano)::DOUBLE / 1e9::DOUBLE AS cost_usd, count(DISTINCT CASE WHEN {MAIN} THEN session_id END) AS sessions, count(DISTINCT CAST(ts AS DATE)) AS active_days,
@@ -288,8 +306,7 @@ SUMMARY_SQL = f"""SELECT platform, sum(nano)::DOUBLE / 1e9::DOUBLE AS cost_usd,
 
 @query("a42_platform_summary", SUMMARY_SQL)
 def _(spark, sf):
-    from ..operators.compare import platform_summary
-    return platform_summary(events_as_ev(spark, sf))
+    return CO.platform_summary(events_as_ev(spark, sf))
 
 
 @query("a43_compare_platforms", f"""
@@ -299,8 +316,7 @@ m AS (SELECT platform, unnest(['sessions', 'active_days', 'fresh', 'cache_read',
 w AS (SELECT metric, sum(value) FILTER (WHERE platform = 'A') AS a, sum(value) FILTER (WHERE platform = 'B') AS b FROM m GROUP BY 1)
 SELECT metric, a, b, CASE WHEN a + b > 0 THEN a / (a + b) * 100.0::DOUBLE ELSE 0.0::DOUBLE END AS a_share FROM w""")
 def _(spark, sf):
-    from ..operators.compare import compare_platforms, platform_summary
-    return compare_platforms(platform_summary(events_as_ev(spark, sf)))
+    return CO.compare_platforms(CO.platform_summary(events_as_ev(spark, sf)))
 
 
 @query("h24_tier_scores", f"""

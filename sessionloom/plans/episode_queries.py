@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..schema import STRIDE
 from ..functions import models as M
 from ..functions.timez import epoch_micros
+from ..operators.compare import platform_summary
 from ..operators import episodes as E, filters as FI, joins as J, scan as SC, tokens as T, topk as K, usage as U
 from ..session import stage
 from .adapters import events_as_ev, events_wide, plan_cache, table
@@ -163,6 +164,14 @@ def _(spark, sf):
     return E.episode_summary(_detail(spark, sf), "platform")
 
 
+@query("a42_summary_with_episodes", EPS + ", sp AS (" + SUMMARY.replace("SELECT ", "SELECT platform, ", 1) + """ GROUP BY platform),
+su AS (SELECT platform, sum(total)::BIGINT AS total, strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day FROM u GROUP BY 1)
+SELECT * FROM su LEFT JOIN sp USING (platform)""")
+def _(spark, sf):
+    whole = platform_summary(events_as_ev(spark, sf), episodes=_detail(spark, sf))
+    return whole.select("platform", "total", "first_day", "last_day", *[c for c in E.episode_summary(_detail(spark, sf)).columns])
+
+
 @query("w15_task_mix", EPS + f"SELECT task_type, count(*) AS episodes, {ratio4_sql('count(*)', '(SELECT count(*) FROM ep)')} AS share FROM ep GROUP BY 1")
 def _(spark, sf):
     return E.task_mix(_detail(spark, sf))
