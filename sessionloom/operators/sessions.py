@@ -38,8 +38,11 @@ def session_models(ev: DataFrame) -> DataFrame:
         "session_id", "model").distinct()
 
 
-def session_candidates_b(ev: DataFrame) -> DataFrame:
-    """Tokens, tool counts, span and last model per file of main-chain logs; empty sessions are dropped."""
+def session_candidates_b(ev: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Tokens, tool counts, span and last model per file of main-chain logs; empty sessions are dropped.
+
+    ``facts`` (one row per file, from the headers) adds source and branch, and the repository key by the remote.
+    """
     rows = main_only(ev)
     micros = epoch_micros(F.col("ts"))
     base = rows.groupBy("file_id").agg(
@@ -51,7 +54,11 @@ def session_candidates_b(ev: DataFrame) -> DataFrame:
     tools = tool_totals(ev, "file_id")
     counts = [c for c in tools.columns if c != "file_id"]
     joined = base.join(tools, "file_id", "left").select(*base.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
-    return nonempty_sessions(joined.withColumn("tool_calls", F.col("total_calls"))).drop("total_calls")
+    full = nonempty_sessions(joined.withColumn("tool_calls", F.col("total_calls"))).drop("total_calls")
+    if facts is None:
+        return full
+    head = facts.select("file_id", F.col("repo").alias("_repo"), "source", "branch")
+    return full.join(head, "file_id", "left").withColumn("repo", F.coalesce("_repo", "repo")).drop("_repo")
 
 
 def session_top_commands(ev: DataFrame, n: int = 8) -> DataFrame:

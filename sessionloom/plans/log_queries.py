@@ -75,7 +75,9 @@ def raw_lines_b(spark, sf) -> DataFrame:
     first = u.groupBy("file_id", "session_id", "user_id").agg(F.min("ts").alias("ts"))
     source = F.when(F.col("user_id") % 9 == 4, F.lit("subagent-x")).otherwise(F.lit("vscode"))
     header = first.select("file_id", F.lit(0).cast("bigint").alias("line_no"), record("session_meta", F.struct(
-        F.col("session_id").alias("id"), F.concat(F.lit("/w/subagent"), F.col("user_id") % 3).alias("cwd"), source.alias("source"))).alias("value"))
+        F.col("session_id").alias("id"), F.concat(F.lit("/w/subagent"), F.col("user_id") % 3).alias("cwd"), source.alias("source"),
+        F.when(F.col("user_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("git@host:team/proj"), F.col("user_id") % 4, F.lit(".git/"))).alias("git_origin_url"),
+        F.when(F.col("user_id") % 4 != 1, F.concat(F.lit("b"), F.col("user_id") % 5)).alias("git_branch"))).alias("value"))
     return stage(header.unionByName(body), "lines-b")
 
 
@@ -93,6 +95,26 @@ def _write_lines(spark, sf, raw: DataFrame, prefix: str) -> str:
     return path
 
 
+@query("a29_session_facts", """
+WITH m AS (SELECT file_id, first(model ORDER BY event_id DESC) AS model FROM u WHERE event_type = 'signup' GROUP BY 1)
+SELECT DISTINCT u.file_id, session_id, CASE WHEN user_id % 3 = 0 THEN 'subagent' || (user_id % 3) ELSE 'proj' || (user_id % 4) END AS repo, 'plugin' AS source,
+ CASE WHEN user_id % 4 <> 1 THEN 'b' || (user_id % 5) ELSE '' END AS branch, coalesce(m.model, '') AS model FROM u LEFT JOIN m USING (file_id) WHERE user_id % 9 <> 4""")
+def _(spark, sf):
+    return NB.session_facts(L.parse_json(raw_lines_b(spark, sf))[0])
+
+
+@query("a29_candidates_from_lines", """
+WITH f AS (SELECT file_id, user_id, count(*) FILTER (WHERE event_type IN ('click', 'purchase')) AS tool_calls, count(*) FILTER (WHERE event_type = 'click') AS shell_calls,
+  count(*) FILTER (WHERE event_type = 'purchase') AS file_changes, coalesce(sum(input + output) FILTER (WHERE event_type = 'view'), 0)::BIGINT AS tokens FROM u WHERE user_id % 9 <> 4 GROUP BY 1, 2)
+SELECT file_id, CASE WHEN user_id % 3 = 0 THEN 'subagent' || (user_id % 3) ELSE 'proj' || (user_id % 4) END AS repo, 'plugin' AS source,
+ CASE WHEN user_id % 4 <> 1 THEN 'b' || (user_id % 5) ELSE '' END AS branch, tokens, tool_calls, shell_calls, file_changes FROM f WHERE tokens <> 0 OR tool_calls <> 0""")
+def _(spark, sf):
+    from ..operators.sessions import session_candidates_b
+    facts = NB.session_facts(L.parse_json(raw_lines_b(spark, sf))[0])
+    found = session_candidates_b(normalized_b(spark, sf), facts)
+    return found.select("file_id", "repo", "source", "branch", "tokens", "tool_calls", "shell_calls", "file_changes")
+
+
 @query("s1_s3_read_logs", "SELECT count(*) AS lines, count(*) AS distinct_positions FROM events", on_u=False)
 def _(spark, sf):
     path = _write_lines(spark, sf, raw_lines_a(spark, sf), "a")

@@ -83,6 +83,26 @@ def carried_records(good: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
         F.coalesce("cur_source", F.lit("(unknown)")).alias("source"), F.coalesce("is_sidechain", F.lit(False)).alias("is_sidechain"))
 
 
+def session_facts(good: DataFrame) -> DataFrame:
+    """One row per main-chain file: session, folder or remote as repository key, source, branch, and the last model.
+
+    The first non-empty value of a header field counts, since a resumed log repeats its header.
+    """
+    p, kind = F.col("payload"), F.col("type")
+    rec = project_records(good).filter(kind.isin("session_meta", "turn_context"))
+    fields = {"session_id": "id", "cwd": "cwd", "_source": "source", "origin": "git_origin_url", "branch": "git_branch"}
+
+    def first(path: str) -> Column:
+        value = F.when(kind == "session_meta", text_at(p, f"$.{path}"))
+        return F.coalesce(F.min_by(value, F.when(value != "", F.col("seq"))), F.lit(""))
+
+    model = F.when(kind == "turn_context", text_at(p, "$.model"))
+    facts = rec.groupBy("file_id").agg(
+        *[first(path).alias(name) for name, path in fields.items()], F.coalesce(F.max_by(model, F.when(model != "", F.col("seq"))), F.lit("")).alias("model"))
+    own = facts.join(flag_subagent_files(project_records(good)), "file_id", "left").filter(~F.coalesce(F.col("is_sidechain"), F.lit(False)))
+    return own.select("file_id", "session_id", X.repo_key(F.col("origin"), F.col("cwd")).alias("repo"), X.source_key(F.col("_source")).alias("source"), "branch", "model")
+
+
 def plan_of_file(good: DataFrame) -> DataFrame:
     """First plan label of each file, read from usage events of any day."""
     rec = project_records(good).filter((F.col("type") == "event_msg") & (F.col("ptype") == "token_count"))
