@@ -9,6 +9,7 @@ from ..functions.numbers import count_true, or_unknown, ratio, ratio4, round_to
 from ..functions.timez import epoch_micros
 from .filters import main_only, scope_key
 from .topk import top_counts, top_per_group
+from .usage import weight
 
 TOOL_KINDS = ("shell", "web", "file", "search", "mcp", "other")
 
@@ -99,13 +100,15 @@ def dominant_language(ev: DataFrame) -> DataFrame:
 
 
 def error_signals(ev: DataFrame, *keys: str) -> DataFrame:
-    rows = main_only(ev)
-    result, err = F.col("kind") == "tool_result", F.coalesce(F.col("is_error"), F.lit(False))
+    rows, kind = main_only(ev), F.col("kind")
+    result, err = kind == "tool_result", F.coalesce(F.col("is_error"), F.lit(False))
+
+    def n(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, weight(ev))), F.lit(0))
+
     return rows.groupBy(*keys).agg(
-        count_true(result).alias("results"), count_true(result & err).alias("errors"),
-        ratio4(count_true(result & err), count_true(result)).alias("error_rate"),
-        count_true(F.col("kind") == "interrupt").alias("interrupted"),
-        count_true(F.col("kind") == "api_error").alias("api_errors"))
+        n(result).alias("results"), n(result & err).alias("errors"), ratio4(n(result & err), n(result)).alias("error_rate"),
+        n(kind == "interrupt").alias("interrupted"), n(kind == "api_error").alias("api_errors"))
 
 
 def errors_by(ev: DataFrame, what: str, n: int = 8) -> DataFrame:

@@ -12,8 +12,15 @@ from . import topk
 from .filters import main_only
 
 
+def weight(ev: DataFrame):
+    """Records that a row stands for: one, or ``records`` of compact rows."""
+    return F.col("records") if "records" in ev.columns else F.lit(1)
+
+
 def usage_rows(ev: DataFrame) -> DataFrame:
-    """Usage records with the normalized model and the part of the input not read from a cache."""
+    """Usage records with the normalized model and the part of the input not read from a cache; compact rows have all that."""
+    if "uncached" in ev.columns:
+        return ev.filter(F.col("total").isNotNull())
     model = M.normalize_model(F.col("model"))
     return ev.filter(F.col("total").isNotNull()).withColumns({
         "model_norm": model,
@@ -28,7 +35,7 @@ def _sums() -> list:
 
 def priced_sums(usage: DataFrame, *keys: str) -> DataFrame:
     """Bucket sums and exact cost per (keys, model): tokens are summed first, prices touch only the groups."""
-    sums = usage.groupBy(*keys, "model_norm").agg(*_sums(), F.count(F.lit(1)).alias("records"))
+    sums = usage.groupBy(*keys, "model_norm").agg(*_sums(), F.sum(weight(usage)).alias("records"))
     price = M.price_of(F.col("model_norm"))
     nano = M.cost_nano(price, *[F.col(c) for c in ("input", "cached_input", "cache_creation", "output", "uncached")])
     return sums.select("*", nano.alias("nano"), price.isNotNull().alias("priced"))
@@ -79,7 +86,7 @@ def repo_branches(ev: DataFrame) -> DataFrame:
 
 def by_hour(ev: DataFrame, tz: str = "UTC") -> DataFrame:
     rows = ev.filter(F.col("total").isNotNull()).groupBy(local_hour(F.col("ts"), tz).alias("hour"))
-    return rows.agg(F.sum("total").alias("tokens"), F.count(F.lit(1)).alias("events")).filter(F.col("tokens") > 0)
+    return rows.agg(F.sum("total").alias("tokens"), F.sum(weight(ev)).alias("events")).filter(F.col("tokens") > 0)
 
 
 def session_source(ev: DataFrame) -> DataFrame:

@@ -29,6 +29,11 @@ def read_log_files(spark: SparkSession, *files: str) -> DataFrame:
     return with_line_no(spark.read.text(list(files)))
 
 
+def path_id(path: Column) -> Column:
+    """A file's path as its id: percent codes are read, plus signs stay."""
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+
+
 def with_line_no(raw: DataFrame) -> DataFrame:
     """Number the lines of each file from 0.
 
@@ -36,7 +41,7 @@ def with_line_no(raw: DataFrame) -> DataFrame:
     with the first id and size of every block gives the offsets; large files stay split over tasks.
     """
     rows = raw.select(
-        "value", F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")).alias("file_id"),
+        "value", path_id(F.col("_metadata.file_path")).alias("file_id"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(F.col("file_id").alias("_f"), F.col("_block").alias("_b")).agg(
