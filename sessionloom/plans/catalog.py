@@ -8,7 +8,8 @@ from ..operators.behavior import dominant_language
 from ..operators.topk import top_repos
 from ..operators.usage import by_repo
 from . import (  # noqa: F401  (they register their queries)
-    adoption_queries, behavior_queries, content_queries, episode_queries, log_queries, proposal_queries, scalar_queries, stream_queries, usage_queries)
+    adoption_queries, behavior_queries, content_queries, episode_queries, log_queries, proposal_queries, reader_queries, scalar_queries, stream_queries,
+    usage_queries)
 from .adapters import events_as_ev
 from .registry import QUERIES, SQL
 
