@@ -25,8 +25,9 @@ from .common import list_array, mix, table, text_blocks, word_hashes
 #: Distinct words a task keeps before it starts anew; bounds its memory and changes no result.
 KEPT_WORDS = 250_000
 #: Bytes of text whose distinct words are replayed together.
-HELD_BYTES = 8 << 20
+HELD_BYTES = 4 << 20
 _vocabularies: dict[str, "Vocabulary"] = {}
+_tokens: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 class Vocabulary:
@@ -79,6 +80,16 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all tokens one behind the other, and their sizes, by id: all that decoding needs."""
+    if path not in _tokens:
+        with open(path, "rb") as f:
+            ranks = {int(b): base64.b64decode(a) for a, b in (x.split() for x in f.read().splitlines() if x.strip())}
+        tokens = [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+        _tokens[path] = np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return _tokens[path]
+
+
 def replay(data: np.ndarray, starts: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the pieces that begin at ``starts`` in ``data``, in one array, and n + 1 offsets of the pieces.
 
@@ -352,13 +363,7 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     encoded = encoded.select(*[F.col(f"`{c}`") for c in kept])
 
     def run(batches):
-        v = vocabulary(vocab_path)
-        top = max(v.ranks.values()) + 1
-        tokens = [b""] * top
-        for b, r in v.ranks.items():
-            tokens[r] = b
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
-        size = np.fromiter(map(len, tokens), np.int64, top)
+        flat, size = token_bytes(vocab_path)
         begin = np.cumsum(size) - size
         for big in batches:
             col = big.column("ids")
