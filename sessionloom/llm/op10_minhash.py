@@ -3,15 +3,17 @@
 1. Every text becomes its set of distinct word 5-shingles (64-bit hashes). Rows with equal sets form one class, so groups of
    copies shrink to one member before anything is compared.
 2. A class is represented by ``COORDINATES`` minwise tokens. In each of ``TREES`` independent trees a class follows each token
-   with probability 1 / (LEVEL * COORDINATES) into a child node; classes of one node share all tokens on its path.
-3. Nodes of up to ``LEAF`` classes are compared exhaustively, inside one task, by their tokens. Larger nodes branch again.
-   Their classes are first compared with a few random pivots of the node, and classes almost equal to a pivot leave, so
-   a large group of near copies ends after one comparison each. Shares of unequal tokens add up like distances, so the
-   likely partners of a class that left are all within ``CLOSE + LIKELY - 1`` of its pivot; these are the pivot's part.
-4. Candidate pairs are confirmed on the full sets; confirmed links are closed to components. A leaf first hands on forests of
-   its strongest candidates. What it held back, and the partners of classes that left a large node, is decided afterwards: all
-   candidates between different components are confirmed as well, in ``SLICES`` of falling estimates, with new components
-   after each. So leaves and large nodes hand on the same links.
+   with probability 1 / (limit * COORDINATES) into a child node; classes of one node share all tokens on its path.
+3. Nodes of up to ``LEAF`` classes are compared exhaustively, inside one task. Tokens first cut a leaf into groups: two classes
+   are likely alike if their tokens are, with a margin of five standard deviations below the limit, so a true pair stays in
+   one group but for one in some millions. Equal groups of many leaves are compared once.
+4. Groups meet with their sets. A task links the classes of a group by exact intersections and hands on a forest of confirmed
+   links, never pairs. Of a set with more than ``SKETCH`` shingles it has the smallest hashes; pairs of such sets that are
+   likely linked by these are confirmed on the whole sets afterwards.
+5. Larger nodes branch again. Their classes are first compared with a few random pivots of the node, and classes almost equal
+   to a pivot leave, so a large group of near copies ends after one comparison each. Shares of unequal tokens add up like
+   distances, so the likely partners of a class that left are all around its pivot; where these aren't one component
+   already, the classes outside the largest component are compared with all of them, in blocks, as in 4.
 
 A pair at the limit shares a leaf of one tree with probability above 0.6, so 16 trees miss less than one in a million.
 
@@ -33,13 +35,12 @@ WORDS = 5
 COORDINATES = 64
 TREES = 16
 LEAF = 2048
-LEVEL = 0.85
-#: Estimates from 64 tokens are off by 0.045 (one standard deviation) at 0.85.
-LIKELY, CLOSE = 0.70, 0.92
-#: Candidate links handed on first for each class and leaf: forests on top of one another, the strongest links first.
-FORESTS = 4
-#: Least estimates of the rounds in which the candidates held back are confirmed, unless confirmed links join them already.
-SLICES = (0.9, 0.8, 0.0)
+#: Share of equal tokens from which a class leaves a large node for its pivot.
+CLOSE = 0.92
+#: Smallest hashes of a set that a group holds; sets up to this size are compared exactly.
+SKETCH = 2048
+#: Standard deviations between the limit and the estimates that decide against a pair.
+MARGIN = 5
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -102,14 +103,23 @@ def _full_sets(batches):
             [pa.array(_set_ids(flat, edge), pa.int64()), list_array(flat.view(np.int64), edge, pa.int64())], ["set_id", "hashes"])
 
 
+def _margin(percent: int, n: int) -> float:
+    return MARGIN * float(np.sqrt(percent / 100 * (1 - percent / 100) / n))
+
+
+def _likely(percent: int) -> int:
+    """Least number of equal tokens of a pair that may be linked."""
+    return int(np.floor(COORDINATES * (percent / 100 - _margin(percent, COORDINATES))))
+
+
 def _tokens(batch, name: str = "tokens") -> np.ndarray:
     raw = b"".join(batch.column(name).to_pylist())
     return np.frombuffer(raw, "<u4").reshape(-1, COORDINATES)
 
 
-def _branch(seeds: np.ndarray, node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _branch(seeds: np.ndarray, node: np.ndarray, tokens: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and child nodes: each (coordinate, token) below a node is followed by all its classes or by none."""
-    limit = np.uint64(2**64 / (LEVEL * COORDINATES))
+    limit = np.uint64(2**64 / (level * COORDINATES))
     rows, children = [], []
     place = mix(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(77))
     for seed in seeds:
@@ -120,7 +130,7 @@ def _branch(seeds: np.ndarray, node: np.ndarray, tokens: np.ndarray) -> tuple[np
     return np.concatenate(rows), np.concatenate(children)
 
 
-def _grow(batches, trees: int):
+def _grow(batches, trees: int, level: float):
     """Children of every class: below the roots of all trees, or below the node it stands in."""
     seeds = mix(np.arange(trees, dtype=np.uint64) + np.uint64(5))
     for big in batches:
@@ -128,76 +138,113 @@ def _grow(batches, trees: int):
             batch = big.slice(lo, 2048)
             ids = batch.column("set_id").to_numpy()
             node = batch.column("node").to_numpy().view(np.uint64) if "node" in batch.schema.names else np.zeros(len(ids), np.uint64)
-            rows, children = _branch(seeds, node, _tokens(batch))
+            rows, children = _branch(seeds, node, _tokens(batch), level)
             yield pa.RecordBatch.from_arrays([pa.array(children.view(np.int64)), pa.array(ids[rows])], ["node", "set_id"])
 
 
-def _compare(batches):
-    """First candidate links of each leaf, as forests of the strongest links; ``held`` names leaves that have more."""
-    out, held = [], []
+def _alike(tokens: np.ndarray, others: np.ndarray, sizes: np.ndarray, other_sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs may be linked, by the number of equal tokens and by the sizes of the sets."""
+    equal = np.zeros((len(tokens), len(others)), np.int8)
+    for c in range(COORDINATES):
+        equal += tokens[:, c, None] == others[None, :, c]
+    small, big = np.minimum(sizes[:, None], other_sizes), np.maximum(sizes[:, None], other_sizes)
+    return (equal >= _likely(percent)) & (100 * small >= percent * big)
+
+
+def _groups(batches, percent: int):
+    """Groups of each leaf that likely pairs hold together; the same classes make the same group in every leaf."""
+    names, members = [], []
     for leaf in runs(batches, "node"):
         ids, first = np.unique(leaf.column("set_id").to_numpy(), return_index=True)
         if len(ids) < 2:
             continue
-        tokens = np.frombuffer(b"".join(leaf.column("tokens").to_pylist()), "<u4").reshape(-1, COORDINATES)[first]
-        alike = np.zeros((len(ids), len(ids)), np.int16)
-        for c in range(COORDINATES):
-            alike += tokens[:, c, None] == tokens[None, :, c]
-        a, b = np.nonzero(np.triu(alike >= LIKELY * COORDINATES, 1))
-        order = np.argsort(-alike[a, b], kind="stable")
-        before = len(out)
-        for x, y in _forests(len(ids), a[order], b[order]):
-            out.append((int(ids[x]), int(ids[y])))
-        if len(out) - before < len(a):
-            held.append(leaf.column("node")[0].as_py())
-        if len(out) > 20_000:
-            yield _pairs(out, held)
-            out, held = [], []
-    yield _pairs(out, held)
-
-
-def _pairs(rows: list[tuple[int, int]], held: list[int]) -> pa.RecordBatch:
-    columns = [[r[0] for r in rows] + [None] * len(held), [r[1] for r in rows] + [None] * len(held), [None] * len(rows) + held]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "held"])
-
-
-def _across(batches, low: float, high: float):
-    """Pairs of different components in each block whose estimates lie in ``[low, high)``."""
+        tokens, sizes = _tokens(leaf)[first], leaf.column("n_shingles").to_numpy()[first]
+        near = _alike(tokens, tokens, sizes, sizes, percent)
+        open_ = near.sum(axis=1) > 1
+        while open_.any():
+            group = np.zeros(len(ids), bool)
+            fresh = np.arange(len(ids)) == np.argmax(open_)
+            while fresh.any():
+                group |= fresh
+                fresh = near[fresh].any(axis=0) & ~group
+            open_ &= ~group
+            own = ids[group]
+            names.append(mix(np.asarray([np.bitwise_xor.reduce(mix(own.view(np.uint64))) + np.uint64(len(own))], np.uint64))[0])
+            members.append(own)
+        if len(members) > 2048:
+            yield _members(names, members)
+            names, members = [], []
+    if members:
+        yield _members(names, members)
+
+
+def _members(names: list, members: list[np.ndarray]) -> pa.RecordBatch:
+    n = np.asarray([len(m) for m in members])
+    part = np.repeat(np.asarray(names, np.uint64).view(np.int64), n)
+    return pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.concatenate(members)), pa.array(np.repeat(n, n))], ["part", "set_id", "n"])
+
+
+def _estimate(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
+    """Likeness of two sets by the smallest ``sketch`` hashes of either."""
+    union = np.union1d(a, b)[:sketch]
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
+
+
+def _links(batches, percent: int, sketch: int):
+    """Links within each block that join different components: forests of exact ones, and others that whole sets must decide.
+
+    Rows marked ``few`` are compared with the others, or with one another where a block has no others.
+    """
+    margin = _margin(percent, sketch)
+    out = []
     for block in runs(batches, "block"):
-        few = block.column("few").to_numpy()
-        ids, label, free = (block.column(c).to_numpy() for c in ("set_id", "label", "free"))
-        tokens = np.frombuffer(b"".join(block.column("tokens").to_pylist()), "<u4").reshape(-1, COORDINATES)
-        rows, others = np.flatnonzero(few), np.flatnonzero(~few)
+        few, free, label = (block.column(c).to_numpy(zero_copy_only=False) for c in ("few", "free", "label"))
+        ids, sizes, tokens = block.column("set_id").to_numpy(), block.column("n_shingles").to_numpy(), _tokens(block)
+        hashes = block.column("hashes").combine_chunks()
+        edge = hashes.offsets.to_numpy()
+        flat = hashes.values.to_numpy()[edge[0]:edge[-1]].view(np.uint64)
+        edge = edge - edge[0]
+        codes = np.unique(flat, return_inverse=True)[1].astype(np.int32)
+        marked = np.zeros(len(flat), bool)
+        label = label.copy()
+        rows = np.flatnonzero(few)
+        others = rows if few.all() else np.flatnonzero(~few)
         for lo in range(0, len(rows), 512):
-            r = rows[lo:lo + 512]
-            alike = np.zeros((len(r), len(others)), np.int16)
-            for c in range(COORDINATES):
-                alike += tokens[r, c, None] == tokens[None, others, c]
-            meet = (alike >= low * COORDINATES) & (alike < high * COORDINATES) & (label[r][:, None] != label[others])
-            x, y = np.nonzero(meet & (free[r][:, None] | free[others]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r[x]]), pa.array(ids[others[y]])], ["a", "b"])
-
-
-def _forests(n: int, a: np.ndarray, b: np.ndarray):
-    """Links in the given order that join two parts of the first forest that they don't close a ring in."""
-    parents = [list(range(n)) for _ in range(FORESTS)]
-    open_links = FORESTS * (n - 1)
-    for x, y in ((x, y) for lo in range(0, len(a), 10_000) for x, y in zip(a[lo:lo + 10_000].tolist(), b[lo:lo + 10_000].tolist())):
-        for parent in parents:
-            u, v = x, y
-            while parent[u] != u:
-                parent[u] = parent[parent[u]]
-                u = parent[u]
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            if u != v:
-                parent[u] = v
-                yield x, y
-                open_links -= 1
-                break
-        if not open_links:  # every forest spans the leaf
-            return
+            part = rows[lo:lo + 512]
+            near = _alike(tokens[part], tokens[others], sizes[part], sizes[others], percent)
+            for i in np.flatnonzero(near.any(axis=1)).tolist():
+                x = int(part[i])
+                partners = others[near[i]]
+                partners = partners[(label[partners] != label[x]) & (free[x] | free[partners])]
+                if few.all():
+                    partners = partners[partners > x]
+                mine = codes[edge[x]:edge[x + 1]]
+                marked[mine] = True
+                for y in partners.tolist():
+                    if label[x] == label[y]:
+                        continue
+                    exact = bool(sizes[x] <= sketch and sizes[y] <= sketch)
+                    if exact:
+                        both = int(marked[codes[edge[y]:edge[y + 1]]].sum())
+                        linked = 100 * both >= percent * (int(sizes[x]) + int(sizes[y]) - both)
+                    else:
+                        like = _estimate(flat[edge[x]:edge[x + 1]], flat[edge[y]:edge[y + 1]], sketch)
+                        linked = like >= percent / 100 + margin
+                        if not linked and like >= percent / 100 - margin:
+                            out.append((int(ids[x]), int(ids[y]), False))
+                    if linked:
+                        out.append((int(ids[x]), int(ids[y]), exact))
+                        label[label == label[y]] = label[x]
+                marked[mine] = False
+            if len(out) > 20_000:
+                yield _found(out)
+                out = []
+    yield _found(out)
+
+
+def _found(rows: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["a", "b", "exact"])
 
 
 def _against_pivots(batches, least: float):
@@ -240,14 +287,18 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First pairs of class ids that some tree brings together and whose tokens are likely alike, and what is left to compare.
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups of leaves ``(part, set_id, n)``, pairs of classes with their pivots, and ``(part, set_id, free)`` around pivots.
 
-    The second table, ``(part, set_id, free)``, has the classes of every part of a tree with candidates that aren't among the
-    pairs; they are the likely pairs of a part that hold a free class.
+    Of the classes around a pivot, likely pairs that hold a free class are still to be compared.
     """
-    level = stage(classes.select("set_id", "tokens").mapInArrow(lambda it: _grow(it, TREES), "node long, set_id long"), "nodes")
-    leaves, pairs, around = [], [], []
+    near_limit = _likely(percent) / COORDINATES
+    level_at = percent / 100
+    narrow = classes.select("set_id", "tokens")
+    level = stage(narrow.mapInArrow(lambda it: _grow(it, TREES, level_at), "node long, set_id long"), "nodes")
+    leaves = []
+    pairs = narrow.limit(0).select(F.col("set_id").alias("a"), F.col("set_id").alias("b"))
+    around = narrow.limit(0).select(F.col("set_id").alias("part"), "set_id", F.lit(True).alias("free"))
     while True:
         sizes = stage(level.groupBy("node").agg(
             F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("mark")).where("n > 1"), "sizes")
@@ -257,42 +308,46 @@ def candidate_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         large = sizes.where(F.col("n") > LEAF).select("node", "n")
         if large.isEmpty():
             break
-        big = stage(level.join(large, "node").join(classes.select("set_id", "tokens"), "set_id"), "large")
+        big = stage(level.join(large, "node").join(narrow, "set_id"), "large")
         # about eight pivots a node, whatever its size
         chance = F.pmod(F.xxhash64("set_id", "node"), F.floor(F.col("n") / 8)) == 0
         pivots = big.where(chance).groupBy("node").agg(F.collect_list(F.struct("set_id", "tokens")).alias("pivots"))
         near = stage(big.select("node", "set_id", "tokens").join(pivots, "node").mapInArrow(
-            lambda it: _against_pivots(it, CLOSE + LIKELY - 1), "node long, set_id long, pivot long, alike double, best boolean"), "near")
-        pairs.append(near.where(F.col("best") & (F.col("alike") >= LIKELY) & (F.col("set_id") != F.col("pivot"))).select(*_ordered("set_id", "pivot")))
+            lambda it: _against_pivots(it, CLOSE + near_limit - 1), "node long, set_id long, pivot long, alike double, best boolean"), "near")
+        pairs = pairs.union(near.where(F.col("best") & (F.col("alike") >= near_limit) & (F.col("set_id") != F.col("pivot"))).select(
+            *_ordered("set_id", "pivot")))
         leaves_it = F.col("best") & (F.col("alike") >= CLOSE)
         left = near.where(leaves_it).select("node", "set_id")
-        around.append(near.select(F.xxhash64("node", "pivot").alias("part"), "set_id", leaves_it.alias("free")))
+        around = around.union(near.select(F.xxhash64("node", "pivot").alias("part"), "set_id", leaves_it.alias("free")))
         level = stage(big.select("node", "set_id", "tokens").join(left, ["node", "set_id"], "left_anti").mapInArrow(
-            lambda it: _grow(it, 1), "node long, set_id long"), "nodes")
+            lambda it: _grow(it, 1, level_at), "node long, set_id long"), "nodes")
     every = leaves[0]
     for more in leaves[1:]:
         every = every.union(more)
-    sorted_leaves = (every.join(classes.select("set_id", "tokens"), "set_id")
+    sorted_leaves = (every.join(classes.select("set_id", "n_shingles", "tokens"), "set_id")
                      .repartition("node").sortWithinPartitions("node"))
-    compared = stage(sorted_leaves.mapInArrow(_compare, "a long, b long, held long"), "compared")
-    found = compared.where("held is null").select(*_ordered("a", "b"))
-    for more in pairs:
-        found = found.union(more)
-    held = compared.where("held is not null").select(F.col("held").alias("node"))
-    open_ = every.join(held, "node").select(F.col("node").alias("part"), "set_id", F.lit(True).alias("free")).distinct()
-    for more in around:
-        open_ = open_.union(more)
-    return stage(found.distinct(), "pairs"), stage(open_, "open")
-
-
-def _held_pairs(open_: DataFrame, classes: DataFrame, joined: DataFrame, low: float, high: float) -> DataFrame:
-    """Distinct likely pairs of different components within the parts of ``open_``, with estimates in ``[low, high)``.
-
-    A part with one component is done. Of the others, the classes outside the part's largest component meet all its classes,
-    in blocks of about ``LEAF`` classes each way.
-    """
-    rows = open_.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    rows = stage(rows, "labelled")
+    groups = sorted_leaves.mapInArrow(lambda it: _groups(it, percent), "part long, set_id long, n long").distinct()
+    return stage(groups, "groups"), stage(pairs.distinct(), "pairs"), stage(around, "around")
+
+
+def _labelled(rows: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """``rows`` with the components of their classes."""
+    if joined is None:
+        return rows.withColumn("label", F.col("set_id"))
+    return rows.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+
+
+def _group_blocks(groups: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Groups of several components as blocks."""
+    rows = _labelled(groups.select("part", "set_id"), joined)
+    several = rows.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("part")
+    return rows.join(several, "part").select(
+        F.col("part").alias("block"), "set_id", "label", F.lit(True).alias("few"), F.lit(True).alias("free"))
+
+
+def _pivot_blocks(around: DataFrame, joined: DataFrame) -> DataFrame:
+    """Blocks of about ``LEAF`` classes each way: the classes outside the largest component around a pivot, and all around it."""
+    rows = stage(_labelled(around, joined), "labelled")
     sizes = rows.groupBy("part", "label").agg(F.count("*").alias("n"))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("n > most.n").select(
         "part", F.col("most.label").alias("most"), F.ceil((F.col("n") - F.col("most.n")) / LEAF).alias("down"), F.ceil(F.col("n") / LEAF).alias("across"))
@@ -302,18 +357,22 @@ def _held_pairs(open_: DataFrame, classes: DataFrame, joined: DataFrame, low: fl
     columns = ["set_id", "label", "free"]
     every = rows.select("part", *columns, F.lit(False).alias("few"), own("across").alias("j"), all_("down").alias("i"))
     few = rows.where("label != most").select("part", *columns, F.lit(True).alias("few"), all_("across").alias("j"), own("down").alias("i"))
-    blocks = every.unionByName(few).select(F.xxhash64("part", "i", "j").alias("block"), "few", *columns)
-    met = blocks.join(classes.select("set_id", "tokens"), "set_id").repartition("block").sortWithinPartitions("block")
-    return met.mapInArrow(lambda it: _across(it, low, high), "a long, b long").select(*_ordered("a", "b")).distinct()
+    return every.unionByName(few).select(F.xxhash64("part", "i", "j").alias("block"), "set_id", "label", "few", "free")
+
 
+def block_links(blocks: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links that join the components of each block."""
+    sketch = SKETCH
+    held = sets.select("set_id", F.slice("hashes", 1, sketch).alias("hashes")).dropDuplicates(["set_id"])
+    met = (blocks.join(classes.select("set_id", "n_shingles", "tokens").join(held, "set_id"), "set_id")
+           .repartition("block").sortWithinPartitions("block"))
+    found = stage(met.mapInArrow(lambda it: _links(it, percent, sketch), "a long, b long, exact boolean"), "found")
+    rest = confirmed_links(found.where("not exact").select(*_ordered("a", "b")).distinct(), sets, percent)
+    return stage(found.where("exact").select("a", "b").union(rest), "links")
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+
+def confirmed_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of class ids whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    texts = classes.join(ids, "set_id").select(F.col("first_doc").alias("doc_id")).join(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id").select("text")
-    sets = stage(texts.mapInArrow(_full_sets, "set_id long, hashes array<long>"), "sets")
-    # an id may stand in rows with several texts; only the sets asked for meet a pair
     both = (pairs.join(sets.select(F.col("set_id").alias("a"), F.col("hashes").alias("a_hashes")), "a")
             .join(sets.select(F.col("set_id").alias("b"), F.col("hashes").alias("b_hashes")), "b"))
     return both.mapInArrow(lambda it: _confirm(it, percent), "a long, b long").distinct()
@@ -321,22 +380,20 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, perce
 
 def linked_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """``(id, label)`` of the components of confirmed links between classes."""
-    pairs, open_ = candidate_pairs(classes)
-    links = stage(confirmed_links(docs, classes, pairs, percent), "links")
+    groups, pairs, around = candidates(classes, percent)
+    ids = groups.select("set_id").union(pairs.select("a")).union(pairs.select("b")).union(around.select("set_id")).distinct()
+    # an id may stand in rows with several texts; only the sets asked for meet a group
+    texts = classes.join(ids, "set_id").select(F.col("first_doc").alias("doc_id")).join(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id").select("text")
+    sets = stage(texts.mapInArrow(_full_sets, "set_id long, hashes array<long>"), "sets")
+    # the largest group of every class first; of the others, only those that it left apart
+    first = groups.groupBy("set_id").agg(F.max(F.struct("n", "part")).alias("m")).select(F.col("m.part").alias("part")).distinct()
+    links = block_links(_group_blocks(groups.join(first, "part"), None), classes, sets, percent)
+    links = links.union(stage(confirmed_links(pairs, sets, percent), "links"))
     joined = connected_components(links, "a", "b")
-    if open_.isEmpty():
-        return joined
-    high = 2.0
-    for low in SLICES:
-        more = stage(_held_pairs(open_, classes, joined, max(low, LIKELY), high).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        high = low
-        if more.isEmpty():
-            continue
-        new = stage(confirmed_links(docs, classes, more, percent), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            joined = connected_components(links, "a", "b")
-    return joined
+    blocks = stage(_group_blocks(groups, joined).unionByName(_pivot_blocks(around, joined)), "blocks")
+    more = block_links(blocks, classes, sets, percent)
+    return joined if more.isEmpty() else connected_components(links.union(more), "a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -344,7 +401,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sketches = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _sketches, "doc_id long, n_shingles long, set_id long, tokens binary"), "sketches")
     classes = stage(sketches.where("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("first_doc"), F.max("tokens").alias("tokens")), "classes")
+        F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n_shingles"), F.max("tokens").alias("tokens")), "classes")
     joined = linked_classes(docs, classes, percent)
     part = classes.select("set_id", "first_doc").join(joined.withColumnRenamed("id", "set_id"), "set_id", "left")
     part = part.withColumn("label", F.coalesce("label", "set_id"))

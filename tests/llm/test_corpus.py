@@ -192,7 +192,7 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs):
 
 # near duplicates
 
-def _components(docs):
+def _components(docs, percent=85):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
     for i, text in docs:
@@ -212,7 +212,7 @@ def _components(docs):
     for i, s in sets.items():
         shared = Counter(j for x in s for j in inverted[x] if j < i)
         for j, n in shared.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: (len(sets[i]), root(i)) for i in sets}
@@ -236,8 +236,25 @@ def test_large_groups(spark, monkeypatch):
     rows += [(1000 + i, "a common line of some words here " + " ".join(f"y{i}_{k}" for k in range(8))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op10_minhash.near_duplicates(docs).collect()}
-    want = _components(rows)
-    assert sum(got[i] != want[i] for i in want) <= 2
+    assert got == _components(rows)
+
+
+@pytest.mark.parametrize("percent, sketch", [(80, 2048), (80, 64), (85, 64)])
+def test_limits_and_sketches(spark, monkeypatch, percent, sketch):
+    """Texts on both sides of the limit; with a small sketch most pairs are decided by estimates and whole sets."""
+    monkeypatch.setattr(op10_minhash, "SKETCH", sketch)
+    rng = np.random.default_rng(percent)
+    rows = []
+    for f in range(60):
+        base = [f"f{f}_{k}" for k in range(int(rng.integers(5, 400)))]
+        for i in range(8):
+            w = list(base)
+            for k in rng.choice(len(w), int(len(w) * rng.uniform(0, 0.03)), False):
+                w[k] = f"x{f}_{i}_{k}"
+            rows.append((10 * f + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op10_minhash.near_duplicates(docs, percent).collect()}
+    assert got == _components(rows, percent)
 
 
 def _two_families(members, bridges, seed):
