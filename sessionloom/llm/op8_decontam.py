@@ -9,8 +9,12 @@ For each way to lay an item along a document that has hits, the words of both ar
 item is found if some stretch that holds any of these hits has at least ``LEAST`` equal words and at least ``SHARE`` of its
 words equal, or if a shorter item is there as a whole (then at least ``SHARE`` of it).
 
-Defined cases: null or empty texts are clean; items of fewer than ``SPAN`` words have no seed and can't be found; repeated
-rows and items get equal answers, one for each item id; null ids stay null. Empty tables give clean documents.
+An item of fewer than ``SPAN`` words is found where its whole word sequence stands unchanged; its hash is its only seed.
+Shorter ones than ``SHORTEST`` words are common phrases, no leaks, and are not looked for. Every character of a script that
+is written without spaces is a word; punctuation and symbols outside ASCII separate words as those of ASCII do.
+
+Defined cases: null or empty texts are clean; repeated rows and items get equal answers, one for each item id; null ids stay
+null. Empty tables give clean documents.
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ MASKS = ("1101100101", "1011010011", "1110001101", "1010101110")
 #: Hits of a document closer than this share a region; it bounds no comparison, the longest item's words do.
 REACH = 64
 LEAST, SHARE = 13, 0.8
+#: Least words of an item.
+SHORTEST = 5
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
+BETWEEN = r"[[\p{P}\p{S}\p{Z}]&&[^\x00-\x7F]]"
 FILTER_BITS = 1 << 24
 
 _WORD = np.zeros(256, bool)
@@ -45,13 +53,23 @@ def _seeds(words: np.ndarray, mask: int) -> np.ndarray:
     return mix(total)
 
 
-def _starts(edge: np.ndarray) -> np.ndarray:
+def _whole(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the ``k`` words at each position."""
+    n = len(words) - k + 1
+    total = np.full(max(n, 0), 1000 + k, np.uint64)
+    for i in range(k):
+        if n > 0:
+            total += words[i:i + n] * _FACTORS[i]
+    return mix(total)
+
+
+def _starts(edge: np.ndarray, span: int = SPAN) -> np.ndarray:
     """Positions whose window lies in one text."""
     n = np.diff(edge)
     total = int(edge[-1])
-    ok = np.zeros(max(total - SPAN + 1, 0), bool)
-    for a, k in zip(edge[:-1][n >= SPAN].tolist(), n[n >= SPAN].tolist()):
-        ok[a:a + k - SPAN + 1] = True
+    ok = np.zeros(max(total - span + 1, 0), bool)
+    for a, k in zip(edge[:-1][n >= span].tolist(), n[n >= span].tolist()):
+        ok[a:a + k - span + 1] = True
     return ok
 
 
@@ -69,6 +87,14 @@ def _item_seeds(batches):
             h = _seeds(words, m)[ok]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(ok - edge[row], pa.int32()), pa.array(h.view(np.int64))], ["item_id", "item_at", "seed"])
+        n = np.diff(edge)
+        for k in range(SHORTEST, SPAN):
+            row = np.flatnonzero(n == k)
+            if len(row):
+                h = _whole(words, k)[edge[row]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("item_id").take(pa.array(row)), pa.array(np.zeros(len(row)), pa.int32()), pa.array(h.view(np.int64))],
+                    ["item_id", "item_at", "seed"])
 
 
 def _words(batches, key: str):
@@ -77,7 +103,7 @@ def _words(batches, key: str):
         yield pa.RecordBatch.from_arrays([batch.column(key), list_array(words.view(np.int64), edge, pa.int64())], [key, "words"])
 
 
-def _regions(batches, allowed: np.ndarray, longest: int):
+def _regions(batches, allowed: np.ndarray, longest: int, short: list[int]):
     """Stretches of a document around possible hits: their words, and seeds with their place in the stretch.
 
     A stretch reaches ``longest`` words to either side of its hits, so no item is cut off; stretches are wide enough for
@@ -87,10 +113,13 @@ def _regions(batches, allowed: np.ndarray, longest: int):
     allowed = np.unpackbits(allowed, bitorder="little").view(bool)
     for batch, data, off in text_blocks(batches):
         words, edge, _, _ = word_hashes(data, off, ~_WORD, _SAME)
-        if len(words) < SPAN:
-            continue
         ok = _starts(edge)
         at, seeds = [], []
+        for k in short:
+            h = _whole(words, k)
+            hit = np.flatnonzero(_starts(edge, k) & allowed[_bits(h)])
+            at.append(hit)
+            seeds.append(h[hit])
         for m in range(len(MASKS)):
             h = _seeds(words, m)
             hit = np.flatnonzero(ok & allowed[_bits(h)])
@@ -140,7 +169,10 @@ def _verify(batches):
             a, b = mine[i].values.to_numpy(), theirs[i].values.to_numpy()
             lo, hi = max(0, shift[i]), min(len(a), shift[i] + len(b))
             equal = a[lo:hi] == b[lo - shift[i]:hi - shift[i]]
-            best[i], begin = _best(equal, np.unique(places[i].values.to_numpy()) - lo)
+            if len(b) < SPAN:
+                best[i], begin = (len(b) if len(equal) == len(b) and equal.all() else 0), 0
+            else:
+                best[i], begin = _best(equal, np.unique(places[i].values.to_numpy()) - lo)
             first[i], count[i] = lo + begin, len(b)
         good = best >= np.minimum(LEAST, np.ceil(SHARE * count))
         keep = pa.array(good)
@@ -149,10 +181,15 @@ def _verify(batches):
              pa.array((batch.column("start").to_numpy() + first)[good])], ["doc_id", "item_id", "n_equal", "at"])
 
 
+def _spaced(text: str):
+    """The column in lower case, with spaces around the characters of unspaced scripts and for punctuation outside ASCII."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), BETWEEN, " "), UNSPACED, " $1 ")
+
+
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, n_equal, at)``: the best overlap of each document and item, ``at`` in words of the document."""
     spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), _spaced("text").alias("text"))
     seeds = stage(items.mapInArrow(_item_seeds, "item_id long, item_at int, seed long"), "item_seeds")
     words = stage(items.mapInArrow(lambda it: _words(it, "item_id"), "item_id long, words array<long>"), "item_words")
     # the filter has a fixed size: FILTER_BITS / 8 bytes, built from at most FILTER_BITS distinct places
@@ -163,9 +200,10 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
         allowed[byte] = value
     shared = spark.sparkContext.broadcast(allowed)
     longest = words.agg(F.max(F.size("words"))).first()[0] or 0
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    short = [r.n for r in words.select(F.size("words").alias("n")).where(f"n >= {SHORTEST} and n < {SPAN}").distinct().collect()]  # at most SPAN
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _spaced("text").alias("text"))
     regions = stage(docs.mapInArrow(
-        lambda it: _regions(it, shared.value, longest),
+        lambda it: _regions(it, shared.value, longest, short),
         "doc_id long, start long, words array<long>, seeds array<long>, places array<int>").withColumn("region", F.monotonically_increasing_id()),
         "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(

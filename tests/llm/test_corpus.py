@@ -184,6 +184,19 @@ def test_best_stretch(seed):
             assert op8_decontam._best(equal, hits)[0] == want
 
 
+def test_decontamination_short_and_unspaced_items(spark):
+    """Short items stand as whole word sequences; characters of unspaced scripts are words, and their punctuation separates."""
+    chinese = "".join(chr(0x4E00 + 37 * k % 3000) for k in range(55))
+    items = spark.createDataFrame(
+        [(1, "What is the capital of France?"), (2, chinese), (3, "one two three four"), (4, "name the five largest lakes here")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "We ask: what is the capital of france, and go on."), (2, "What is the old capital of France?"), (3, "前文。" + chinese + "。后文"),
+        (4, "".join(chr(0x4E00 + 41 * k % 3000 + 7) for k in range(80))), (5, "what is the capital of france"), (6, "one two three four five"),
+        (7, "what is the capital of"), (8, chinese[:30] + "\u3001" + chinese[30:]), (9, "“Name the five largest lakes”… here")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_equal for r in op8_decontam.overlaps(docs, items).collect()}
+    assert got == {(1, 1): 6, (5, 1): 6, (3, 2): 55, (8, 2): 55, (9, 4): 6}
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs away from all of them today"), (1, None), (None, "")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in op8_decontam.overlaps(odd_docs, items).collect()} == {(0, 1)}
