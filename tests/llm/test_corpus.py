@@ -346,7 +346,7 @@ def test_pipeline(spark):
     assert all(k.columns == docs.columns for k in kept[:-1])
     good = {r.doc_id for r in op1_quality.op1_quality(spark, SMALL).where("kept").collect()}
     assert set(texts(kept[0])) == good
-    parts = _components(sorted(texts(kept[0]).items()))
+    parts = _components(sorted(texts(kept[0]).items()), 80)
     assert set(texts(kept[1])) == {i for i, (_, c) in parts.items() if i == c}
     want = _without_repeats(sorted(texts(kept[1]).items()))
     for i, text in texts(kept[2]).items():
