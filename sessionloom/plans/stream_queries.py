@@ -21,6 +21,8 @@ LATENESS_SECONDS = 3 * 86_400
 #: Lateness and the span of one landed batch: what the operators behind the landing wait for.
 WAIT = "6 days"
 COPIES = 13
+#: Records of one file of an arrival.
+FILE_ROWS = 100_000
 
 # The same rule twice: as columns of the stream, and as reference SQL.
 BASE_SQL = f"event_id * {ARRIVALS} // (SELECT max(event_id) + 1 FROM events)"
@@ -41,7 +43,7 @@ def late_sql(sql: str, source: str = ON_TIME_SQL) -> str:
 
 @plan_cache
 def _landed(spark, sf) -> tuple:
-    """Folder of the landed stream, schema of its records, and the progress of its landing."""
+    """Folder of the landed stream, schema of its records, and the number of files of each landed batch."""
     ev = events_as_ev(spark, sf)
     rows = ev.withColumn("_e", F.expr(f"seq div {STRIDE}"))
     last = table(spark, sf, "events").agg(F.max("event_id") + 1).first()[0] or 1
@@ -51,24 +53,29 @@ def _landed(spark, sf) -> tuple:
         F.struct(first.alias("a"), F.lit(False).alias("copy")), F.when(e % COPIES == 2, F.struct((first + 1).alias("a"), F.lit(True).alias("copy")))))
     rows = rows.withColumn("_a", F.explode(arriving)).select(*ev.columns, F.least("_a.a", F.lit(ARRIVALS - 1)).alias("arrival"), "_a.copy")
     folder, staged = new_path(spark, "stream-in"), new_path(spark, "stream-arrivals")
-    rows.repartition(ARRIVALS, "arrival").write.partitionBy("arrival").parquet(staged)
+    rows.write.partitionBy("arrival").parquet(staged)
     schema = rows.drop("arrival").schema
+    files = 1 + ev.count() // (ARRIVALS * FILE_ROWS)
+    # a trigger takes the files of one arrival: each has a folder of its own, and all have the same number of files
     for a in range(ARRIVALS):
-        spark.read.schema(rows.schema).parquet(staged).filter(F.col("arrival") == a).drop("arrival").coalesce(1).write.mode("append").parquet(folder)
-    far = spark.read.schema(schema).parquet(folder).agg((F.max("ts") + F.expr("INTERVAL 90 DAY")).alias("ts"))
+        part = spark.read.schema(rows.schema).parquet(staged).filter(F.col("arrival") == a).drop("arrival")
+        SL.write_files(part, f"{folder}/arrival={a:02d}", files)
+    far = ev.agg((F.max("ts") + F.expr("INTERVAL 90 DAY")).alias("ts"))
     values = {"ts": F.col("ts"), "file_id": F.lit("clock"), "seq": F.lit(1), "kind": F.lit("tool_result"), "total": F.lit(0),
               "is_sidechain": F.lit(False), "copy": F.lit(False)}
-    far.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    far = far.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    SL.write_files(far, f"{folder}/arrival={ARRIVALS:02d}", files)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder).select(*schema.names)
+    stream = stream.filter(F.col("copy").isNotNull())  # rows that only stand for a file have no values at all
     path = new_path(spark, "stream-landed")
-    progress = SL.land(stream, path, new_path(spark, "stream-cp"), LATENESS_SECONDS)
-    return path, schema, progress
+    SL.land(stream, path, new_path(spark, "stream-cp"), LATENESS_SECONDS, files)
+    return path, schema, files
 
 
 def arrived(spark, sf, copies: bool = False) -> DataFrame:
     """Stream of the landed records, one landed batch at a time."""
-    path, schema, _ = _landed(spark, sf)
-    rows = SL.on_time(spark, path, schema, 1)
+    path, schema, files = _landed(spark, sf)
+    rows = SL.on_time(spark, path, schema, files)
     return rows if copies else rows.filter(~F.col("copy"))
 
 

@@ -4,6 +4,9 @@ The clock of a micro-batch is the largest event time of the batches before it. A
 clock minus the allowed lateness. Late records go to a table of their own, the others to the table that further streams read;
 so the rule can be stated, counted and repeated in batch, whatever a later operator keeps in its state. Each batch writes its
 own folders once and reads only itself and one clock row.
+
+A landed batch is one step of the further streams: were its files read in several steps, the first ones would move the watermark past
+the others. File sources count files, so every on-time batch has the same number of them, however many rows it holds.
 """
 
 from __future__ import annotations
@@ -29,8 +32,26 @@ def _micros(ts: Column) -> Column:
     return epoch_micros(ts)
 
 
-def land(stream: DataFrame, path: str, checkpoint: str, lateness_seconds: int) -> list[dict]:
-    """Split ``stream (ts, ...)`` into ``path/on_time`` and ``path/late`` by batch; rows without a time are late."""
+def write_files(rows: DataFrame, folder: str, files: int) -> None:
+    """Write ``rows`` as exactly ``files`` files below ``folder``, each by a task of its own.
+
+    Tasks without rows write no file; files of one row of nulls stand for them, which ``on_time`` leaves out. A repeated call
+    only adds what is missing.
+    """
+    spark = rows.sparkSession
+    if not path_exists(spark, f"{folder}/_SUCCESS"):
+        (rows.repartition(files, *rows.columns) if files > 1 else rows.coalesce(1)).write.mode("overwrite").parquet(folder)
+    missing = files - len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+    if missing > 0:
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+        spark.range(0, missing, 1, missing).select(*nulls).write.mode("append").parquet(folder)
+
+
+def land(stream: DataFrame, path: str, checkpoint: str, lateness_seconds: int, files: int | None = None) -> list[dict]:
+    """Split ``stream (ts, ...)`` into ``path/on_time`` and ``path/late`` by batch; rows without a time are late.
+
+    Each on-time batch is ``files`` files, the number to give to ``on_time``; by default one file for each task that has rows.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -44,9 +65,13 @@ def land(stream: DataFrame, path: str, checkpoint: str, lateness_seconds: int) -
             late = F.col("ts").isNull()
             if clock is not None:
                 late = late | (_micros(F.col("ts")) <= clock - lateness_seconds * 1_000_000)
-            for name, keep in (("late", late), ("on_time", ~late)):
-                if not path_exists(spark, f"{path}/{name}/batch={batch_id}/_SUCCESS"):
-                    held.filter(keep).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+            if not path_exists(spark, f"{path}/late/batch={batch_id}/_SUCCESS"):
+                held.filter(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+            kept, folder = held.filter(~late), f"{path}/on_time/batch={batch_id}"
+            if files:
+                write_files(kept, folder, files)
+            elif not path_exists(spark, f"{folder}/_SUCCESS"):
+                kept.write.mode("overwrite").parquet(folder)
             own = F.max(_micros(F.col("ts")))
             latest = own if clock is None else F.greatest(own, F.lit(clock))
             held.agg(latest.cast("bigint").alias("clock")).write.mode("overwrite").parquet(f"{path}/clock/batch={batch_id}")
@@ -57,11 +82,11 @@ def land(stream: DataFrame, path: str, checkpoint: str, lateness_seconds: int) -
 
 
 def on_time(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of the landed records in order of landing."""
+    """Stream of the landed records in order of landing; ``files_per_batch`` as the landing wrote them gives one landed batch a step."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{path}/on_time").select(*schema.names)
+    return reader.parquet(f"{path}/on_time").select(*schema.names).filter(F.col("ts").isNotNull())
 
 
 def late_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
