@@ -150,12 +150,15 @@ SELECT file_id, ep, start_id, platform, session_id, repo, epoch_us(start_ts) AS
  total, cost_usd, tool_calls, files_touched, max_edits_per_file, errors, active_ms, error_run, quiet_run, interrupted, end_type, task_type, task_type_confidence,
  edit_ring, error_dense, no_progress, effort, model, thinking_directive, compacted FROM ty"""), on_u=False)
 def _(spark, sf):
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", SE.ROCKSDB)
+    settings = SE.settings(spark)
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         done = appended(spark, SE.stream_episodes(arrived(spark, sf, copies=True), CAP, 8 * 86_400, WAIT))
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return done.select(
         "file_id", "ep", F.expr(f"start_seq div {STRIDE}").alias("start_id"), "platform", "session_id", "repo", "start_ts",
         F.greatest("start_ts", "last_ts").alias("end_ts"), *SM.TOKEN_BUCKETS, "cost_usd", "tool_calls", "files_touched", "max_edits_per_file", "errors",

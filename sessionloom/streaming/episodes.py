@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import models as M
@@ -28,6 +29,8 @@ from .windows import with_event_time
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State partitions of one core: each one starts a Python worker and a state store in every step, whatever the rows.
+PARTITIONS_PER_CORE = 2
 #: Whole numbers that are summed over an episode's rows.
 SUMMED = ["tool_calls", "reads", "edits", "searches", "shells", "others", "doc_files", "code_files", "file_calls", "results", "errors",
           "test_results", "long_runs", "lines", "interrupts", "compactions"]
@@ -41,6 +44,7 @@ RUNNING = ["error_now", "error_run", "quiet_now", "quiet_run", "files_touched",
 OPEN = (
     "ep bigint, start_seq bigint, start_us bigint, platform string, session_id string, repo string, correction boolean, thinking boolean, "
     "effort string, active_us bigint, active_seq bigint, folded_seq bigint, seen_us bigint, timer_ms bigint, "
+    "parts bigint, n_files bigint, n_models bigint, "
     + ", ".join(f"{c} bigint" for c in [*RUNNING, *SUMMED]))
 OPEN_FIELDS = [f.split()[0] for f in OPEN.split(", ")]
 ROW_FIELDS = [f.split()[0] for f in ROW.split(", ")]
@@ -52,6 +56,20 @@ OUT = (
     + ", ".join(f"{c} bigint" for c in SUMMED) + ", models array<struct<model: string, " + ", ".join(f"{c}: bigint" for c in SUMS) + ">>")
 
 
+#: Waiting rows of one state entry.
+PART = 1_000
+
+
+def settings(spark: SparkSession) -> dict[str, str]:
+    """Settings of the session while an episode stream starts; its checkpoint keeps the number of partitions."""
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}
+
+
+def as_struct(fields: str) -> str:
+    return ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", "))
+
+
 def fold_rows(ev: DataFrame) -> DataFrame:
     """What the fold needs of each main-chain row: flags as whole numbers, its facet and key."""
     kind, base = F.col("kind"), F.coalesce(F.col("file_base"), F.lit(""))
@@ -91,76 +109,107 @@ class EpisodeProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", OPEN)
-        self.waiting = handle.getMapState("waiting", "seq bigint", ROW)
-        self.files = handle.getMapState("files", "file string", "edits bigint")
-        self.models = handle.getMapState("models", "model string", MODEL)
+        # every access to the state is a message to the JVM: rows wait in parts, files and models are read and written once a call
+        self.waiting = handle.getMapState("waiting", "part bigint", f"rows array<struct<{as_struct(ROW)}>>")
+        self.files = handle.getListState("files", "file string, edits bigint")
+        self.models = handle.getListState("models", f"model string, {MODEL}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         head = self._head()
+        waiting = self._waiting(head)
+        take, folded, more = None, head["folded_seq"], False
         for r in rows:
-            if r.seq > head["folded_seq"]:  # a line whose turn is over stays out
-                self.waiting.updateValue((r.seq,), tuple(r[c] for c in ROW_FIELDS))
-                head["seen_us"] = max(head["seen_us"], r.us)
-        yield from self._advance(key[0], head, timerValues.getCurrentWatermarkInMs())
+            if take is None:
+                take = itemgetter(*[r.__fields__.index(c) for c in ROW_FIELDS])
+            row = take(tuple(r))
+            if row[0] > folded:  # a line whose turn is over stays out
+                waiting[row[0]], more = row, True
+                head["seen_us"] = max(head["seen_us"], row[1])
+        yield from self._advance(key[0], head, waiting, more, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if not self.open.exists():
             return
         head = self._head()
         head["timer_ms"] = 0
-        yield from self._advance(key[0], head, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key[0], head, self._waiting(head), False, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
     def _head(self) -> dict:
-        if self.open.exists():
-            return dict(zip(OPEN_FIELDS, self.open.get()))
+        kept = self.open.get()
+        if kept is not None:
+            return dict(zip(OPEN_FIELDS, kept))
         head = {c: 0 for c in OPEN_FIELDS}
         head.update(platform=None, session_id=None, repo=None, effort=None, correction=False, thinking=False, active_us=-1, active_seq=-1,
                     folded_seq=-1, seen_us=-1, last_us=-1, effort_seq=-1)
         return head
 
-    def _advance(self, file_id: str, head: dict, watermark_ms: int) -> Iterator[Row]:
+    def _waiting(self, head: dict) -> dict[int, tuple]:
+        if not head["parts"]:
+            return {}
+        return {row[0]: tuple(row) for _, value in self.waiting.iterator() for row in value[0]}
+
+    def _advance(self, file_id: str, head: dict, waiting: dict[int, tuple], more: bool, watermark_ms: int) -> Iterator[Row]:
         passed = watermark_ms * 1000
-        waiting = sorted((k[0], v) for k, v in self.waiting.iterator())
-        files: dict[str, int] = {}
-        models: dict[str, list] = {}
+        order = sorted(waiting)
+        # what the open episode had before; a new episode has nothing
+        self.known = {"files": None if head["n_files"] else {}, "models": None if head["n_models"] else {}}
         done = 0
-        for seq, value in waiting:
-            row = dict(zip(ROW_FIELDS, value))
+        for seq in order:
+            row = dict(zip(ROW_FIELDS, waiting[seq]))
             if row["us"] > passed:
                 break  # a line keeps the lines behind it waiting
             if row["boundary"]:
                 if head["ep"]:
-                    yield self._closed(file_id, head, models, row["correction"])
-                    files, models = {}, {}
+                    yield self._closed(file_id, head, row["correction"])
                 self._start(head, row)
-            self._fold(head, row, files, models)
-            self.waiting.removeKey((seq,))
+            self._fold(head, row)
             done += 1
-        for name, edits in files.items():
-            self.files.updateValue((name,), (edits,))
-        for name, sums in models.items():
-            self.models.updateValue((name,), tuple(sums))
-        left = waiting[done:]
+        left = order[done:]
         if not left and passed >= head["seen_us"] + self.close_micros:
             if head["ep"]:
-                yield self._closed(file_id, head, {}, False)
-            self._clear()
+                yield self._closed(file_id, head, False)
+            self._clear(head)
             return
+        if done or more:
+            parts = [left[i:i + PART] for i in range(0, len(left), PART)]
+            for n, part in enumerate(parts):
+                self.waiting.updateValue((n,), ([waiting[seq] for seq in part],))
+            for n in range(len(parts), head["parts"]):
+                self.waiting.removeKey((n,))
+            head["parts"] = len(parts)
+        files, models = self.known["files"], self.known["models"]
+        if files is not None and (files or head["n_files"]):
+            self.files.put(list(files.items())) if files else self.files.clear()
+            head["n_files"] = len(files)
+        if models is not None and (models or head["n_models"]):
+            self.models.put([(name, *sums) for name, sums in models.items()]) if models else self.models.clear()
+            head["n_models"] = len(models)
         if not head["timer_ms"]:
-            due = max(v[1] for _, v in left) if left else head["seen_us"] + self.close_micros
+            due = max(waiting[seq][1] for seq in left) if left else head["seen_us"] + self.close_micros
             head["timer_ms"] = max(due // 1000 + 1, watermark_ms + 1)
             self.handle.registerTimer(head["timer_ms"])
         self.open.update(tuple(head[c] for c in OPEN_FIELDS))
 
+    def _files(self) -> dict[str, int]:
+        if self.known["files"] is None:
+            self.known["files"] = {name: edits for name, edits in self.files.get()}
+        return self.known["files"]
+
+    def _models(self) -> dict[str, list]:
+        if self.known["models"] is None:
+            self.known["models"] = {m[0]: list(m[1:]) for m in map(tuple, self.models.get())}
+        return self.known["models"]
+
     def _start(self, head: dict, row: dict) -> None:
+        self.known = {"files": {}, "models": {}}
         head.update({c: 0 for c in [*RUNNING, *SUMMED]})
         head.update(ep=head["ep"] + 1, start_seq=row["seq"], start_us=row["us"], platform=row["platform"], session_id=row["session_id"],
                     repo=row["repo"], correction=row["correction"], thinking=row["thinking"], effort=None, last_us=-1, effort_seq=-1)
 
-    def _fold(self, head: dict, row: dict, files: dict, models: dict) -> None:
+    def _fold(self, head: dict, row: dict) -> None:
         head["folded_seq"] = row["seq"]
         used = row["facet"] == "model"
         before_us, before_seq = head["active_us"], head["active_seq"]
@@ -175,10 +224,7 @@ class EpisodeProcessor(StatefulProcessor):
             if before_seq >= head["start_seq"] and 0 < gap <= self.cap:
                 head["gap_micros"] += gap
             head["last_us"] = max(head["last_us"], row["us"])
-            sums = models.get(row["facet_key"])
-            if sums is None:
-                key = (row["facet_key"],)
-                sums = models[row["facet_key"]] = list(self.models.getValue(key)) if self.models.containsKey(key) else [0] * len(SUMS)
+            sums = self._models().setdefault(row["facet_key"], [0] * len(SUMS))
             for i, c in enumerate(SUMS):
                 sums[i] += row[c]
         elif row["facet"] == "run":
@@ -187,26 +233,21 @@ class EpisodeProcessor(StatefulProcessor):
         elif row["facet"] == "effort":
             head["effort"], head["effort_seq"] = row["facet_key"], row["seq"]
         if row["call"]:
-            self._call(head, row, files)
+            self._call(head, row)
 
-    def _call(self, head: dict, row: dict, files: dict) -> None:
+    def _call(self, head: dict, row: dict) -> None:
         fresh = False
         if row["facet"] == "file":
-            name = row["facet_key"]
-            if name not in files:
-                fresh = not self.files.containsKey((name,))
-                files[name] = 0 if fresh else self.files.getValue((name,))[0]
-            files[name] += row["is_edit"]
+            name, files = row["facet_key"], self._files()
+            fresh = name not in files
+            files[name] = files.get(name, 0) + row["is_edit"]
             head["files_touched"] += fresh
             head["max_edits_per_file"] = max(head["max_edits_per_file"], files[name])
         head["quiet_now"] = 0 if fresh else head["quiet_now"] + 1
         head["quiet_run"] = max(head["quiet_run"], head["quiet_now"])
 
-    def _closed(self, file_id: str, head: dict, models: dict, corrected: bool) -> Row:
-        kept = {k[0]: list(v) for k, v in self.models.iterator()}
-        kept.update(models)
-        self.files.clear()
-        self.models.clear()
+    def _closed(self, file_id: str, head: dict, corrected: bool) -> Row:
+        kept = self._models()
         return Row(
             file_id=file_id, ep=head["ep"], start_seq=head["start_seq"], start_us=head["start_us"],
             last_us=None if head["last_us"] < 0 else head["last_us"], platform=head["platform"], session_id=head["session_id"], repo=head["repo"],
@@ -215,11 +256,11 @@ class EpisodeProcessor(StatefulProcessor):
             max_edits_per_file=head["max_edits_per_file"], gap_micros=head["gap_micros"], **{c: head[c] for c in SUMMED},
             models=[(name, *sums) for name, sums in sorted(kept.items())])
 
-    def _clear(self) -> None:
+    def _clear(self, head: dict) -> None:
         for state in (self.open, self.waiting, self.files, self.models):
             state.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if head["timer_ms"]:
+            self.handle.deleteTimer(head["timer_ms"])
 
 
 def _features(closed: DataFrame) -> DataFrame:
@@ -248,7 +289,7 @@ def stream_episodes(ev: DataFrame, cap_seconds: int = E.IDLE_CAP_SECONDS, close_
     """Stream of closed episodes with the columns of the batch table before episodes are compared with each other.
 
     The session index and the comparison of durations look at other files; they are batch steps over the written rows.
-    The session must keep its state in RocksDB (``ROCKSDB``).
+    The session must keep its state in RocksDB; ``settings`` gives what to set.
     """
     rows = with_event_time(fold_rows(ev), lateness).drop("ts")
     closed = rows.groupBy("file_id").transformWithState(EpisodeProcessor(cap_seconds, close_seconds), OUT, "append", "eventTime")

@@ -186,3 +186,42 @@ def test_many_files_equal_one(spark, sf_dir, monkeypatch):
     again = f"{sf_dir}/"  # another folder to the plan cache
     assert Q._landed(spark, again)[2] > 1
     assert [sorted(map(tuple, QUERIES[n](spark, again).collect())) for n in names] == one
+
+
+class Counted:
+    """A state variable in memory that counts its accesses."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v),
+            "put": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None),
+            "iterator": lambda: iter(sorted((self.value or {}).items())), "removeKey": lambda k: self.value.pop(k),
+            "updateValue": lambda k, v: setattr(self, "value", {**(self.value or {}), k: v})}[name]
+
+
+def test_state_accesses_do_not_grow_with_rows():
+    from pyspark.sql import Row
+    states = {n: Counted() for n in ("open", "waiting", "files", "models")}
+
+    class Handle:
+        getValueState = getMapState = getListState = staticmethod(lambda name, *schema: states[name])
+        registerTimer = deleteTimer = staticmethod(lambda ms: None)
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    blank = {f.split()[0]: (f.split()[1] == "bigint" and 0) for f in SE.ROW.split(", ")}
+    lines = [Row(**{**blank, "seq": i, "us": i * 1_000_000, "boundary": i == 0, "platform": "A", "session_id": "s", "repo": "r", "facet": "file",
+                    "facet_key": f"x{i % 7}.py", "call": True, "is_edit": True, "edits": 1}) for i in range(900)]
+    processor = SE.EpisodeProcessor(300, 86_400)
+    processor.init(Handle)
+    assert list(processor.handleInputRows(("f",), iter(lines), Times(500_000))) == []
+    assert sum(s.calls for s in states.values()) < 20
+    closed, = processor.handleInputRows(("f",), iter([]), Times(10 ** 9))
+    assert (closed.edits, closed.files_touched, closed.max_edits_per_file) == (900, 7, 129)
+    assert all(s.value is None for s in states.values()) and sum(s.calls for s in states.values()) < 40
