@@ -68,12 +68,13 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, specs: list[Running
     """
     if not specs:
         return df
-    cut = df.withColumn("_chunk", F.expr(f"`{order}` div {int(width)}"))
+    # One key column for the windows and the join, so the rows are shuffled and sorted once; nulls are equal inside a struct.
+    cut = df.withColumn("_at", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.expr(f"`{order}` div {int(width)}").alias("chunk")))
     pos = F.col(order)
-    here = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    here = Window.partitionBy("_at").orderBy(order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
-    chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    chunks = Window.partitionBy(*[f"_key.k{i}" for i in range(len(keys))]).orderBy("_key.chunk")
     chunks_before = chunks.rowsBetween(Window.unboundedPreceding, -1)
 
     local, summary, carry, result = [], [], [], []
@@ -111,15 +112,8 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, specs: list[Running
             raise ValueError(f"unknown running kind {s.kind!r}")
 
     rows = cut.select("*", *local)
-    renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    carried = (
-        cut.groupBy(*keys, "_chunk").agg(*summary)
-        .select(*renamed, F.col("_chunk").alias("_kc"), *carry)
-    )
-    same = F.col("_chunk") == F.col("_kc")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(carried, same, "left").select(*[F.col(c) for c in df.columns], *result)
+    carried = cut.groupBy(F.col("_at").alias("_key")).agg(*summary).select("_key", *carry)
+    return rows.join(carried, (F.col("_at") == F.col("_key")) & pos.isNotNull(), "left").select(*[F.col(c) for c in df.columns], *result)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple[str, float]], width: int = CHUNK_WIDTH) -> DataFrame:

@@ -113,3 +113,18 @@ def test_commits_in_long_and_short_sessions(spark):
     want = sorted((s, c) for s, r, a, b in sessions for c, q, t in commits if r == q and a <= t <= b)
     assert sorted((r.s, r.c) for r in joined.select("s", "c").collect()) == want and joined.columns == ["repo", "s", "first_ts", "last_ts", "c", "commit_ts"]
     assert J.commits_in_session(left.limit(0), right).count() == 0
+
+
+def test_scan_shuffles_rows_once(spark, capsys):
+    """Windows and join share one key: the rows are shuffled once, their chunk summaries three times."""
+    rows = spark.createDataFrame([(None, 1, 2), ("a", 3, 4), (None, 9, 5)], "k string, n bigint, v bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ordered_scan(rows, ["k"], "n", [running_sum("s", F.col("v"))], 4)
+        out.explain()
+        plan = capsys.readouterr().out
+        assert sorted(map(tuple, out.collect()), key=repr) == [("a", 3, 4, 4), (None, 1, 2, 2), (None, 9, 5, 7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 4
