@@ -128,3 +128,10 @@ def test_scan_shuffles_rows_once(spark, capsys):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_unpriced_set_reads_once(spark, sf_dir, capsys):
+    """One pass over the events, and prices are looked up after the sums."""
+    from sessionloom.plans.catalog import QUERIES
+    QUERIES["u4_unpriced_set"](spark, sf_dir).explain()
+    assert capsys.readouterr().out.count("FileScan") == 1
