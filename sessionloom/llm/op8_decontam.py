@@ -33,8 +33,9 @@ REACH = 64
 LEAST, SHARE = 13, 0.8
 #: Least words of an item.
 SHORTEST = 5
-UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
-BETWEEN = r"[[\p{P}\p{S}\p{Z}]&&[^\x00-\x7F]]"
+# The ranges come first: they rule out most characters before scripts and categories are looked up. No script here begins below U+0E00.
+UNSPACED = r"([[^\x00-\x{DFF}]&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]])"
+BETWEEN = r"[[^\x00-\x7F]&&[\p{P}\p{S}\p{Z}]]"
 FILTER_BITS = 1 << 24
 
 _WORD = np.zeros(256, bool)

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,17 @@ def test_best_stretch(seed):
             assert op8_decontam._best(equal, hits)[0] == want
 
 
+def test_decontamination_looks_up_few_characters(spark):
+    """Ranges rule out most characters before their script and category are looked up; on all characters the words are the same."""
+    assert op8_decontam.BETWEEN.startswith(r"[[^\x00-\x7F]&&") and op8_decontam.UNSPACED.startswith(r"([[^\x00-\x{DFF}]&&")
+    every = [(c, f"a{chr(c)}b") for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame(pd.DataFrame(every, columns=["c", "text"]), "c int, text string")
+    between = r"[[\p{P}\p{S}\p{Z}]&&[^\x00-\x7F]]"
+    scripts = "|".join(rf"\p{{Is{s}}}" for s in ("Han", "Hiragana", "Katakana", "Bopomofo", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+    plain = F.regexp_replace(F.regexp_replace(F.lower("text"), between, " "), f"({scripts})", " $1 ")
+    assert rows.where(~plain.eqNullSafe(op8_decontam._spaced("text"))).count() == 0
+
+
 def test_decontamination_short_and_unspaced_items(spark):
     """Short items stand as whole word sequences; characters of unspaced scripts are words, and their punctuation separates."""
     chinese = "".join(chr(0x4E00 + 37 * k % 3000) for k in range(55))
