@@ -44,10 +44,22 @@ def plan_cache(build):
 
 @plan_cache
 def events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide(table(spark, sf_dir, "events"))
+
+
+@plan_cache
+def events_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``events_wide``, dealt evenly over the tasks; for what is built row by row and written."""
+    events = table(spark, sf_dir, "events")
+    # a file's few row groups would each be one task, and the files written one task each for every reader behind
+    return _wide(events.repartition(*events.columns))
+
+
+def _wide(events: DataFrame) -> DataFrame:
     e, kind = F.col("event_id"), F.col("event_type")
     k, model = F.col("k"), F.col("model")
     claude = F.startswith(model, F.lit("claude"))
-    base = table(spark, sf_dir, "events").select(
+    base = events.select(
         "event_id", "ts", "user_id", "event_type",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
         F.floor(F.col("value") * 100).cast("bigint").alias("input"),
@@ -108,7 +120,7 @@ def events_as_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = events_wide(spark, sf_dir)
+    u = events_dealt(spark, sf_dir)
     et = F.col("event_type")
     main = (
         F.when(et == "signup", F.when(F.col("is_boundary"), F.lit("prompt")))

@@ -9,7 +9,7 @@ from ..operators.scan import ordered_scan, previous
 from ..functions.timez import epoch_micros
 from ..session import new_path, stage
 from ..sources import logs as L, signals as SG
-from .adapters import events_wide, pick, plan_cache, table
+from .adapters import events_dealt, events_wide, pick, plan_cache, table
 from .registry import query, ratio4_sql, round_sql, sql_list
 
 COUNTERS = ["memory_usage_count", "prompt_queue_use_count", "btw_use_count", "has_used_background_task"]
@@ -151,7 +151,7 @@ def _(spark, sf):
 @plan_cache
 def signals(spark, sf) -> DataFrame:
     """Records of further types, read from one log line per event; every 43rd line is cut off."""
-    u = events_wide(spark, sf)
+    u = events_dealt(spark, sf)
     et, k = F.col("event_type"), F.col("k")
     lit = F.lit
     kind = (F.when(et == "view", F.when(k % 3 == 1, lit("permission-mode")).otherwise(lit("queue-operation"))).when(et == "click", lit("agent-name"))

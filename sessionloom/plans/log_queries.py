@@ -11,7 +11,7 @@ from ..sources import logs as L, normalize_a as NA, normalize_b as NB, sinks
 from ..sources.commits import parse_commits
 from ..operators.usage import by_repo
 from . import corpus as C
-from .adapters import events_as_ev, events_wide, pick, plan_cache, table
+from .adapters import events_as_ev, events_dealt, pick, plan_cache, table
 from .registry import ERROR_SQL, HUMAN_SQL, first_token_sql, query, sql_list
 
 
@@ -22,7 +22,7 @@ def _iso(ts):
 @plan_cache
 def raw_lines_a(spark, sf) -> DataFrame:
     """One platform A log line per event; every 41st ``k`` is cut off in the middle."""
-    u = events_wide(spark, sf)
+    u = events_dealt(spark, sf)
     et, k = F.col("event_type"), F.col("k")
     is_user = et.isin("signup", "error")
     head = [
@@ -57,7 +57,7 @@ def normalized_a(spark, sf) -> DataFrame:
 @plan_cache
 def raw_lines_b(spark, sf) -> DataFrame:
     """One platform B log line per event plus a header line per file; every ninth user's files are sub-agent files."""
-    u = events_wide(spark, sf)
+    u = events_dealt(spark, sf)
     et, k = F.col("event_type"), F.col("k")
     base = F.col("file_base")
     diff = pick(C.DIFFS, k)
