@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.timez import day_text, local_day
 from ..operators.filters import in_window
+from ..operators.scan import EV_WIDTH
 from ..functions.timez import DayWindow
 
 
 def land_ev(ev: DataFrame, path: str, by_day: bool = True) -> DataFrame:
     """Write ``ev`` once as Parquet and read it back; every operator then prunes columns and skips row groups.
 
-    Rows are range-partitioned on (file, position), so one large log spreads over many output files and the rows
-    of a small one stay together. ``by_day`` adds day folders for window pruning.
+    Rows are dealt by file and stretch of positions, so one large log spreads over many output files and the rows
+    of a small one stay together. ``by_day`` adds day folders for window pruning; there ranges keep a day in few files.
     """
     spark = ev.sparkSession
     if not by_day:
-        ev.repartitionByRange("file_id", "seq").write.parquet(path)
+        # by hash: ranges would be sampled first, which computes all rows twice
+        ev.repartition("file_id", F.expr(f"seq div {EV_WIDTH}")).write.parquet(path)
         return spark.read.schema(ev.schema).parquet(path)
     days = ev.withColumn("day", F.to_date("ts"))
     days.repartitionByRange("day", "file_id", "seq").write.partitionBy("day").parquet(path)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.timez import DayWindow
 from sessionloom.operators import behavior as B, content as D, episodes as E, tokens as T, usage as U
+from sessionloom.plans import adapters
 from sessionloom.session import new_path
+from sessionloom.sources import logs
 from sessionloom.sources.sinks import land_ev
 from sessionloom.sources.logs import parse_json, read_log_files, read_logs_a, with_line_no
 from sessionloom.sources.normalize_a import digest_items_a, normalize_a
@@ -191,3 +193,43 @@ def test_chunks_of_a_long_log(spark, tmp_path, lines):
     ev, _ = load(spark, tmp_path)
     assert ev.count() >= 10_000 and ev.select(F.expr(f"seq div {EV_WIDTH}")).distinct().count() <= 10
     assert E.boundaries(ev).count() == 10_000
+
+
+def test_objects_are_told_by_their_first_character(spark):
+    """The rule equals the type of the parsed record on odd lines, and the type isn't put together for every line."""
+    values = ['{"a":1}', '  {"a":1}', '\t\n{"a":1}', "[1]", '[{"a":1}]', '"{"', "{", "}", "{}", " {} ", "", " ", None, "null", "1", "true", '\x0b{"a":1}', '\x0c{"a":1}',
+              '﻿{"a":1}', ' {"a":1}', '{"a":1} {"b":2}', '{"a":1} x', '{"a":1,"a":2}', "{'a':1}", '/**/{"a":1}', '{"a":[{"b":null}]}']
+    raw = spark.createDataFrame([("f", i, v) for i, v in enumerate(values)], logs.RAW_SCHEMA)
+    good, bad = logs.parse_json(raw)
+    typed = raw.filter(F.rlike("value", F.lit(r"\S"))).select("line_no", F.coalesce(F.startswith(
+        F.schema_of_variant(F.try_parse_json("value")), F.lit("OBJECT")), F.lit(False)).alias("ok")).collect()
+    assert {r.line_no for r in good.collect()} == {r.line_no for r in typed if r.ok}
+    assert {r.line_no for r in bad.collect()} == {r.line_no for r in typed if not r.ok}
+    assert "schema_of_variant" not in good._jdf.queryExecution().toString()
+
+
+def test_events_of_one_file_are_dealt_over_tasks(spark, tmp_path):
+    """One row group would be one task, and every table written from it one file."""
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows = adapters.explode_events(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set(key, before)
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 0.6 * sum(r["count"] for r in rows)
+
+
+def test_landing_computes_rows_once(spark):
+    """A range partitioning would sample its input first and so compute it twice."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1000).select(F.concat(F.lit("f"), F.col("id") % 7).alias("file_id"), (F.col("id") * 5).alias("seq"))
+    landed = land_ev(rows.mapInArrow(count, rows.schema), new_path(spark, "ev"), by_day=False)
+    assert landed.count() == 1000 and seen.value == 1000
