@@ -49,11 +49,12 @@ def _landed(spark, sf) -> tuple:
     last = table(spark, sf, "events").agg(F.max("event_id") + 1).first()[0] or 1
     e = F.col("_e")
     first = F.expr(f"_e * {ARRIVALS} div {last}") + F.when(e % 37 == 5, 3).when(e % 11 == 3, 1).otherwise(0)
-    arriving = F.array_compact(F.array(
-        F.struct(first.alias("a"), F.lit(False).alias("copy")), F.when(e % COPIES == 2, F.struct((first + 1).alias("a"), F.lit(True).alias("copy")))))
-    rows = rows.withColumn("_a", F.explode(arriving)).select(*ev.columns, F.least("_a.a", F.lit(ARRIVALS - 1)).alias("arrival"), "_a.copy")
+    copies = F.when(e % COPIES == 2, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    arrival = F.least(first + F.col("copy").cast("int"), F.lit(ARRIVALS - 1)).alias("arrival")
+    rows = rows.withColumn("copy", F.explode(copies)).select(*ev.columns, arrival, "copy")
     folder, staged = new_path(spark, "stream-in"), new_path(spark, "stream-arrivals")
-    rows.write.partitionBy("arrival").parquet(staged)
+    with SE.session_settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(ARRIVALS)}):  # a task needn't sort its rows by arrival
+        rows.write.partitionBy("arrival").parquet(staged)
     schema = rows.drop("arrival").schema
     files = 1 + ev.count() // (ARRIVALS * FILE_ROWS)
     # a trigger takes the files of one arrival: each has a folder of its own, and all have the same number of files
@@ -80,8 +81,10 @@ def arrived(spark, sf, copies: bool = False) -> DataFrame:
 
 
 def appended(spark, stream: DataFrame) -> DataFrame:
+    """The rows of an append-mode stream; its state lies on disk and has as many partitions as the cores need in each step."""
     path = new_path(spark, "stream-out")
-    SW.append(stream, path, new_path(spark, "stream-cp"))
+    with SE.session_settings(spark, SE.settings(spark)):
+        SW.append(stream, path, new_path(spark, "stream-cp"))
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -150,15 +153,7 @@ SELECT file_id, ep, start_id, platform, session_id, repo, epoch_us(start_ts) AS
  total, cost_usd, tool_calls, files_touched, max_edits_per_file, errors, active_ms, error_run, quiet_run, interrupted, end_type, task_type, task_type_confidence,
  edit_ring, error_dense, no_progress, effort, model, thinking_directive, compacted FROM ty"""), on_u=False)
 def _(spark, sf):
-    settings = SE.settings(spark)
-    before = {key: spark.conf.get(key) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
-        done = appended(spark, SE.stream_episodes(arrived(spark, sf, copies=True), CAP, 8 * 86_400, WAIT))
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+    done = appended(spark, SE.stream_episodes(arrived(spark, sf, copies=True), CAP, 8 * 86_400, WAIT))
     return done.select(
         "file_id", "ep", F.expr(f"start_seq div {STRIDE}").alias("start_id"), "platform", "session_id", "repo", "start_ts",
         F.greatest("start_ts", "last_ts").alias("end_ts"), *SM.TOKEN_BUCKETS, "cost_usd", "tool_calls", "files_touched", "max_edits_per_file", "errors",

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 from operator import itemgetter
 
 from pyspark import cloudpickle
@@ -29,7 +30,7 @@ from .windows import with_event_time
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: State partitions of one core: each one starts a Python worker and a state store in every step, whatever the rows.
+#: State partitions of one core: each one opens a state store, and for episodes a Python worker, in every step, whatever the rows.
 PARTITIONS_PER_CORE = 2
 #: Whole numbers that are summed over an episode's rows.
 SUMMED = ["tool_calls", "reads", "edits", "searches", "shells", "others", "doc_files", "code_files", "file_calls", "results", "errors",
@@ -61,11 +62,24 @@ PART = 1_000
 
 
 def settings(spark: SparkSession) -> dict[str, str]:
-    """Settings of the session while an episode stream starts; its checkpoint keeps the number of partitions."""
+    """Settings of the session while a stream with state starts; its checkpoint keeps the number of partitions."""
     partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTITIONS_PER_CORE * spark.sparkContext.defaultParallelism)
     return {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}
 
 
+@contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """``settings`` of the session for a while."""
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def as_struct(fields: str) -> str:
     return ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", "))
 

@@ -35,12 +35,14 @@ def _micros(ts: Column) -> Column:
 def write_files(rows: DataFrame, folder: str, files: int) -> None:
     """Write ``rows`` as exactly ``files`` files below ``folder``, each by a task of its own.
 
-    Tasks without rows write no file; files of one row of nulls stand for them, which ``on_time`` leaves out. A repeated call
-    only adds what is missing.
+    Rows that already lie in tasks for all files or all cores stay where they are, others are dealt over the files first. Tasks
+    without rows write no file; files of one row of nulls stand for them, which ``on_time`` leaves out. A repeated call only adds
+    what is missing.
     """
     spark = rows.sparkSession
     if not path_exists(spark, f"{folder}/_SUCCESS"):
-        (rows.repartition(files, *rows.columns) if files > 1 else rows.coalesce(1)).write.mode("overwrite").parquet(folder)
+        spread = files == 1 or rows.rdd.getNumPartitions() >= min(files, spark.sparkContext.defaultParallelism)
+        (rows.coalesce(files) if spread else rows.repartition(files, *rows.columns)).write.mode("overwrite").parquet(folder)
     missing = files - len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
     if missing > 0:
         nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators import episodes as E
 from sessionloom.operators.joins import max_usage
+from sessionloom.plans import stream_queries
 from sessionloom.schema import EV_FIELDS, STRIDE, as_ev
 from sessionloom.session import path_exists
 from sessionloom.streaming import episodes as SE, landing as SL, merge as SM, windows as SW
@@ -225,3 +226,34 @@ def test_state_accesses_do_not_grow_with_rows():
     closed, = processor.handleInputRows(("f",), iter([]), Times(10 ** 9))
     assert (closed.edits, closed.files_touched, closed.max_edits_per_file) == (900, 7, 129)
     assert all(s.value is None for s in states.values()) and sum(s.calls for s in states.values()) < 40
+
+
+def test_files_of_spread_rows_need_no_shuffle(spark, tmp_path):
+    """Rows that lie in enough tasks are written where they are; the number of files is exact all the same."""
+    ids = spark.range(0, 400, 1, 8)
+    SL.write_files(ids, f"{tmp_path}/four", 4)
+    parts = [sorted(r.id for r in spark.read.parquet(f).collect()) for f in spark.read.parquet(f"{tmp_path}/four").inputFiles()]
+    assert sorted(len(p) for p in parts) == [100] * 4 and sorted(sum(parts, [])) == list(range(400))
+    assert all(p == list(range(p[0], p[0] + 100)) for p in parts)  # neighbours stay together
+    SL.write_files(ids.coalesce(1), f"{tmp_path}/dealt", 4)
+    assert len(spark.read.parquet(f"{tmp_path}/dealt").inputFiles()) == 4
+    assert max(spark.read.parquet(f).count() for f in spark.read.parquet(f"{tmp_path}/dealt").inputFiles()) < 400
+
+
+def test_state_partitions_follow_the_cores(spark, tmp_path, monkeypatch):
+    """A query's stream opens two state stores a core and step, however many partitions the session shuffles into."""
+    seen = []
+    plain = SW.append
+    monkeypatch.setattr(SW, "append", lambda *args: seen.extend(plain(*args)))
+    folder = f"{tmp_path}/in"
+    spark.createDataFrame([usage(0, 1), usage(1, 10), usage(9, 24 * 30)], USAGE).coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(USAGE).parquet(folder)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = stream_queries.appended(spark, SW.usage_by_hour(stream)).collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(r.tokens for r in got) == [1, 2]
+    assert {s["numShufflePartitions"] for p in seen for s in p["stateOperators"]} == {2 * spark.sparkContext.defaultParallelism}
