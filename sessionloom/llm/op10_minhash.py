@@ -39,6 +39,8 @@ LEAF = 2048
 CLOSE = 0.92
 #: Smallest hashes of a set that a group holds; sets up to this size are compared exactly.
 SKETCH = 2048
+#: Rows of a leaf or block that are compared with the others at once.
+AT_ONCE = 64
 #: Standard deviations between the limit and the estimates that decide against a pair.
 MARGIN = 5
 
@@ -144,11 +146,15 @@ def _grow(batches, trees: int, level: float):
 
 def _alike(tokens: np.ndarray, others: np.ndarray, sizes: np.ndarray, other_sizes: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs may be linked, by the number of equal tokens and by the sizes of the sets."""
-    equal = np.zeros((len(tokens), len(others)), np.int8)
-    for c in range(COORDINATES):
-        equal += tokens[:, c, None] == others[None, :, c]
-    small, big = np.minimum(sizes[:, None], other_sizes), np.maximum(sizes[:, None], other_sizes)
-    return (equal >= _likely(percent)) & (100 * small >= percent * big)
+    out = np.zeros((len(tokens), len(others)), bool)
+    columns = np.ascontiguousarray(others.T)
+    for lo in range(0, len(tokens), AT_ONCE):  # some rows at a time: the sizes of all pairs would take eight times the result, and four times over
+        mine, own = tokens[lo:lo + AT_ONCE], sizes[lo:lo + AT_ONCE, None]
+        equal = np.zeros((len(mine), len(others)), np.int8)
+        for c in range(COORDINATES):
+            equal += mine[:, c, None] == columns[c]
+        out[lo:lo + AT_ONCE] = (equal >= _likely(percent)) & (100 * np.minimum(own, other_sizes) >= percent * np.maximum(own, other_sizes))
+    return out
 
 
 def _groups(batches, percent: int):

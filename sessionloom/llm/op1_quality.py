@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import parts, stage, table, text_blocks
 
 SHARDS = 16
+#: Bytes of text whose trigram counts are packed together: fewer and longer loads compress better.
+PACKED = 1 << 20
 QUANTILES, MARGIN = (0.01, 0.5, 0.99), 0.5
 WIDE = (0.001, 0.5, 0.999)
 ENOUGH = 50
@@ -47,17 +49,26 @@ def _trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _count(batches):
-    total = None
+    total, size = None, 0
+
+    def done():
+        gram = np.flatnonzero(total)
+        for lo in range(0, len(gram), 100_000):
+            g = gram[lo:lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(total[g].astype(np.int64))], ["gram", "n"])
+        total[:] = 0
+
     for _, data, off in text_blocks(batches):
         _, gram, n = _trigrams(data, off)
         if total is None:
-            total = np.zeros(1 << 24, np.int64)
-        np.add.at(total, gram, n)
+            total = np.zeros(1 << 24, np.uint32)
+        if size + len(data) > 0xFFFFFFFF:  # so no count overflows
+            yield from done()
+            size = 0
+        size += len(data)
+        np.add.at(total, gram, n.astype(np.uint32))
     if total is not None:
-        gram = np.flatnonzero(total)
-        for lo in range(0, len(gram), 100_000):
-            g = gram[lo:lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(total[g])], ["gram", "n"])
+        yield from done()
 
 
 def _shard(gram):
@@ -68,7 +79,7 @@ def _vectors(batches, salts: int):
     """Packed trigram counts: a row for each block of texts and shard."""
     pack = zstandard.ZstdCompressor(level=1).compress
     number = 0
-    for batch, data, off in text_blocks(batches):
+    for batch, data, off in text_blocks(batches, limit=PACKED):
         row, gram, n = _trigrams(data, off)
         shard = _shard(gram)
         ids = batch.column("doc_id").to_numpy()
