@@ -54,7 +54,7 @@ def tool_name_for_result(results: DataFrame, uses: DataFrame, *order: str) -> Da
     names = uses.filter(F.col("call_id").isNotNull()).groupBy(F.col("call_id").alias("_c")).agg(
         F.max_by("tool_name", F.struct(*order)).alias("_name"))
     own = join_key(results, "call_id", *[c for c in ("file_id", "seq") if c in results.columns])
-    joined = results.withColumn("_j", own).join(names, F.col("_j") == F.col("_c"), "left")
+    joined = results.withColumn("_j", own).join(names.hint("merge"), F.col("_j") == F.col("_c"), "left")
     return joined.withColumn("tool_name", F.coalesce("_name", F.lit("(unknown)"))).select(
         *[c for c in results.columns if c != "tool_name"], "tool_name")
 
@@ -72,15 +72,15 @@ def with_session_source(df: DataFrame, sources: DataFrame) -> DataFrame:
     return df.drop("source").join(sources, "session_id", "left")
 
 
-def carry_state(df: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
-    """Carry model and repo down each file (last seen) and take the first session id and source of it."""
+def carry_state(df: DataFrame, width: int = CHUNK_WIDTH, per_file: DataFrame | None = None) -> DataFrame:
+    """Carry model and repo down each file (last seen) and take the first session id and source of it; ``per_file`` adds its columns."""
     specs = [
         last_seen("cur_model", F.when(F.col("set_model") != "", F.col("set_model"))),
         last_seen("cur_repo", F.when(F.col("set_repo") != "", F.col("set_repo"))),
         first_seen("cur_session", F.when(F.col("set_session") != "", F.col("set_session"))),
         first_seen("cur_source", F.when(F.col("set_source") != "", F.col("set_source"))),
     ]
-    return ordered_scan(df, ["file_id"], "seq", specs, width)
+    return ordered_scan(df, ["file_id"], "seq", specs, width, per_file)
 
 
 def file_plan(df: DataFrame, plan: str = "plan") -> DataFrame:

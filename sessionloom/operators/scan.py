@@ -61,10 +61,11 @@ def following(name: str, value: Column) -> Running:
     return Running(name, "lead", value)
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: str, specs: list[Running], width: int = CHUNK_WIDTH) -> DataFrame:
+def ordered_scan(df: DataFrame, keys: list[str], order: str, specs: list[Running], width: int = CHUNK_WIDTH, per_key: DataFrame | None = None) -> DataFrame:
     """Add the running values of ``specs`` over rows of equal ``keys`` in ascending ``order``.
 
-    ``order`` is a non-negative whole number, unique within its key.
+    ``order`` is a non-negative whole number, unique within its key. ``per_key`` has one row for each key; its other columns
+    are added to all rows of the key.
     """
     if not specs:
         return df
@@ -113,7 +114,16 @@ def ordered_scan(df: DataFrame, keys: list[str], order: str, specs: list[Running
 
     rows = cut.select("*", *local)
     carried = cut.groupBy(F.col("_at").alias("_key")).agg(*summary).select("_key", *carry)
-    return rows.join(carried, (F.col("_at") == F.col("_key")) & pos.isNotNull(), "left").select(*[F.col(c) for c in df.columns], *result)
+    known = [] if per_key is None else [c for c in per_key.columns if c not in keys]
+    if known:
+        # the small table takes the columns to the rows, which need no shuffle of their own for them
+        own = per_key.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)], *known).hint("merge")
+        here = [F.col(f"_key.k{i}") == F.col(f"_p{i}") for i in range(len(keys))]
+        carried = carried.join(own, here, "left").select("_key", *[f"_c{i}" for i in range(len(specs))], *known)
+    # The chunks grow with the rows, and their size is guessed too low where long columns were left out: they never go through the driver.
+    both = rows.join(carried.hint("merge"), F.col("_at") == F.col("_key"), "left").withColumns(
+        {f"_c{i}": F.when(pos.isNotNull(), F.col(f"_c{i}")) for i in range(len(specs))})
+    return both.select(*[F.col(c) for c in df.columns], *result, *known)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, picks: dict[str, tuple[str, float]], width: int = CHUNK_WIDTH) -> DataFrame:

@@ -74,10 +74,8 @@ def carried_records(good: DataFrame, width: int = CHUNK_WIDTH) -> DataFrame:
         "set_model": F.when(turn, text_at(p, "$.model")), "set_repo": F.when(meta & (cwd != ""), X.repo_name(cwd)),
         "set_session": F.when(meta, text_at(p, "$.id")),
         "set_source": F.when(meta & text_at(p, "$.source").isNotNull(), F.nullif(X.source_key(text_at(p, "$.source")), F.lit("(unknown)"))),
-    }), width)
-    flags = flag_subagent_files(rec)
-    joined = state.join(flags, "file_id", "left")
-    return joined.select(
+    }), width, flag_subagent_files(rec))
+    return state.select(
         "file_id", "seq", "type", "ts", "payload", "ptype", F.coalesce("cur_session", F.lit("")).alias("session_id"),
         F.coalesce("cur_repo", F.lit("(unknown)")).alias("repo"), F.coalesce("cur_model", F.lit("")).alias("model"),
         F.coalesce("cur_source", F.lit("(unknown)")).alias("source"), F.coalesce("is_sidechain", F.lit(False)).alias("is_sidechain"))
@@ -201,7 +199,7 @@ def normalize_b(good: DataFrame, window: DayWindow | None = None, tz: str = "UTC
     live = token_rows.filter(~F.col("is_sidechain")).groupBy("file_id").agg(
         F.min("ts").alias("ts"), F.min_by("session_id", "seq").alias("session_id"), F.min_by("repo", "seq").alias("repo"),
         F.min_by("source", "seq").alias("source"), F.min_by("model", "seq").alias("model"), F.max("seq").alias("seq"))
-    seen = live.join(meta, "file_id")
+    seen = live.join(meta.hint("merge"), "file_id")
     tags = F.array_compact(F.array(
         F.when(F.col("originator") != "", entry(2, "label", "originator", F.col("originator"))),
         F.when(F.col("git"), entry(3, "label", "git_identity", F.lit("true"))),
