@@ -53,12 +53,12 @@ def session_candidates_b(ev: DataFrame, facts: DataFrame | None = None) -> DataF
         F.floor((F.max(micros) - F.min(micros)) / 1000000).alias("duration_seconds"))
     tools = tool_totals(ev, "file_id")
     counts = [c for c in tools.columns if c != "file_id"]
-    joined = base.join(tools, "file_id", "left").select(*base.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+    joined = base.join(tools.hint("merge"), "file_id", "left").select(*base.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
     full = nonempty_sessions(joined.withColumn("tool_calls", F.col("total_calls"))).drop("total_calls")
     if facts is None:
         return full
     head = facts.select("file_id", F.col("repo").alias("_repo"), "source", "branch")
-    return full.join(head, "file_id", "left").withColumn("repo", F.coalesce("_repo", "repo")).drop("_repo")
+    return full.join(head.hint("merge"), "file_id", "left").withColumn("repo", F.coalesce("_repo", "repo")).drop("_repo")
 
 
 def session_top_commands(ev: DataFrame, n: int = 8) -> DataFrame:

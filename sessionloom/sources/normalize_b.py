@@ -97,7 +97,7 @@ def session_facts(good: DataFrame) -> DataFrame:
     model = F.when(kind == "turn_context", text_at(p, "$.model"))
     facts = rec.groupBy("file_id").agg(
         *[first(path).alias(name) for name, path in fields.items()], F.coalesce(F.max_by(model, F.when(model != "", F.col("seq"))), F.lit("")).alias("model"))
-    own = facts.join(flag_subagent_files(project_records(good)), "file_id", "left").filter(~F.coalesce(F.col("is_sidechain"), F.lit(False)))
+    own = facts.join(flag_subagent_files(project_records(good)).hint("merge"), "file_id", "left").filter(~F.coalesce(F.col("is_sidechain"), F.lit(False)))
     return own.select("file_id", "session_id", X.repo_key(F.col("origin"), F.col("cwd")).alias("repo"), X.source_key(F.col("_source")).alias("source"), "branch", "model")
 
 

@@ -5,6 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from sessionloom.operators.scan import following, last_before, ordered_scan, running_sum
+from sessionloom.operators.sessions import session_candidates_b
+from sessionloom.session import stage
 from sessionloom.sources import logs as L, normalize_b as NB
 
 RAW = "file_id string, line_no bigint, value string"
@@ -58,3 +60,13 @@ def test_normalize_b_without_broadcast(spark):
     rows = ev.filter("file_id = 'main' and kind = 'tool_result'").select("tool_name", "is_error").collect()
     assert [tuple(r) for r in rows] == [("shell", True)]
     assert ev.filter("kind = 'tokens'").count() == 6
+
+
+def test_candidates_b_without_broadcast(spark):
+    good, _ = L.parse_json(raw_b(spark))
+    facts = NB.session_facts(good)
+    assert "Broadcast" not in plan(facts)
+    found = session_candidates_b(stage(NB.normalize_b(good), "ev-b"), facts)
+    assert "Broadcast" not in plan(found)
+    got = {(r.file_id, r.source, r.tokens, r.tool_calls, r.shell_calls) for r in found.collect()}
+    assert got == {("main", "plugin", 14, 1, 1), ("none", None, 7, 0, 0), (None, None, 7, 0, 0)}
