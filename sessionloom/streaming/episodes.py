@@ -5,11 +5,17 @@ order within the lateness. The state of a file holds the counters of its open ep
 one row of sums for each model. A timer folds what waits and closes an episode after ``close_after`` of event-time silence,
 which drops the file's state. That bound must exceed the longest silence inside a file: lines that come after it count
 their episodes anew.
+
+Files are many and have few rows in a step, while a call for a key and an access to the state are messages between processes. So
+files share ``buckets`` keys by hash, and a bucket's state is read and written at once; the files in it know nothing of each other.
 """
 
 from __future__ import annotations
 
+import json
+import pickle
 import sys
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from operator import itemgetter
@@ -37,7 +43,7 @@ SUMMED = ["tool_calls", "reads", "edits", "searches", "shells", "others", "doc_f
           "test_results", "long_runs", "lines", "interrupts", "compactions"]
 SUMS = [*TOKEN_BUCKETS, "uncached"]
 ROW = (
-    "seq bigint, us bigint, boundary boolean, correction boolean, thinking boolean, platform string, session_id string, repo string, "
+    "file_id string, seq bigint, us bigint, boundary boolean, correction boolean, thinking boolean, platform string, session_id string, repo string, "
     "facet string, facet_key string, call boolean, is_edit boolean, failed boolean, "
     + ", ".join(f"{c} bigint" for c in [*SUMS, *SUMMED]))
 # running values of the open episode; active_us and active_seq belong to the file
@@ -45,11 +51,10 @@ RUNNING = ["error_now", "error_run", "quiet_now", "quiet_run", "files_touched",
 OPEN = (
     "ep bigint, start_seq bigint, start_us bigint, platform string, session_id string, repo string, correction boolean, thinking boolean, "
     "effort string, active_us bigint, active_seq bigint, folded_seq bigint, seen_us bigint, timer_ms bigint, "
-    "parts bigint, n_files bigint, n_models bigint, "
     + ", ".join(f"{c} bigint" for c in [*RUNNING, *SUMMED]))
 OPEN_FIELDS = [f.split()[0] for f in OPEN.split(", ")]
-ROW_FIELDS = [f.split()[0] for f in ROW.split(", ")]
-MODEL = ", ".join(f"{c} bigint" for c in SUMS)
+TIMER = OPEN_FIELDS.index("timer_ms")
+PACKED = [f.split()[0] for f in ROW.split(", ")][3:]
 OUT = (
     "file_id string, ep bigint, start_seq bigint, start_us bigint, last_us bigint, platform string, session_id string, repo string, "
     "is_correction boolean, thinking_directive boolean, corrected_by_next boolean, effort string, error_run bigint, quiet_run bigint, "
@@ -57,8 +62,10 @@ OUT = (
     + ", ".join(f"{c} bigint" for c in SUMMED) + ", models array<struct<model: string, " + ", ".join(f"{c}: bigint" for c in SUMS) + ">>")
 
 
-#: Waiting rows of one state entry.
-PART = 1_000
+#: Keys that files are dealt over by hash; a checkpoint keeps its number.
+BUCKETS = 1_024
+#: Bytes of one state entry.
+PART = 4 << 20
 
 
 def settings(spark: SparkSession) -> dict[str, str]:
@@ -80,10 +87,6 @@ def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[
             spark.conf.set(key, value)
 
 
-def as_struct(fields: str) -> str:
-    return ", ".join(f.replace(" ", ": ", 1) for f in fields.split(", "))
-
-
 def fold_rows(ev: DataFrame) -> DataFrame:
     """What the fold needs of each main-chain row: flags as whole numbers, its facet and key."""
     kind, base = F.col("kind"), F.coalesce(F.col("file_base"), F.lit(""))
@@ -114,114 +117,136 @@ def fold_rows(ev: DataFrame) -> DataFrame:
         F.coalesce(M.uncached_input(F.col("input"), F.col("cached_input")), F.lit(0)).alias("uncached"), *[ones[c].alias(c) for c in SUMMED])
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with all but file, position and time in one text, which leaves out zeros: every cell of a row costs the worker a call."""
+    kinds = dict(f.split() for f in ROW.split(", "))
+    none = {"bigint": F.lit(0).cast("bigint"), "boolean": F.lit(False)}
+    cells = [(F.nullif(F.col(c), none[kinds[c]]) if kinds[c] in none else F.col(c)).alias(c) for c in PACKED]
+    rest = [c for c in rows.columns if c not in PACKED]
+    return rows.select(*rest, F.to_json(F.struct(*cells), {"ignoreNullFields": "true"}).alias("line"))
+
+
 class EpisodeProcessor(StatefulProcessor):
-    """Folds the rows of one file in line order."""
+    """Folds the rows of each file of a bucket in line order."""
 
     def __init__(self, cap_seconds: int, close_seconds: int) -> None:
         self.cap, self.close_micros = cap_seconds * 1_000_000, close_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", OPEN)
-        # every access to the state is a message to the JVM: rows wait in parts, files and models are read and written once a call
-        self.waiting = handle.getMapState("waiting", "part bigint", f"rows array<struct<{as_struct(ROW)}>>")
-        self.files = handle.getListState("files", "file string, edits bigint")
-        self.models = handle.getListState("models", f"model string, {MODEL}")
+        # a bucket's files with their rows as bytes, in entries of bounded size: the first one here, further ones by number
+        self.open = handle.getValueState("open", "held binary, parts bigint, timer_ms bigint")
+        self.further = handle.getMapState("waiting", "part bigint", "held binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        head = self._head()
-        waiting = self._waiting(head)
-        take, folded, more = None, head["folded_seq"], False
+        files, parts, timer_ms = self._read()
+        take, fresh = None, {}
         for r in rows:
             if take is None:
-                take = itemgetter(*[r.__fields__.index(c) for c in ROW_FIELDS])
-            row = take(tuple(r))
-            if row[0] > folded:  # a line whose turn is over stays out
-                waiting[row[0]], more = row, True
-                head["seen_us"] = max(head["seen_us"], row[1])
-        yield from self._advance(key[0], head, waiting, more, timerValues.getCurrentWatermarkInMs())
+                known = r.__fields__
+                take = itemgetter(*[known.index(c) for c in ("file_id", "seq", "us", *(["line"] if "line" in known else PACKED))])
+            file_id, seq, us, *line = take(r)
+            fresh.setdefault(file_id, []).append((seq, us, line[0] if "line" in known else json.dumps(dict(zip(PACKED, line)))))
+        yield from self._advance(files, fresh, timerValues.getCurrentWatermarkInMs())
+        self._write(files, parts, timer_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.open.exists():
-            return
-        head = self._head()
-        head["timer_ms"] = 0
-        yield from self._advance(key[0], head, self._waiting(head), False, timerValues.getCurrentWatermarkInMs())
+        files, parts, _ = self._read()
+        yield from self._advance(files, {}, timerValues.getCurrentWatermarkInMs())
+        self._write(files, parts, 0)
 
     def close(self) -> None:
         pass
 
-    def _head(self) -> dict:
+    def _read(self) -> tuple[dict, int, int]:
+        """The bucket's files, the number of its further entries, and its timer."""
         kept = self.open.get()
-        if kept is not None:
-            return dict(zip(OPEN_FIELDS, kept))
+        if kept is None:
+            return {}, 0, 0
+        held, parts, timer_ms = kept
+        if parts:
+            more = {part[0]: value[0] for part, value in self.further.iterator()}
+            held = b"".join([bytes(held), *(bytes(more[n]) for n in range(parts))])
+        return pickle.loads(zlib.decompress(held)), parts, timer_ms
+
+    def _write(self, files: dict, parts: int, timer_ms: int) -> None:
+        """Write what is left of the bucket; its timer is the first of its files."""
+        due = min((head[TIMER] for head, *_ in files.values()), default=0)
+        if due != timer_ms:
+            if timer_ms:
+                self.handle.deleteTimer(timer_ms)
+            if due:
+                self.handle.registerTimer(due)
+        held = zlib.compress(pickle.dumps(files, pickle.HIGHEST_PROTOCOL), 1) if files else b""
+        now = range(max(0, -(-len(held) // PART) - 1))
+        for n in now:
+            self.further.updateValue((n,), (held[(n + 1) * PART:(n + 2) * PART],))
+        for n in range(len(now), parts):
+            self.further.removeKey((n,))
+        if files:
+            self.open.update((held[:PART], len(now), due))
+        else:
+            if parts:
+                self.further.clear()
+            self.open.clear()
+
+    def _advance(self, files: dict, fresh: dict[str, list[tuple]], watermark_ms: int) -> Iterator[Row]:
+        """Fold the files that have new rows or whose timer is over."""
+        for file_id in [f for f, kept in files.items() if f in fresh or kept[0][TIMER] <= watermark_ms] + [f for f in fresh if f not in files]:
+            kept = files.pop(file_id, None)
+            if kept is None:
+                head, rows, self.touched, self.models = self._head(), [], {}, {}
+            else:
+                head, rows, self.touched, self.models = dict(zip(OPEN_FIELDS, kept[0])), *kept[1:]
+            if head["timer_ms"] <= watermark_ms:
+                head["timer_ms"] = 0
+            waiting, folded = {row[0]: row for row in rows}, head["folded_seq"]
+            for row in fresh.get(file_id, ()):
+                if row[0] > folded:  # a line whose turn is over stays out
+                    waiting[row[0]] = row
+                    head["seen_us"] = max(head["seen_us"], row[1])
+            left = yield from self._folded(file_id, head, waiting, watermark_ms)
+            if left is not None:
+                files[file_id] = (tuple(head[c] for c in OPEN_FIELDS), left, self.touched, self.models)
+
+    def _head(self) -> dict:
         head = {c: 0 for c in OPEN_FIELDS}
         head.update(platform=None, session_id=None, repo=None, effort=None, correction=False, thinking=False, active_us=-1, active_seq=-1,
                     folded_seq=-1, seen_us=-1, last_us=-1, effort_seq=-1)
         return head
 
-    def _waiting(self, head: dict) -> dict[int, tuple]:
-        if not head["parts"]:
-            return {}
-        return {row[0]: tuple(row) for _, value in self.waiting.iterator() for row in value[0]}
-
-    def _advance(self, file_id: str, head: dict, waiting: dict[int, tuple], more: bool, watermark_ms: int) -> Iterator[Row]:
+    def _folded(self, file_id: str, head: dict, waiting: dict[int, tuple], watermark_ms: int):
+        """Fold the rows of a file that the watermark has passed; gives the rows that wait on, or None when the file is closed."""
         passed = watermark_ms * 1000
         order = sorted(waiting)
-        # what the open episode had before; a new episode has nothing
-        self.known = {"files": None if head["n_files"] else {}, "models": None if head["n_models"] else {}}
         done = 0
         for seq in order:
-            row = dict(zip(ROW_FIELDS, waiting[seq]))
-            if row["us"] > passed:
+            _, us, line = waiting[seq]
+            if us > passed:
                 break  # a line keeps the lines behind it waiting
-            if row["boundary"]:
+            row = json.loads(line)
+            row["seq"], row["us"] = seq, us
+            if row.get("boundary"):
                 if head["ep"]:
-                    yield self._closed(file_id, head, row["correction"])
+                    yield self._closed(file_id, head, row.get("correction", False))
                 self._start(head, row)
             self._fold(head, row)
             done += 1
-        left = order[done:]
+        left = [waiting[seq] for seq in order[done:]]
         if not left and passed >= head["seen_us"] + self.close_micros:
             if head["ep"]:
                 yield self._closed(file_id, head, False)
-            self._clear(head)
-            return
-        if done or more:
-            parts = [left[i:i + PART] for i in range(0, len(left), PART)]
-            for n, part in enumerate(parts):
-                self.waiting.updateValue((n,), ([waiting[seq] for seq in part],))
-            for n in range(len(parts), head["parts"]):
-                self.waiting.removeKey((n,))
-            head["parts"] = len(parts)
-        files, models = self.known["files"], self.known["models"]
-        if files is not None and (files or head["n_files"]):
-            self.files.put(list(files.items())) if files else self.files.clear()
-            head["n_files"] = len(files)
-        if models is not None and (models or head["n_models"]):
-            self.models.put([(name, *sums) for name, sums in models.items()]) if models else self.models.clear()
-            head["n_models"] = len(models)
+            return None
         if not head["timer_ms"]:
-            due = max(waiting[seq][1] for seq in left) if left else head["seen_us"] + self.close_micros
+            due = max(row[1] for row in left) if left else head["seen_us"] + self.close_micros
             head["timer_ms"] = max(due // 1000 + 1, watermark_ms + 1)
-            self.handle.registerTimer(head["timer_ms"])
-        self.open.update(tuple(head[c] for c in OPEN_FIELDS))
-
-    def _files(self) -> dict[str, int]:
-        if self.known["files"] is None:
-            self.known["files"] = {name: edits for name, edits in self.files.get()}
-        return self.known["files"]
-
-    def _models(self) -> dict[str, list]:
-        if self.known["models"] is None:
-            self.known["models"] = {m[0]: list(m[1:]) for m in map(tuple, self.models.get())}
-        return self.known["models"]
+        return left
 
     def _start(self, head: dict, row: dict) -> None:
-        self.known = {"files": {}, "models": {}}
+        self.touched, self.models = {}, {}
         head.update({c: 0 for c in [*RUNNING, *SUMMED]})
-        head.update(ep=head["ep"] + 1, start_seq=row["seq"], start_us=row["us"], platform=row["platform"], session_id=row["session_id"],
-                    repo=row["repo"], correction=row["correction"], thinking=row["thinking"], effort=None, last_us=-1, effort_seq=-1)
+        head.update(ep=head["ep"] + 1, start_seq=row["seq"], start_us=row["us"], platform=row.get("platform"), session_id=row.get("session_id"),
+                    repo=row.get("repo"), correction=row.get("correction", False), thinking=row.get("thinking", False), effort=None, last_us=-1, effort_seq=-1)
 
     def _fold(self, head: dict, row: dict) -> None:
         head["folded_seq"] = row["seq"]
@@ -232,49 +257,43 @@ class EpisodeProcessor(StatefulProcessor):
         if not head["ep"]:
             return  # rows before the first start belong to no episode
         for c in SUMMED:
-            head[c] += row[c]
+            if c in row:
+                head[c] += row[c]
         if used:
             gap = row["us"] - before_us
             if before_seq >= head["start_seq"] and 0 < gap <= self.cap:
                 head["gap_micros"] += gap
             head["last_us"] = max(head["last_us"], row["us"])
-            sums = self._models().setdefault(row["facet_key"], [0] * len(SUMS))
+            sums = self.models.setdefault(row.get("facet_key"), [0] * len(SUMS))
             for i, c in enumerate(SUMS):
-                sums[i] += row[c]
+                sums[i] += row.get(c, 0)
         elif row["facet"] == "run":
-            head["error_now"] = head["error_now"] + 1 if row["failed"] else 0
+            head["error_now"] = head["error_now"] + 1 if row.get("failed") else 0
             head["error_run"] = max(head["error_run"], head["error_now"])
         elif row["facet"] == "effort":
-            head["effort"], head["effort_seq"] = row["facet_key"], row["seq"]
-        if row["call"]:
+            head["effort"], head["effort_seq"] = row.get("facet_key"), row["seq"]
+        if row.get("call"):
             self._call(head, row)
 
     def _call(self, head: dict, row: dict) -> None:
         fresh = False
         if row["facet"] == "file":
-            name, files = row["facet_key"], self._files()
+            name, files = row.get("facet_key"), self.touched
             fresh = name not in files
-            files[name] = files.get(name, 0) + row["is_edit"]
+            files[name] = files.get(name, 0) + row.get("is_edit", False)
             head["files_touched"] += fresh
             head["max_edits_per_file"] = max(head["max_edits_per_file"], files[name])
         head["quiet_now"] = 0 if fresh else head["quiet_now"] + 1
         head["quiet_run"] = max(head["quiet_run"], head["quiet_now"])
 
     def _closed(self, file_id: str, head: dict, corrected: bool) -> Row:
-        kept = self._models()
         return Row(
             file_id=file_id, ep=head["ep"], start_seq=head["start_seq"], start_us=head["start_us"],
             last_us=None if head["last_us"] < 0 else head["last_us"], platform=head["platform"], session_id=head["session_id"], repo=head["repo"],
             is_correction=head["correction"], thinking_directive=head["thinking"], corrected_by_next=corrected, effort=head["effort"],
             error_run=head["error_run"], quiet_run=head["quiet_run"], files_touched=head["files_touched"],
             max_edits_per_file=head["max_edits_per_file"], gap_micros=head["gap_micros"], **{c: head[c] for c in SUMMED},
-            models=[(name, *sums) for name, sums in sorted(kept.items())])
-
-    def _clear(self, head: dict) -> None:
-        for state in (self.open, self.waiting, self.files, self.models):
-            state.clear()
-        if head["timer_ms"]:
-            self.handle.deleteTimer(head["timer_ms"])
+            models=[(name, *sums) for name, sums in sorted(self.models.items())])
 
 
 def _features(closed: DataFrame) -> DataFrame:
@@ -299,12 +318,13 @@ def _features(closed: DataFrame) -> DataFrame:
         "cost_usd": M.nano_to_usd(F.col("nano"))}).drop("start_us", "last_us")
 
 
-def stream_episodes(ev: DataFrame, cap_seconds: int = E.IDLE_CAP_SECONDS, close_seconds: int = 7 * 86_400, lateness: str = "1 day") -> DataFrame:
+def stream_episodes(ev: DataFrame, cap_seconds: int = E.IDLE_CAP_SECONDS, close_seconds: int = 7 * 86_400, lateness: str = "1 day",
+                    buckets: int = BUCKETS) -> DataFrame:
     """Stream of closed episodes with the columns of the batch table before episodes are compared with each other.
 
     The session index and the comparison of durations look at other files; they are batch steps over the written rows.
     The session must keep its state in RocksDB; ``settings`` gives what to set.
     """
-    rows = with_event_time(fold_rows(ev), lateness).drop("ts")
-    closed = rows.groupBy("file_id").transformWithState(EpisodeProcessor(cap_seconds, close_seconds), OUT, "append", "eventTime")
+    rows = packed(with_event_time(fold_rows(ev), lateness).drop("ts")).withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets)))
+    closed = rows.groupBy("bucket").transformWithState(EpisodeProcessor(cap_seconds, close_seconds), OUT, "append", "eventTime")
     return E.with_end_type(E.with_spiral(E.with_task_type(nonempty_episodes(_features(closed)))))

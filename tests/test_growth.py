@@ -2,12 +2,14 @@
 
 import json
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import Row, functions as F
 
 from sessionloom.operators.scan import following, last_before, ordered_scan, running_sum
 from sessionloom.operators.sessions import session_candidates_b
 from sessionloom.session import stage
 from sessionloom.sources import logs as L, normalize_b as NB
+from sessionloom.streaming import episodes as SE
 
 RAW = "file_id string, line_no bigint, value string"
 
@@ -70,3 +72,69 @@ def test_candidates_b_without_broadcast(spark):
     assert "Broadcast" not in plan(found)
     got = {(r.file_id, r.source, r.tokens, r.tool_calls, r.shell_calls) for r in found.collect()}
     assert got == {("main", "plugin", 14, 1, 1), ("none", None, 7, 0, 0), (None, None, 7, 0, 0)}
+
+
+class Entry:
+    """A state variable in memory that counts its accesses and knows its largest value."""
+
+    def __init__(self):
+        self.value, self.calls, self.largest = {}, 0, 0
+
+    def updateValue(self, key, value):
+        self.calls, self.value[key], self.largest = self.calls + 1, value, max(self.largest, len(value[0]))
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.value[key]
+
+    def iterator(self):
+        self.calls += 1
+        return iter(self.value.items())
+
+    def clear(self):
+        self.calls += 1
+        self.value = {}
+
+    def get(self):
+        self.calls += 1
+        return self.value.get(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+
+@pytest.mark.parametrize("part", [4 << 20, 1_000])
+def test_files_share_state_accesses(monkeypatch, part):
+    """Many files of few lines are read and written together, in entries of bounded size, and closed each by itself."""
+    monkeypatch.setattr(SE, "PART", part)
+    states, timers = {}, set()
+
+    class Handle:
+        getValueState = getMapState = staticmethod(lambda name, *schema: states.setdefault(name, Entry()))
+        registerTimer, deleteTimer = staticmethod(timers.add), staticmethod(timers.remove)
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    blank = {f.split()[0]: (f.split()[1] == "bigint" and 0) for f in SE.ROW.split(", ")}
+
+    def line(f, i, us):
+        return Row(**{**blank, "file_id": f"f{f}", "seq": i, "us": us, "boundary": i == 0, "platform": "A", "session_id": f"s{f}", "repo": "r",
+                      "facet": "file", "facet_key": f"x{i}.py", "call": True, "is_edit": True, "edits": 1})
+
+    processor, closed = SE.EpisodeProcessor(300, 86_400), []
+    processor.init(Handle)
+    for i in range(3):  # the files begin a minute after one another
+        closed += processor.handleInputRows((0,), iter([line(f, i, (60 * f + i) * 1_000_000) for f in range(300)]), Times(0))
+    rest = states["waiting"]
+    assert not closed and len(timers) == 1 and (part > 1_000) == (not rest.value)
+    assert part > 1_000 or sum(e.calls for e in states.values()) < 300
+    assert part < 10_000 or sum(e.calls for e in states.values()) <= 6
+    assert max(e.largest for e in states.values()) <= part
+    while timers:
+        now, = timers
+        timers.clear()
+        closed += processor.handleExpiredTimer((0,), Times(now), None)
+    assert sorted((r.file_id, r.edits, r.files_touched) for r in closed) == sorted((f"f{f}", 3, 3) for f in range(300))
+    assert not any(e.value for e in states.values())
