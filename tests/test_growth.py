@@ -2,9 +2,11 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
+from sessionloom.llm import op6_suffix
 from sessionloom.operators.scan import following, last_before, ordered_scan, running_sum
 from sessionloom.operators.sessions import session_candidates_b
 from sessionloom.session import stage
@@ -138,3 +140,26 @@ def test_files_share_state_accesses(monkeypatch, part):
         closed += processor.handleExpiredTimer((0,), Times(now), None)
     assert sorted((r.file_id, r.edits, r.files_touched) for r in closed) == sorted((f"f{f}", 3, 3) for f in range(300))
     assert not any(e.value for e in states.values())
+
+
+def test_shares_of_anchors(spark, monkeypatch):
+    """Each share has its part of the places, all shares have them all, and the result doesn't depend on their number."""
+    import random
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(40)]
+    texts[20:] = [f"{a[:900]} {b[300:]}" for a, b in zip(texts[:20], texts[20:])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+
+    def places(*share):
+        return [tuple(r.values()) for b in op6_suffix._places([batch], *share) for r in b.to_pylist()]
+
+    every, parts = places(), [places(i, 2) for i in range(2)]
+    assert sorted(sum(parts, [])) == sorted(every) and max(map(len, parts)) < .6 * len(every)
+    assert not {r[0] for r in parts[0]} & {r[0] for r in parts[1]}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = []
+    for n in (op6_suffix.SHARES, 1, 3):
+        monkeypatch.setattr(op6_suffix, "SHARES", n)
+        rows.append(sorted(tuple(r) for r in op6_suffix.remove_repeats(docs).collect()))
+    assert op6_suffix.SHARES == 3 and rows[0] == rows[1] == rows[2] and sum(r[3] > 0 for r in rows[0]) >= 20
