@@ -409,11 +409,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = stage(sketches.where("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("first_doc"), F.max("n_shingles").alias("n_shingles"), F.max("tokens").alias("tokens")), "classes")
     joined = linked_classes(docs, classes, percent)
-    part = classes.select("set_id", "first_doc").join(joined.withColumnRenamed("id", "set_id"), "set_id", "left")
+    # these have a row for each class or component: none goes through the driver, whatever the session's limit
+    part = classes.select("set_id", "first_doc").join(joined.withColumnRenamed("id", "set_id").hint("merge"), "set_id", "left")
     part = part.withColumn("label", F.coalesce("label", "set_id"))
     first = part.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    part = part.join(first, "label").select("set_id", F.col("component_id").alias("_component"))
-    out = sketches.drop("tokens").join(part, "set_id", "left")
+    part = part.join(first.hint("merge"), "label").select("set_id", F.col("component_id").alias("_component"))
+    out = sketches.drop("tokens").join(part.hint("merge"), "set_id", "left")
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
-from sessionloom.llm import op6_suffix
+from sessionloom.llm import common, op6_suffix, op10_minhash
 from sessionloom.operators.scan import following, last_before, ordered_scan, running_sum
 from sessionloom.operators.sessions import session_candidates_b
 from sessionloom.session import stage
@@ -163,3 +163,31 @@ def test_shares_of_anchors(spark, monkeypatch):
         monkeypatch.setattr(op6_suffix, "SHARES", n)
         rows.append(sorted(tuple(r) for r in op6_suffix.remove_repeats(docs).collect()))
     assert op6_suffix.SHARES == 3 and rows[0] == rows[1] == rows[2] and sum(r[3] > 0 for r in rows[0]) >= 20
+
+
+def test_stages_send_no_large_table_through_the_driver(spark, monkeypatch):
+    """Below Spark's own limit a table is merged in a written stage; a small one may still be sent. The session's limits come back."""
+    plans, whole = [], common._stage
+    monkeypatch.setattr(common, "_stage", lambda df, name: plans.append(plan(df)) or whole(df, name))
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(k, None) for k in keys]
+    hashed = lambda n: spark.range(n).select(F.xxhash64("id").alias("id"))
+    wide = hashed(200_000).withColumn("v", F.col("id") + 1)
+    large, small = common.stage(hashed(100_000), "large"), common.stage(hashed(100), "small")
+    plans.clear()
+    assert common.stage(wide.join(large, "id"), "both").count() == 100_000 and "Broadcast" not in plans[-1]
+    assert common.stage(wide.join(small, "id"), "both").count() == 100 and "BroadcastHashJoin" in plans[-1]
+    assert [spark.conf.get(k, None) for k in keys] == before
+    spark.conf.set(keys[0], "-1")
+    try:
+        assert common.stage(wide.join(small, "id"), "both").count() == 100 and "Broadcast" not in plans[-1]
+    finally:
+        spark.conf.unset(keys[0]) if before[0] is None else spark.conf.set(keys[0], before[0])
+
+
+def test_near_duplicates_without_broadcast(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{text} end{i % 3}") for i in range(6)] + [(9, "something else that stands alone here")], "doc_id long, text string")
+    out = op10_minhash.near_duplicates(docs)
+    assert "Broadcast" not in plan(out)
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [*((i, 0) for i in range(6)), (9, 9)]
